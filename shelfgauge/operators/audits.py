@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfgauge.functions import sizes
+from shelfgauge.operators.joins import add_by_key
 from shelfgauge.operators.ranking import WINDOW_ROWS, running_total
 from shelfgauge.sources.tables import written
 
@@ -98,28 +99,17 @@ def quartiles(
         step = high - low
         return F.when(part >= 0.5, high - step * (1 - part)).otherwise(low + step * part)
 
-    found = _with_limits(running, totals, frame).groupBy(*frame, "n", "least", "greatest").agg(*ranks)
+    found = add_by_key(running, totals, frame).groupBy(*frame, "n", "least", "greatest").agg(*ranks)
     return found.select(
         *frame, "n", "least", "greatest", *[between(name).alias(name) for name in shares]
     )
 
 
-def _with_limits(rows: DataFrame, limits: DataFrame, frame: tuple[str, ...]) -> DataFrame:
-    """Add the one row of ``limits`` per frame to the rows of that frame."""
-    if not frame:
-        return rows.join(F.broadcast(limits))  # a single row
-    renamed = limits.withColumnsRenamed({key: f"_of_{key}" for key in frame})
-    same = F.lit(True)
-    for key in frame:
-        same &= F.col(key).eqNullSafe(F.col(f"_of_{key}"))
-    return rows.join(renamed, same).drop(*[f"_of_{key}" for key in frame])
-
-
 def price_histogram(
     df: DataFrame, price: str, frame: tuple[str, ...] = ("category",),
     window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """Rows per equal-width price bin of each frame; bins without rows are left out.
+    """Rows per equal-width price bin of each frame, of at least one column; bins without rows are left out.
 
     The bin width is the smaller of the Sturges and the Freedman-Diaconis
     width, or the former alone where the quartiles coincide.  A bin holds its
@@ -146,7 +136,7 @@ def price_histogram(
 
     # The quotient may be off by one at an edge; the edges themselves decide.
     quotient = F.floor((value - F.col("low")) / ((F.col("high") - F.col("low")) / n_bins))
-    near = _with_limits(counted, limits, frame).withColumn("_near", F.least(quotient, n_bins - 1))
+    near = add_by_key(counted, limits, frame).withColumn("_near", F.least(quotient, n_bins - 1))
     guess = F.col("_near")
     placed = near.withColumn(
         "bin",

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfgauge.operators.joins import add_by_key
 from shelfgauge.operators.pricing import FRAME
 from shelfgauge.sources.tables import written
 
@@ -15,10 +13,6 @@ from shelfgauge.sources.tables import written
 WINDOW_ROWS = 1_000_000
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]):
-    return reduce(and_, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
-
-
 def running_total(
     table: DataFrame, frame: tuple[str, ...], order: str, measure: str, name: str,
     window_rows: int = WINDOW_ROWS,
@@ -41,7 +35,7 @@ def running_total(
         table.repartitionByRange(*frame, order).withColumn("_slice", F.spark_partition_id()),
         "slices",
     )
-    place = [*frame, "_slice"]
+    place = (*frame, "_slice")
     within = Window.partitionBy(*place).orderBy(order).rowsBetween(*up_to_here)
     before = (
         Window.partitionBy(*frame).orderBy("_slice")
@@ -50,11 +44,10 @@ def running_total(
     inside = sliced.withColumn("_inside", F.sum(measure).over(within))
     offsets = (
         sliced.groupBy(*place).agg(F.sum(measure).alias("_sum"))
-        .withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+        .select(*place, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     )
-    return inside.join(offsets, _same(inside, offsets, place)).select(
-        *[inside[c] for c in table.columns],
-        (F.col("_inside") + F.col("_before")).alias(name),
+    return add_by_key(inside, offsets, place).select(
+        *table.columns, (F.col("_inside") + F.col("_before")).alias(name)
     )
 
 
@@ -74,9 +67,8 @@ def dense_price_rank(
 
     prices = written(table.select(*frame, price).distinct().withColumn("_one", F.lit(1)), "prices")
     ranks = running_total(prices, frame, price, "_one", "_rank", window_rows)
-    return table.join(ranks, _same(table, ranks, [*frame, price])).select(
-        *[table[c] for c in table.columns], F.col("_rank").cast("double").alias(name)
-    )
+    ranks = ranks.select(*frame, price, F.col("_rank").cast("double").alias(name))
+    return add_by_key(table, ranks, (*frame, price))
 
 
 def rank_frequency(ranked: DataFrame, keys: tuple[str, ...] = (), rank: str = "per_size_rank") -> DataFrame:
@@ -96,4 +88,4 @@ def group_mean(df: DataFrame, keys: tuple[str, ...], value: str, name: str) -> D
     means = table.groupBy(*keys).agg(
         (F.sum(value).cast("double") / F.count(value)).alias(name)
     )
-    return table.join(means, _same(table, means, list(keys))).select(*[table[c] for c in table.columns], name)
+    return add_by_key(table, means, keys)

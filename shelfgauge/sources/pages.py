@@ -1,6 +1,7 @@
 """Landed search result pages to offers.
 
-Pages land as JSON lines under ``fulfillment=<mode>/term=<term>/store=<store>/``.
+Pages land as JSON lines under ``fulfillment=<mode>/term=<term>/store=<store>/``;
+where there are too many stores for folders, ``store`` is a field of the page.
 All pages of all searches are read as one table: the folder columns prune what
 is not asked for, and the pages of a search need no appending.
 """

@@ -89,7 +89,7 @@ def ingest_partition_filter(spark, sf_dir):
     """Land all pages as files in their folders, then search two terms."""
     landing = f"{tables.shared_folder(spark)}/shelfgauge/landing-{tables.unique()}"
     texts = surrogate.landed_page_texts(spark, sf_dir)
-    landed = texts.select(F.lit(pages.FULFILLMENT).alias("fulfillment"), "term", "store", "value")
+    landed = texts.select(F.lit(pages.FULFILLMENT).alias("fulfillment"), "term", "value")
     landed.hint("rebalance", "term").write.partitionBy("fulfillment", "term").text(landing)
     return pages.flatten_pages(pages.read_pages(spark, landing, SEARCHED_TERMS))
 
@@ -308,7 +308,8 @@ def price_histogram(spark, sf_dir):
 @query
 def price_histogram_sliced(spark, sf_dir):
     """One histogram of the whole table, by the way that large tables take."""
-    return audits.price_histogram(best_weights(spark, sf_dir), "per_size_oz", (), window_rows=0)
+    whole = best_weights(spark, sf_dir).withColumn("category", F.lit("all"))
+    return audits.price_histogram(whole, "per_size_oz", window_rows=0)
 
 
 @query

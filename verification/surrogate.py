@@ -145,7 +145,8 @@ def landed_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array(normal))
     )
     meta = F.struct(F.struct(F.size(listed).alias("total")).alias("pagination"))
-    page = F.to_json(F.struct(listed.alias("data"), meta.alias("meta")))
+    store = F.col("store_id").cast("string").alias("store")
+    page = F.to_json(F.struct(listed.alias("data"), meta.alias("meta"), store))
     text = (
         F.when(line == 6, F.substring(page, 1, 40))
         .when(line == 7, F.to_json(F.struct(F.lit("timed out").alias("error"))))
@@ -153,7 +154,7 @@ def landed_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return offers(spark, sf_dir).select(
         F.col("category").alias("term"),
-        F.col("store_id").cast("string").alias("store"),
+        store,
         text.alias("value"),
     )
 
