@@ -20,8 +20,8 @@ from shelfgauge.functions.units import COUNT_WORDS, OUNCES_IN
 # engine or another would cast to a number.
 PLAIN_NUMBER = r"^([0-9]+[.]?[0-9]*|[.][0-9]+)$"
 
-# Runs of white space of any kind, no-break space included.
-WHITE_SPACE = r"(?U)[\s\x1c-\x1f]+"
+# White space other than the plain space.
+OTHER_SPACE = r"[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def plain_number(text: Column) -> Column:
@@ -44,8 +44,13 @@ def unit_part(size: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """White-space separated words, without empty ones."""
-    return F.array_remove(F.split(text, WHITE_SPACE), "")
+    """White-space separated words, without empty ones.
+
+    Splitting at single spaces is several times faster than at a pattern, so
+    the rare other kinds of white space are turned into spaces first.
+    """
+    spaced = F.when(text.rlike(OTHER_SPACE), F.regexp_replace(text, OTHER_SPACE, " ")).otherwise(text)
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def last_of(words: Column) -> Column:

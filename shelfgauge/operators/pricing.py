@@ -91,21 +91,24 @@ def best_price(df: DataFrame, unit: str, frame: tuple[str, ...] = FRAME) -> Data
     """
     keys = [*frame, "description"]
     rest = ["regular", "promo", "size", pct_change(unit)]
-    cheapest = F.min(F.struct(lowest_unit_price(unit).alias(per_size(unit)), *rest)).alias("_best")
-    return (
-        drop_incomplete(df, unit)
-        .groupBy(*keys)
-        .agg(cheapest)
-        .select(
-            *keys,
-            *[F.col(f"_best.{name}").alias(name) for name in ("size", "regular", "promo")],
-            F.col(f"_best.{per_size(unit)}").alias(per_size(unit)),
-            F.col(f"_best.{pct_change(unit)}").alias(pct_change(unit)),
-        )
+    narrow = drop_incomplete(df, unit).select(
+        *keys, lowest_unit_price(unit).alias(per_size(unit)), *rest
     )
+    best = narrow.groupBy(*keys).agg(F.min(F.struct(per_size(unit), *rest)).alias("_best"))
+    shown = ("size", "regular", "promo", per_size(unit), pct_change(unit))
+    return best.select(*keys, *[F.col(f"_best.{name}").alias(name) for name in shown])
 
 
 def cheapest_first(df: DataFrame, price: str, frame: tuple[str, ...] = ()) -> DataFrame:
     """Sort by unit price, ties in a fixed order."""
-    ties = [c for c in ("regular", "promo", "size", "description", *FRAME) if c in df.columns]
-    return df.orderBy(*dict.fromkeys([*frame, price, *ties]))
+    return df.orderBy(*dict.fromkeys([*frame, price, "regular", "promo", "size", *df.columns]))
+
+
+def by_description(df: DataFrame, descending: bool = False) -> DataFrame:
+    """Sort by description, ties in a fixed order.
+
+    All other columns break ties, so the rows of a frequent description can be
+    sorted by several tasks.
+    """
+    description = F.desc("description") if descending else F.asc("description")
+    return df.orderBy(description, *[name for name in df.columns if name != "description"])

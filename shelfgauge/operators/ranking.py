@@ -81,11 +81,8 @@ def group_mean(df: DataFrame, keys: tuple[str, ...], value: str, name: str) -> D
     """Add the mean of ``value`` over rows of equal ``keys`` to each row.
 
     The means are combined before the shuffle and joined back, so a hot key
-    never lies in one window.  A decimal ``value`` is summed exactly, in any
-    order.
+    never lies in one window; ``df`` is read twice.  A decimal ``value`` is
+    summed exactly, in any order.
     """
-    table = written(df, "means")
-    means = table.groupBy(*keys).agg(
-        (F.sum(value).cast("double") / F.count(value)).alias(name)
-    )
-    return add_by_key(table, means, keys)
+    means = df.groupBy(*keys).agg((F.sum(value).cast("double") / F.count(value)).alias(name))
+    return add_by_key(df, means, keys)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,26 +16,22 @@ TEA_BAGS = "Tea Bags|Teabags"
 LONGEST_FIXED_LIST = 5_000
 
 
-def fixed_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
+def fixed_table(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:
     """A short constant table, evaluated in the JVM and marked for broadcast."""
     if not 0 < len(rows) <= LONGEST_FIXED_LIST:
         raise ValueError(f"a fixed table holds 1 to {LONGEST_FIXED_LIST} rows, not {len(rows)}")
-    structs = [
-        F.struct(*[F.lit(value).alias(name) for name, value in zip(columns, row, strict=True)])
-        for row in rows
-    ]
-    return F.broadcast(spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs))))
-
-
-def fixed_rules(
-    spark: SparkSession, columns: Sequence[str], rows: Sequence[tuple]
-) -> DataFrame:
-    """Repair rules from a literal list; ``columns`` end in old_size, new_size."""
-    if tuple(columns[-2:]) != ("old_size", "new_size"):
-        raise ValueError("rule columns end in old_size, new_size")
+    names = [column.split()[0] for column in schema.split(",")]
+    listed = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    table = F.inline(F.from_json(F.lit(listed), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>"))
+    return F.broadcast(spark.range(0, 1, 1, 1).select(table))
+
+
+def fixed_rules(spark: SparkSession, keys: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
+    """Repair rules from a literal list of (*keys, old size, new size)."""
     if len({row[:-1] for row in rows}) != len(rows):
         raise ValueError("two rules have the same key")
-    return fixed_table(spark, columns, rows)
+    columns = [f"{name} string" for name in (*keys, "old_size", "new_size")]
+    return fixed_table(spark, ", ".join(columns), rows)
 
 
 def repair_sizes(df: DataFrame, rules: DataFrame) -> DataFrame:

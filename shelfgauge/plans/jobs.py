@@ -32,11 +32,10 @@ def repaired(offers: DataFrame, recipe: Recipe) -> DataFrame:
     if recipe.rewrite:
         df = df.withColumn("size", recipe.rewrite(F.col("description"), F.col("size")))
     if recipe.product_repairs:
-        columns = ("description", "old_size", "new_size")
-        df = repair.repair_sizes(df, repair.fixed_rules(spark, columns, recipe.product_repairs))
+        rules = repair.fixed_rules(spark, ("description",), recipe.product_repairs)
+        df = repair.repair_sizes(df, rules)
     if recipe.repairs:
-        columns = ("old_size", "new_size")
-        df = repair.repair_sizes(df, repair.fixed_rules(spark, columns, recipe.repairs))
+        df = repair.repair_sizes(df, repair.fixed_rules(spark, (), recipe.repairs))
     if recipe.keep_repaired:
         df = df.filter(recipe.keep_repaired())
     return repair.add_pack_total(df, recipe.pack_brand) if recipe.pack_brand else df
@@ -117,12 +116,11 @@ def price_catalogue(offers: DataFrame, recipes: dict[str, Recipe]) -> DataFrame:
         (term, *rule) for term, recipe in recipes.items() for rule in recipe.product_repairs
     ]
     if by_product:
-        columns = ("category", "description", "old_size", "new_size")
-        df = repair.repair_sizes(df, repair.fixed_rules(spark, columns, by_product))
+        rules = repair.fixed_rules(spark, ("category", "description"), by_product)
+        df = repair.repair_sizes(df, rules)
     by_size = [(term, *rule) for term, recipe in recipes.items() for rule in recipe.repairs]
     if by_size:
-        columns = ("category", "old_size", "new_size")
-        df = repair.repair_sizes(df, repair.fixed_rules(spark, columns, by_size))
+        df = repair.repair_sizes(df, repair.fixed_rules(spark, ("category",), by_size))
     df = df.filter(kept(lambda recipe: recipe.keep_repaired))
 
     packages = F.array(

@@ -436,7 +436,7 @@ ORACLE_SQL: dict[str, str] = {
     "keep_any_size": over_offers("select * from sized where size_oz is not null or size_each is not null",
                                  size_step("weight", "text")),
     "sort_description": over_offers(
-        "select description, size from offers where contains(size, '/') order by description desc, size"),
+        "select * from offers where contains(size, '/') order by description desc"),
     "exclude_regex": over_offers(f"select * from offers where {IS_PEANUT_BUTTER}"),
     "exclude_findall": over_offers(f"select * from offers where {NO_PODS}"),
     "contains_ci": over_offers(f"select * from offers where {IS_EGG}"),

@@ -149,14 +149,13 @@ def repair_literal(spark, sf_dir):
         *fixed_repairs.VEGETABLE_REPAIRS, *fixed_repairs.MILK_REPAIRS, *fixed_repairs.TEA_REPAIRS,
         *fixed_repairs.EGG_REPAIRS, *fixed_repairs.PEANUT_BUTTER_REPAIRS,
     ]
-    table = repair.fixed_rules(spark, ("old_size", "new_size"), rules)
+    table = repair.fixed_rules(spark, (), rules)
     return repair.repair_sizes(offers(spark, sf_dir), table)
 
 
 @query
 def repair_keyed(spark, sf_dir):
-    columns = ("description", "old_size", "new_size")
-    table = repair.fixed_rules(spark, columns, fixed_repairs.MEAT_REPAIRS)
+    table = repair.fixed_rules(spark, ("description",), fixed_repairs.MEAT_REPAIRS)
     return repair.repair_sizes(offers(spark, sf_dir), table)
 
 
@@ -341,8 +340,7 @@ def keep_any_size(spark, sf_dir):
 
 @query
 def sort_description(spark, sf_dir):
-    table = audits.compound_sizes(offers(spark, sf_dir)).select("description", "size")
-    return table.orderBy(F.desc("description"), "size")
+    return pricing.by_description(audits.compound_sizes(offers(spark, sf_dir)), descending=True)
 
 
 # Product filters

@@ -26,85 +26,65 @@ KNOWN_SIZES = (
 PACK_BRAND_CODE = "Brand#7"
 
 
+# Columns the offers are made of; a declared schema spares the look into the files.
+COLUMNS = {
+    "lineitem": "l_partkey bigint, l_suppkey bigint, l_linenumber int, l_extendedprice double, l_discount double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _pick(values: tuple[str, ...], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
-
-
-def _size_text() -> Column:
-    p_size = F.col("p_size").cast("string")
-    sixteenth = F.floor(F.col("p_partkey") / 16)
-    texts = {
-        0: F.lit("each"),
-        1: F.lit("1 each"),
-        2: F.lit("1/2 gal"),
-        3: F.lit("large dozen"),
-        4: F.lit(None).cast("string"),
-        5: F.concat(p_size, F.lit(" ct")),
-        6: F.concat(p_size, F.lit("ct")),
-        7: F.concat(p_size, F.lit(" lb")),
-        8: F.concat(p_size, F.lit(" fl oz")),
-        9: F.concat(p_size, F.lit(" qt")),
-        10: F.concat(p_size, F.lit(" l")),
-        11: F.concat(p_size, F.lit(" rolls")),
-        12: F.concat((1 + F.col("p_size") % 6).cast("string"), F.lit(" ct / "), p_size, F.lit(" oz")),
-        13: F.concat(p_size, F.lit(".5 oz.")),
-        14: F.concat(p_size, F.lit(" oz")),
-        15: _pick(KNOWN_SIZES, sixteenth % 10),
-    }
-    kind = F.col("p_partkey") % 16
-    case = F.when(kind == 0, texts[0])
-    for residue in range(1, 16):
-        case = case.when(kind == residue, texts[residue])
-    return case
+    reader = spark.read.schema(COLUMNS[name]) if name in COLUMNS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pick(values: tuple[str, ...], index: str) -> str:
+    listed = ", ".join(f"'{value}'" for value in values)
+    return f"element_at(array({listed}), cast({index} as int) + 1)"
+
+
+SIZE = f"""case cast(p_partkey % 16 as int)
+    when 0 then 'each' when 1 then '1 each' when 2 then '1/2 gal' when 3 then 'large dozen'
+    when 4 then cast(null as string)
+    when 5 then concat(p_size, ' ct') when 6 then concat(p_size, 'ct')
+    when 7 then concat(p_size, ' lb') when 8 then concat(p_size, ' fl oz')
+    when 9 then concat(p_size, ' qt') when 10 then concat(p_size, ' l')
+    when 11 then concat(p_size, ' rolls')
+    when 12 then concat(1 + p_size % 6, ' ct / ', p_size, ' oz')
+    when 13 then concat(p_size, '.5 oz.') when 14 then concat(p_size, ' oz')
+    else {_pick(KNOWN_SIZES, "(p_partkey div 16) % 10")} end"""
+
+DESCRIPTION = f"concat(p_name, {_pick(ENDINGS, '(p_partkey div 16) % 16')})"
+
+RULE = f"""case when p_partkey % 16 = 12 and (p_partkey div 16) % 4 = 3
+    then cast((p_partkey div 64) % {len(MEAT_REPAIRS)} as int) end"""
+
+PROMO = """case when l_linenumber = 7 then cast(null as double)
+    when l_discount = 0 then cast(0 as double)
+    else floor(l_extendedprice * (1 - l_discount) * 100 + 0.5) / 100 end"""
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part as products; some compound sizes belong to products with a rule of their own."""
-    key = F.col("p_partkey")
     named = fixed_table(
         spark,
-        ("rule", "rule_description", "rule_size"),
+        "rule int, rule_description string, rule_size string",
         [(i, name, size) for i, (name, size, _) in enumerate(MEAT_REPAIRS)],
     )
-    rule = F.when(
-        (key % 16 == 12) & (F.floor(key / 16) % 4 == 3),
-        (F.floor(key / 64) % len(MEAT_REPAIRS)).cast("int"),
-    )
-    return (
-        table(spark, sf_dir, "part")
-        .withColumn("rule_of_part", rule)
-        .join(named, F.col("rule_of_part") == F.col("rule"), "left")
-        .select(
-            "p_partkey",
-            F.col("p_type").alias("category"),
-            F.coalesce(
-                "rule_description",
-                F.concat(F.col("p_name"), _pick(ENDINGS, F.floor(key / 16) % 16)),
-            ).alias("description"),
-            F.when(F.col("p_brand") == PACK_BRAND_CODE, PACK_BRAND)
-            .otherwise(F.col("p_brand")).alias("brand"),
-            F.coalesce(F.col("rule_size"), _size_text()).alias("size"),
-        )
+    part = table(spark, sf_dir, "part").selectExpr("*", f"{RULE} as rule")
+    return part.join(named, "rule", "left").selectExpr(
+        "p_partkey",
+        "p_type as category",
+        f"coalesce(rule_description, {DESCRIPTION}) as description",
+        f"if(p_brand = '{PACK_BRAND_CODE}', '{PACK_BRAND}', p_brand) as brand",
+        f"coalesce(rule_size, {SIZE}) as size",
     )
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as offers: one store's regular and promo price for one product."""
-    price, discount = F.col("l_extendedprice"), F.col("l_discount")
-    promo = (
-        F.when(F.col("l_linenumber") == 7, F.lit(None).cast("double"))
-        .when(discount == 0, F.lit(0.0))
-        .otherwise(F.floor(price * (1 - discount) * 100 + 0.5) / 100)
-    )
-    prices = table(spark, sf_dir, "lineitem").select(
-        "l_partkey",
-        F.col("l_suppkey").alias("store_id"),
-        price.alias("regular"),
-        promo.alias("promo"),
+    prices = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_partkey", "l_suppkey as store_id", "l_extendedprice as regular", f"{PROMO} as promo",
         "l_linenumber",
     )
     # Both sides grow with the data, so neither is ever broadcast; adaptive
