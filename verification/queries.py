@@ -110,7 +110,7 @@ def store_flatten(spark, sf_dir):
 @query
 def store_match_first(spark, sf_dir):
     return stores.first_store(
-        store_table(spark, sf_dir), "#0+[1-9][0-9]*5$", "ASIA", ("position", "place")
+        store_table(spark, sf_dir), "#0+[1-9][0-9]*$", "ASIA", ("position", "place")
     )
 
 
