@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfgauge.sources.schemas import PAGE, partitioned
+from shelfgauge.sources.schemas import PAGE, parse_json, partitioned
 
 # Fixed value: the fulfilment mode searched for, pick-up at the store.
 FULFILLMENT = "csp"
@@ -49,10 +49,7 @@ def read_pages(
 
 def parse_pages(texts: DataFrame, value: str = "value") -> DataFrame:
     """Pages held as JSON text in a column; a text that is not JSON gives no data."""
-    others = [name for name in texts.columns if name != value]
-    return texts.select(*others, F.from_json(value, PAGE, {"mode": "PERMISSIVE"}).alias("_page")).select(
-        *others, "_page.*"
-    )
+    return parse_json(texts, PAGE, value)
 
 
 def flatten_pages(pages: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Schemas of landed JSON; naming only what is used prunes the rest on read."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PRICE = T.StructType([
@@ -42,3 +44,13 @@ STORE_PAGE = T.StructType([T.StructField("data", T.ArrayType(STORE))])
 def partitioned(page: T.StructType, *folders: str) -> T.StructType:
     """``page`` plus the string columns its landing folders are named after."""
     return T.StructType([*page.fields, *[T.StructField(name, T.StringType()) for name in folders]])
+
+
+def parse_json(texts: DataFrame, schema: T.StructType, value: str) -> DataFrame:
+    """Replace the JSON text ``value`` by the fields of ``schema``; NULL where it is not JSON.
+
+    ``inline`` keeps the text parsed once: a filter on a field stays above it.
+    """
+    others = [name for name in texts.columns if name != value]
+    parsed = F.from_json(value, schema, {"mode": "PERMISSIVE"})
+    return texts.select(*others, F.inline(F.array(parsed)))

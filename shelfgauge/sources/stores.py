@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfgauge.sources.schemas import STORE_PAGE, partitioned
+from shelfgauge.sources.schemas import STORE_PAGE, parse_json, partitioned
 
 
 def read_store_pages(spark: SparkSession, path: str, zipcode: str | None = None) -> DataFrame:
@@ -17,10 +17,7 @@ def read_store_pages(spark: SparkSession, path: str, zipcode: str | None = None)
 
 
 def parse_store_pages(texts: DataFrame, value: str = "value") -> DataFrame:
-    others = [name for name in texts.columns if name != value]
-    return texts.select(*others, F.from_json(value, STORE_PAGE).alias("_page")).select(
-        *others, "_page.*"
-    )
+    return parse_json(texts, STORE_PAGE, value)
 
 
 def flatten_stores(pages: DataFrame) -> DataFrame:
