@@ -13,9 +13,9 @@ from shelfgauge.functions.sizes import first_match
 from shelfgauge.operators import combine, filters, pricing, ranking, repair, sizing
 from shelfgauge.operators.pricing import FRAME
 from shelfgauge.operators.stamp import stamp_run
-from shelfgauge.plans.recipes import Recipe
-from shelfgauge.sources.pages import product_search
-from shelfgauge.sources.stores import find_store_id
+from shelfgauge.plans.recipes import Recipe, recipes_by_term
+from shelfgauge.sources.pages import flatten_pages, product_search, read_pages
+from shelfgauge.sources.stores import StoreSearch, find_store_id
 
 
 def search(spark: SparkSession, pages: str, stores: str, recipe: Recipe) -> DataFrame:
@@ -25,6 +25,21 @@ def search(spark: SparkSession, pages: str, stores: str, recipe: Recipe) -> Data
     return found.withColumn("category", F.lit(recipe.name))
 
 
+def search_all(spark: SparkSession, pages: str, stores: str) -> DataFrame:
+    """The offers of all categories, each from its own store, in one scan.
+
+    ``category`` holds the search term.
+    """
+    terms_of: dict[StoreSearch, list[str]] = {}
+    for term, recipe in recipes_by_term().items():
+        terms_of.setdefault(recipe.store, []).append(term)
+    wanted = reduce(or_, [
+        F.col("term").isin(*terms) & (F.col("store") == find_store_id(spark, stores, store))
+        for store, terms in terms_of.items()
+    ])
+    return flatten_pages(read_pages(spark, pages).filter(wanted))
+
+
 def repaired(offers: DataFrame, recipe: Recipe) -> DataFrame:
     """The category's products with their size texts put right."""
     spark = offers.sparkSession
@@ -140,3 +155,13 @@ def price_catalogue(offers: DataFrame, recipes: dict[str, Recipe]) -> DataFrame:
     frame = (*FRAME, "unit")
     best = pricing.best_price(pricing.add_unit_prices(sized), "unit", frame)
     return ranking.dense_price_rank(best, pricing.per_size("unit"), frame)
+
+
+def merge_priced(catalogue: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Related categories of a priced catalogue as one, ranked anew; earlier names win.
+
+    Starts from the result rows, so the offers are not read again.
+    """
+    price, frame = pricing.per_size("unit"), ("store_id", "unit")
+    tables = [catalogue.filter(F.col("category") == name).drop("per_size_rank") for name in names]
+    return ranking.dense_price_rank(combine.first_source_wins(tables, price, frame), price, frame)

@@ -118,6 +118,11 @@ RECIPES = (
     TEA, SALAD_DRESSING, EGGS, PEANUT_BUTTER,
 )
 
+# Categories merged into one table, the earlier winning; and those put below
+# each other with their own ranks.
+MERGED = {"produce": (VEGETABLES, FRUIT), "all coffee": (COFFEE, DECAF_COFFEE)}
+SIDE_BY_SIDE = {"creamer and milk": (CREAMER, MILK)}
+
 
 def recipes_by_term() -> dict[str, Recipe]:
     return {term: recipe for recipe in RECIPES for term in recipe.terms}

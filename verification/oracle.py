@@ -328,7 +328,7 @@ CATALOGUE = {
 }
 
 
-def catalogue_job() -> str:
+def catalogue_steps() -> list[str]:
     steps, parts = [], []
     for name, terms in CATALOGUE.items():
         prepare, oz, count, count_unit, _ = PREPARED[name]
@@ -350,8 +350,19 @@ def catalogue_job() -> str:
             parts.append(f"""select {FRAME}, '{unit}' as unit, description, size, regular, promo,
               per_size_{unit} as per_size_unit,
               pct_change_regular_to_promo_size_{unit} as pct_change_regular_to_promo_size_unit from {q}best""")
-    steps.append("best as (" + "\nunion all\n".join(parts) + ")")
-    return over_offers(ranked("unit", FRAME + ", unit"), *steps)
+    return [*steps, "best as (" + "\nunion all\n".join(parts) + ")"]
+
+
+def merged_catalogue() -> str:
+    first = """
+first as (
+  select * exclude (place, source) from (
+    select *, row_number() over (partition by store_id, unit, description, size order by source) as place
+    from (select *, 1 as source from best where category = 'vegetables'
+          union all select *, 2 as source from best where category = 'milk') as u) as p
+  where place = 1
+)"""
+    return over_offers(ranked("unit", "store_id, unit", "first"), *catalogue_steps(), first)
 
 
 PLACE = "category, store_id, description, size"
@@ -460,7 +471,8 @@ ORACLE_SQL: dict[str, str] = {
     "job_meat": over_offers(f"select *, {PACK_TOTAL} as pack_total from repaired",
                             by_product(fixed_repairs.MEAT_REPAIRS, "offers", "repaired")),
     "job_laundry_detergent": over_offers("select * from sized", size_step("weight", "none")),
-    "job_all_categories": catalogue_job(),
+    "job_all_categories": over_offers(ranked("unit", FRAME + ", unit"), *catalogue_steps()),
+    "job_merge_priced": merged_catalogue(),
 }
 
 for _name in PREPARED:

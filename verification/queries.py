@@ -467,3 +467,10 @@ def job_laundry_detergent(spark, sf_dir):
 @query
 def job_all_categories(spark, sf_dir):
     return jobs.price_catalogue(offers(spark, sf_dir), CATALOGUE)
+
+
+@query
+def job_merge_priced(spark, sf_dir):
+    """Two categories of the priced catalogue merged without reading the offers again."""
+    catalogue = tables.written(jobs.price_catalogue(offers(spark, sf_dir), CATALOGUE), "catalogue")
+    return jobs.merge_priced(catalogue, ("vegetables", "milk"))
