@@ -121,11 +121,22 @@ def is_count_and_ounces(size: Column) -> Column:
     return size.contains("ct") & size.contains("oz")
 
 
+def number_text(number: Column) -> Column:
+    """A number as plain digits, "0.0005" and "12345678.9" included.
+
+    The cast of a double alone writes such numbers with an exponent.
+    """
+    digits = F.regexp_replace(number.cast("decimal(38,20)").cast("string"), "0+$", "")
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    unusual = (number >= 1e7) & (number < 1e16) | (number >= 1e-4) & (number < 1e-3)
+    return F.when(unusual, plain).otherwise(number.cast("string"))
+
+
 def multiplied_out(size: Column) -> Column:
     """"6 ct / 1.5 fl oz" to "9.0 oz"; NULL where a number is missing."""
     words = words_of(size)
     total = plain_number(F.get(words, F.lit(0))) * plain_number(F.get(words, F.lit(3)))
-    return F.concat(total.cast("string"), F.lit(" "), last_of(words))
+    return F.concat(number_text(total), F.lit(" "), last_of(words))
 
 
 def pack_total(size: Column) -> Column:

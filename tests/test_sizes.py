@@ -1,5 +1,8 @@
 """Golden size texts through every dialect, and the computed repairs."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +134,72 @@ def test_fixed_tables_stay_short_and_unambiguous(spark):
         repair.fixed_rules(spark, (), [("a", "b"), ("a", "c")])
     with pytest.raises(ValueError, match="1 to"):
         repair.fixed_table(spark, "old_size string", [])
+
+
+@pytest.mark.parametrize("number", [9.0, 7.800000000000001, 0.001, 0.0005, 0.00012345, 9999999.5, 1e7, 12345678.9, 1.5e15])
+def test_numbers_are_written_in_plain_digits(table, number):
+    assert table("n double", [(number,)]).select(sizes.number_text(F.col("n"))).first()[0] == str(number)
+
+
+OUNCES = {"oz": 1, "lb": 16, "qt": 32, "l": 33.81, "gal": 128}
+
+
+def amount(text):
+    return float(text) if re.fullmatch(r"[0-9]+\.?[0-9]*|\.[0-9]+", text) else None
+
+
+def times(number, factor):
+    return None if number is None else number * factor
+
+
+def by_text(text, units):
+    first, _, rest = text.partition(" ")
+    unit = rest if " " in text else text
+    for name in units:
+        if unit in ("l", "l.") if name == "l" else name in unit:
+            return times(amount(first), OUNCES[name])
+    return None
+
+
+def pieces_by_text(text):
+    first, _, rest = text.partition(" ")
+    unit = rest if " " in text else text
+    return amount(first) if any(w in unit for w in ("bunch", "ct", "each", "pk", "roll")) else None
+
+
+def by_last_word(text, units):
+    words = text.split()
+    for name in units:
+        lengths = (2, 3) if name == "oz" else (2,)
+        if words and words[-1] in (name, name + ".") and len(words) in lengths:
+            return times(amount(words[0]), OUNCES[name])
+    return None
+
+
+def pieces_by_last_word(text):
+    words = text.split()
+    if len(words) == 2 and words[-1] == "ct":
+        return amount(words[0])
+    return amount(words[0][:-2]) if words and words[0].endswith("ct") else None
+
+
+def test_random_sizes_equal_plain_python(table):
+    pick = random.Random(11)
+    parts = [
+        "1", "12", ".5", "3.", "2.25", "x", "1/2", "10d", "oz", "oz.", "fl", "lb", "lbs", "qt", "qt.", "l", "l.",
+        "ml", "gal", "ct", "20ct", "xct", "each", "pk", "rolls", "bunch", "/", "pt", "",
+    ]
+    texts = sorted({
+        pick.choice(["", " "]) * (pick.random() < 0.1)
+        + pick.choice([" ", " ", " ", "  ", "\t", "\u00a0"]).join(pick.choices(parts, k=pick.randint(1, 5)))
+        for _ in range(4000)
+    })
+    checks = [
+        (sizing.WEIGHT_TEXT, lambda t: by_text(t, ("oz", "lb"))),
+        (sizing.ANY_OUNCES_TEXT, lambda t: by_text(t, ("oz", "lb", "qt", "gal", "l"))),
+        (sizing.COUNT_TEXT, pieces_by_text),
+        (sizing.LIQUID_WORDS, lambda t: by_last_word(t, ("oz", "qt", "l", "gal"))),
+        (sizing.COUNT_WORDS_ONLY, pieces_by_last_word),
+    ]
+    for dialect, reckon in checks:
+        assert parse(table, dialect, texts) == {t: reckon(t) for t in texts}
