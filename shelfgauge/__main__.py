@@ -18,13 +18,24 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("pages", help="folder of landed search result pages")
     parser.add_argument("stores", help="folder of landed store searches")
     parser.add_argument("out", help="folder for the result tables")
+    parser.add_argument("--reports", action="store_true", help="also store the parsed offers and reports on them")
     parser.add_argument("--show", action="store_true", help="also print the tables")
     parser.add_argument("--master", help="Spark master, if not set by spark-submit")
     options = parser.parse_args(arguments)
 
     spark = build_session(options.master)
     offers = jobs.search_all(spark, options.pages, options.stores)
-    priced = stamp_run(jobs.price_catalogue(offers, recipes.recipes_by_term()))
+    by_term = recipes.recipes_by_term()
+    if options.reports:
+        parsed = jobs.parsed_catalogue(offers, by_term)
+        tables.write_result(parsed, f"{options.out}/offers")
+        parsed = tables.read_result(spark, f"{options.out}/offers", parsed.schema)
+        for name, report in jobs.catalogue_reports(parsed).items():
+            tables.write_result(report, f"{options.out}/reports/{name.replace(' ', '_')}")
+        priced = jobs.price_parsed(parsed.filter(F.col("category").isin(*jobs.priced_names(by_term))))
+    else:
+        priced = jobs.price_catalogue(offers, by_term)
+    priced = stamp_run(priced)
     tables.write_result(priced, f"{options.out}/prices")
     catalogue = tables.read_result(spark, f"{options.out}/prices", priced.schema)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgauge.functions.sizes import first_match
-from shelfgauge.operators import combine, filters, pricing, ranking, repair, sizing
+from shelfgauge.operators import audits, combine, filters, pricing, ranking, repair, sizing
 from shelfgauge.operators.pricing import FRAME
 from shelfgauge.operators.stamp import stamp_run
 from shelfgauge.plans.recipes import Recipe, recipes_by_term
@@ -95,35 +95,35 @@ def side_by_side(
     return combine.keep_ranks(tables, pricing.per_size(unit))
 
 
-def price_catalogue(offers: DataFrame, recipes: dict[str, Recipe]) -> DataFrame:
-    """Every category's result rows in one pass over the offers and one shuffle.
+def parsed_catalogue(offers: DataFrame, recipes: dict[str, Recipe]) -> DataFrame:
+    """Every category's products, repaired and parsed, in one pass without a shuffle.
 
-    ``recipes`` maps each value of ``category`` (a search term) to its recipe.
-    Rows carry the recipe's name, and the unit of their price; all are ranked
-    within category, store and unit.
+    ``recipes`` maps each value of ``category`` (a search term) to its recipe;
+    rows carry the recipe's name afterwards.  ``size_count`` counts in ``count_unit``.
     """
     spark = offers.sparkSession
-    groups: dict[str, list[str]] = {}
-    by_name: dict[str, Recipe] = {}
+    terms: dict[str, list[str]] = {}
     for term, recipe in recipes.items():
-        if recipe.results:
-            groups.setdefault(recipe.name, []).append(term)
-            by_name[recipe.name] = recipe
-    belongs = {name: F.col("category").isin(*terms) for name, terms in groups.items()}
+        terms.setdefault(recipe.name, []).append(term)
+    members = list({recipe.name: recipe for recipe in recipes.values()}.values())
+
+    def belongs(recipe: Recipe) -> Column:
+        return F.col("category").isin(*terms[recipe.name])
 
     def kept(rule: Callable[[Recipe], Callable[[], Column] | None]) -> Column:
         return reduce(or_, [
-            belongs[name] & rule(recipe)() if rule(recipe) else belongs[name]
-            for name, recipe in by_name.items()
+            belongs(recipe) & rule(recipe)() if rule(recipe) else belongs(recipe)
+            for recipe in members
         ])
 
-    def chosen(value: Callable[[Recipe], Column]) -> Column:
-        return first_match([(belongs[name], value(recipe)) for name, recipe in by_name.items()])
+    def chosen(value: Callable[[Recipe], Column | None], kind: str) -> Column:
+        cases = [(belongs(recipe), value(recipe)) for recipe in members if value(recipe) is not None]
+        return first_match(cases) if cases else F.lit(None).cast(kind)
 
     df = offers.filter(kept(lambda recipe: recipe.keep))
     rewrites = [
-        (belongs[name], recipe.rewrite(F.col("description"), F.col("size")))
-        for name, recipe in by_name.items() if recipe.rewrite
+        (belongs(recipe), recipe.rewrite(F.col("description"), F.col("size")))
+        for recipe in members if recipe.rewrite
     ]
     if rewrites:
         df = df.withColumn("size", first_match(rewrites).otherwise(F.col("size")))
@@ -138,25 +138,60 @@ def price_catalogue(offers: DataFrame, recipes: dict[str, Recipe]) -> DataFrame:
         df = repair.repair_sizes(df, repair.fixed_rules(spark, ("category",), by_size))
     df = df.filter(kept(lambda recipe: recipe.keep_repaired))
 
-    packages = F.array(
-        F.struct(
-            F.lit("oz").alias("unit"), chosen(lambda r: r.dialect.ounces()).alias("size_unit")
+    sized = sizing.add_parsed(df, {
+        "size_oz": chosen(
+            lambda r: r.dialect.ounces() if r.dialect and r.dialect.ounce_units else None, "double"
         ),
-        F.struct(
-            chosen(lambda r: F.lit(r.count_unit)).alias("unit"),
-            chosen(lambda r: r.dialect.pieces()).alias("size_unit"),
+        "size_count": chosen(
+            lambda r: r.dialect.pieces() if r.dialect and r.dialect.counts else None, "double"
         ),
+        "count_unit": chosen(lambda r: F.lit(r.count_unit), "string"),
+    })
+    return sized.withColumn("category", chosen(lambda r: F.lit(r.name), "string"))
+
+
+def price_parsed(parsed: DataFrame) -> DataFrame:
+    """Result rows of a parsed catalogue, in one shuffle.
+
+    Rows carry the unit of their price; all are ranked within category, store
+    and unit.
+    """
+    packages = F.array(
+        F.struct(F.lit("oz").alias("unit"), F.col("size_oz").alias("size_unit")),
+        F.struct(F.col("count_unit").alias("unit"), F.col("size_count").alias("size_unit")),
     )
-    sized = sizing.with_size_pieces(df).select(
-        chosen(lambda r: F.lit(r.name)).alias("category"),
-        "store_id", "description", "size", "regular", "promo",
-        F.inline(packages),
-    )
+    sized = parsed.select(*FRAME, "description", "size", "regular", "promo", F.inline(packages))
     frame = (*FRAME, "unit")
     best = pricing.best_price(pricing.add_unit_prices(sized), "unit", frame)
     return ranking.dense_price_rank(best, pricing.per_size("unit"), frame)
 
 
+def priced_names(recipes: dict[str, Recipe]) -> list[str]:
+    """Names of the categories that have result tables."""
+    return sorted({recipe.name for recipe in recipes.values() if recipe.results})
+
+
+def price_catalogue(offers: DataFrame, recipes: dict[str, Recipe]) -> DataFrame:
+    """Every category's result rows in one pass over the offers and one shuffle."""
+    priced = {term: recipe for term, recipe in recipes.items() if recipe.results}
+    return price_parsed(parsed_catalogue(offers, priced))
+
+
+def catalogue_reports(parsed: DataFrame) -> dict[str, DataFrame]:
+    """What the sizes of a stored parsed catalogue look like, per category."""
+    by = ("category",)
+    compound = audits.compound_sizes(parsed)
+    return {
+        "sizes": audits.size_frequency(parsed, by),
+        "units": audits.unit_frequency(parsed, by),
+        "compound": pricing.by_description(compound, descending=True),
+        "compound sizes": audits.size_frequency(compound, by),
+        "compound brands": audits.frequency(compound, "brand", "brand", by),
+        "bare each": audits.bare_each(parsed),
+        "unparsed": filters.unparsed(parsed, "size_oz", "size_count"),
+    }
+
+
 def merge_priced(catalogue: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Related categories of a priced catalogue as one, ranked anew; earlier names win.
 

@@ -2,12 +2,15 @@
 
 import json
 
+import pytest
+
 from shelfgauge import __main__ as program
 from shelfgauge.plans import recipes
 from shelfgauge.sources.stores import MAIN_STORE, SECOND_STORE
 
 
-def test_whole_run(spark, tmp_path):
+@pytest.mark.parametrize("options", [[], ["--reports", "--show"]])
+def test_whole_run(spark, tmp_path, options):
     stores = {MAIN_STORE: "11", SECOND_STORE: "22"}
     for search, location in stores.items():
         folder = tmp_path / "stores" / f"zip={search.zipcode}"
@@ -25,7 +28,7 @@ def test_whole_run(spark, tmp_path):
             ]
             (folder / "p.json").write_text(json.dumps({"data": listed}))
     out = tmp_path / "out"
-    program.main([str(tmp_path / "pages"), str(tmp_path / "stores"), str(out), "--master", "local[4]"])
+    program.main([str(tmp_path / "pages"), str(tmp_path / "stores"), str(out), "--master", "local[4]", *options])
 
     prices = spark.read.parquet(str(out / "prices"))
     assert {r.category for r in prices.select("category").distinct().collect()} == {
@@ -42,3 +45,8 @@ def test_whole_run(spark, tmp_path):
     assert sorted((r.category, r.description, r.per_size_rank) for r in both) == [
         ("creamer", "Egg Mix", 2.0), ("creamer", "Shared", 1.0), ("milk", "Egg Mix", 2.0), ("milk", "Shared", 1.0),
     ]
+    if "--reports" in options:
+        sizes = spark.read.parquet(str(out / "reports" / "sizes"))
+        assert {r.category for r in sizes.collect()} == {recipe.name for recipe in recipes.RECIPES}
+        unparsed = spark.read.parquet(str(out / "reports" / "unparsed"))
+        assert {r["size"] for r in unparsed.filter("category = 'toilet paper'").collect()} == {"8 oz", "16 oz"}

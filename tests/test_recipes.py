@@ -114,6 +114,49 @@ def test_catalogue_equals_the_single_jobs(table):
     assert got == expected and {row[0] for row in got} == {r.name for r in recipes.RECIPES if r.results}
 
 
+def test_parsed_catalogue_equals_the_single_jobs(table):
+    by_term = recipes.recipes_by_term()
+    names = ["Tea Bags", "Large Eggs", "Candy", "Coffee Pods", fixed_repairs.MEAT_REPAIRS[0][0]]
+    sizes = ["4 ct / 3 oz", "1/2 gal", "20ct", "large dozen", "16 fl oz", "1 lb", "3 ct / 1 lb", "5 pk", None]
+    offers = table(OFFER, [offer(n, s, category=term) for term in by_term for n in names for s in sizes])
+    parsed = jobs.parsed_catalogue(offers, by_term)
+    got = sorted(str((r.category, r.description, r["size"], r.size_oz, r.size_count)) for r in parsed.collect())
+    expected = []
+    for recipe in recipes.RECIPES:
+        mine = jobs.parsed(offers.filter(F.col("category").isin(*recipe.terms)), recipe)
+        columns = {
+            "oz": "size_oz" if "size_oz" in mine.columns else None,
+            "count": next((c for c in mine.columns if c in ("size_each", "size_ct")), None),
+        }
+        for r in mine.collect():
+            row = r.asDict()
+            expected.append((recipe.name, r.description, r["size"], row.get(columns["oz"]), row.get(columns["count"])))
+        if recipe.drop_unsized:  # the catalogue keeps them for its report
+            unsized = jobs.repaired(offers.filter(F.col("category").isin(*recipe.terms)), recipe)
+            known = {(r.description, r["size"]) for r in mine.collect()}
+            expected += [
+                (recipe.name, r.description, r["size"], None, None)
+                for r in unsized.collect() if (r.description, r["size"]) not in known
+            ]
+    assert got == sorted(map(str, expected))
+
+
+def test_reports(table):
+    df = table(OFFER, [
+        offer("a", "4 ct / 3 lb", brand="X"), offer("b", "4 ct / 3 lb", brand="Y"), offer("c", "each"),
+        offer("d", "2 oz"), offer("e", None),
+    ])
+    parsed = jobs.parsed_catalogue(df, {"c": recipes.MILK})
+    reports = {name: report.collect() for name, report in jobs.catalogue_reports(parsed).items()}
+    assert [(r["size"], r.n) for r in reports["sizes"]] == [("4 ct / 3 lb", 2), ("2 oz", 1), ("each", 1)]
+    assert [(r.unit, r.n) for r in reports["units"]] == [("ct / 3 lb", 2), ("oz", 1)]
+    assert [r.description for r in reports["compound"]] == ["b", "a"]
+    assert [(r["size"], r.n) for r in reports["compound sizes"]] == [("4 ct / 3 lb", 2)]
+    assert [(r.brand, r.n) for r in reports["compound brands"]] == [("X", 1), ("Y", 1)]
+    assert [r.description for r in reports["bare each"]] == ["c"]
+    assert sorted(r.description for r in reports["unparsed"]) == ["a", "b", "c", "e"]
+
+
 def test_from_landed_pages_to_result(spark, tmp_path):
     for term, size in (("decaf tea", "10 ct"), ("herbal tea", "20 ct")):
         folder = tmp_path / "pages" / "fulfillment=csp" / f"term={term}" / "store=77"

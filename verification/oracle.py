@@ -329,7 +329,7 @@ CATALOGUE = {
 
 
 def catalogue_steps() -> list[str]:
-    steps, parts = [], []
+    steps, parts, parsed = [], [], []
     for name, terms in CATALOGUE.items():
         prepare, oz, count, count_unit, _ = PREPARED[name]
         p = name[0] + "_"
@@ -342,6 +342,10 @@ def catalogue_steps() -> list[str]:
             steps.append(p + step)
         units = (["oz"] if oz != "none" else []) + ([count_unit] if count != "none" else [])
         steps.append(size_step(oz, count, f"{p}repaired", f"{p}sized", count_unit))
+        oz_column = "size_oz" if oz != "none" else "cast(null as double) as size_oz"
+        count_column = f"size_{count_unit}" if count != "none" else "cast(null as double)"
+        parsed.append(f"""select {FRAME}, description, brand, size, regular, promo, {oz_column},
+          {count_column} as size_count, '{count_unit}' as count_unit from {p}sized""")
         steps.append(price_step(*units, source=f"{p}sized", target=f"{p}priced"))
         for unit in units:
             q = f"{p}{unit}_"
@@ -350,7 +354,8 @@ def catalogue_steps() -> list[str]:
             parts.append(f"""select {FRAME}, '{unit}' as unit, description, size, regular, promo,
               per_size_{unit} as per_size_unit,
               pct_change_regular_to_promo_size_{unit} as pct_change_regular_to_promo_size_unit from {q}best""")
-    return [*steps, "best as (" + "\nunion all\n".join(parts) + ")"]
+    return [*steps, "best as (" + "\nunion all\n".join(parts) + ")",
+            "parsed as (" + "\nunion all\n".join(parsed) + ")"]
 
 
 def merged_catalogue() -> str:
@@ -473,6 +478,9 @@ ORACLE_SQL: dict[str, str] = {
     "job_laundry_detergent": over_offers("select * from sized", size_step("weight", "none")),
     "job_all_categories": over_offers(ranked("unit", FRAME + ", unit"), *catalogue_steps()),
     "job_merge_priced": merged_catalogue(),
+    "catalogue_parsed": over_offers("select * from parsed", *catalogue_steps()),
+    "catalogue_unparsed": over_offers("""select category, size, count(*) as n from parsed
+        where size_oz is null and size_count is null and size is not null group by 1, 2""", *catalogue_steps()),
 }
 
 for _name in PREPARED:

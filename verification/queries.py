@@ -474,3 +474,16 @@ def job_merge_priced(spark, sf_dir):
     """Two categories of the priced catalogue merged without reading the offers again."""
     catalogue = tables.written(jobs.price_catalogue(offers(spark, sf_dir), CATALOGUE), "catalogue")
     return jobs.merge_priced(catalogue, ("vegetables", "milk"))
+
+
+@query
+def catalogue_parsed(spark, sf_dir):
+    return jobs.parsed_catalogue(offers(spark, sf_dir), CATALOGUE)
+
+
+@query
+def catalogue_unparsed(spark, sf_dir):
+    """How many offers of each category have no size that was understood."""
+    parsed = jobs.parsed_catalogue(offers(spark, sf_dir), CATALOGUE)
+    unparsed = jobs.catalogue_reports(parsed)["unparsed"]
+    return audits.size_frequency(unparsed, ("category",))
