@@ -126,10 +126,8 @@ def number_text(number: Column) -> Column:
 
     The cast of a double alone writes such numbers with an exponent.
     """
-    digits = F.regexp_replace(number.cast("decimal(38,20)").cast("string"), "0+$", "")
-    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
-    unusual = (number >= 1e7) & (number < 1e16) | (number >= 1e-4) & (number < 1e-3)
-    return F.when(unusual, plain).otherwise(number.cast("string"))
+    digits = F.regexp_replace(number.try_cast("decimal(38,20)").cast("string"), "0+$", "")
+    return F.regexp_replace(digits, "[.]$", ".0")
 
 
 def multiplied_out(size: Column) -> Column:
