@@ -52,6 +52,7 @@ def main() -> None:
         spark_sql_shuffle_partitions=cpus,
         spark_driver_memory="12g",
         spark_ui_showConsoleProgress="false",
+        spark_sql_session_timeZone="UTC",
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds(spark, sf_dir, "best_price_oz")  # warm up the JVM

@@ -54,7 +54,7 @@ def words_of(text: Column) -> Column:
 
 
 def last_of(words: Column) -> Column:
-    return F.get(words, F.size(words) - 1)
+    return F.get(words, F.array_size(words) - 1)
 
 
 def first_match(branches: list[tuple[Column, Column]]) -> Column:
@@ -93,7 +93,7 @@ def ounces_by_last_word(
 
     Ounces allow one word in between ("59 fl oz"), other units none.
     """
-    length = F.size(words)
+    length = F.array_size(words)
     return first_match([
         (
             last.isin(name, name + ".") & (length.isin(2, 3) if name == "oz" else length == 2),
@@ -107,7 +107,7 @@ def count_by_last_word(amount: Column, words: Column, last: Column) -> Column:
     """Pieces from "6 ct" or from a first word such as "20ct"."""
     first = F.get(words, F.lit(0))
     glued = F.regexp_extract(first, "^(.*)ct$", 1)
-    return F.when((last == "ct") & (F.size(words) == 2), amount).when(
+    return F.when((last == "ct") & (F.array_size(words) == 2), amount).when(
         first.endswith("ct"), plain_number(glued)
     )
 

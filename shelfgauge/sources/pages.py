@@ -79,5 +79,5 @@ def search_completeness(pages: DataFrame) -> DataFrame:
     """Products announced and received per search, to find pages that are missing."""
     return pages.groupBy("term", "store").agg(
         F.max("meta.pagination.total").alias("announced"),
-        F.sum(F.coalesce(F.size("data"), F.lit(0))).alias("received"),
+        F.sum(F.coalesce(F.array_size("data"), F.lit(0))).alias("received"),
     )

@@ -15,6 +15,7 @@ def spark():
         spark_sql_shuffle_partitions="8",
         spark_driver_memory="4g",
         spark_ui_showConsoleProgress="false",
+        spark_sql_session_timeZone="UTC",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -141,6 +141,26 @@ def test_written_tables_lie_in_the_shared_folder(spark, table):
     assert "FileScan" in kept._jdf.queryExecution().executedPlan().toString()
 
 
+class Settings(dict):
+    """The part of a session that names its master and folder."""
+
+    def __init__(self, **settings):
+        super().__init__({name.replace("_", "."): value for name, value in settings.items()})
+        self.conf = self
+        self.set = self.__setitem__
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_folder(Settings(spark_master="yarn"))
+    assert tables.shared_folder(Settings(spark_master="yarn", spark_checkpoint_dir="s3://b/c/")) == "s3://b/c"
+
+
+def test_a_local_session_gets_one_folder():
+    local = Settings(spark_master="local[2]")
+    assert tables.shared_folder(local) == tables.shared_folder(local) == local["spark.checkpoint.dir"]
+
+
 def test_show_result_cuts_nothing(table, capsys):
     long = "x" * 100
     tables.show_result(table("a string", [(long,)] * 30))

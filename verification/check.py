@@ -55,7 +55,10 @@ def difference(spark, connection, sf_dir: str, name: str) -> str:
 def main() -> None:
     sf_dir = f"/root/testdata/sf{sys.argv[1]}"
     names = sys.argv[2:] or list(QUERIES)
-    spark = build_session("local[8]", spark_sql_shuffle_partitions="8", spark_ui_showConsoleProgress="false")
+    spark = build_session(
+        "local[8]", spark_sql_shuffle_partitions="8", spark_sql_session_timeZone="UTC",
+        spark_ui_showConsoleProgress="false",
+    )
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(sf_dir)
     failed = 0

@@ -69,7 +69,7 @@ def ingest_skip_error_pages(spark, sf_dir):
     return page_table(spark, sf_dir).groupBy("term", "store").agg(
         F.count(F.lit(1)).alias("n_pages"),
         F.count("data").alias("n_good_pages"),
-        F.sum(F.coalesce(F.size("data"), F.lit(0))).alias("n_products"),
+        F.sum(F.coalesce(F.array_size("data"), F.lit(0))).alias("n_products"),
     )
 
 
@@ -378,7 +378,7 @@ def unit_part(spark, sf_dir):
         "size",
         sizes.amount_text(F.col("size")).alias("amount"),
         sizes.unit_part(F.col("size")).alias("unit"),
-        F.size(words).cast("bigint").alias("n_words"),
+        F.array_size(words).cast("bigint").alias("n_words"),
         F.get(words, F.lit(0)).alias("first_word"),
         sizes.last_of(words).alias("last_word"),
     )

@@ -124,7 +124,7 @@ def landed_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(line == 2, F.array(normal, without_price))
         .otherwise(F.array(normal))
     )
-    meta = F.struct(F.struct(F.size(listed).alias("total")).alias("pagination"))
+    meta = F.struct(F.struct(F.array_size(listed).alias("total")).alias("pagination"))
     store = F.col("store_id").cast("string").alias("store")
     page = F.to_json(F.struct(listed.alias("data"), meta.alias("meta"), store))
     text = (
