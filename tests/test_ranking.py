@@ -29,7 +29,14 @@ def reckon(rows, by_frame=True):
     }
 
 
-@pytest.mark.parametrize("window_rows", [1_000_000, 0])
+@pytest.mark.parametrize(("rows", "fits"), [(1_000, True), (300, True), (100, False), (0, False)])
+def test_frames_are_counted_before_a_window(table, rows, fits):
+    df = table("frame string", [("a",)] * 300 + [("b",)] * 150)
+    assert ranking.fits_windows(df, ("frame",), rows) == fits
+    assert ranking.fits_windows(df, (), rows) == (rows >= 450)
+
+
+@pytest.mark.parametrize("window_rows", [1_000_000, 400, 100, 0])
 @pytest.mark.parametrize("frame", [("frame",), ()])
 def test_dense_rank(table, window_rows, frame):
     data = rows(600, 1)
