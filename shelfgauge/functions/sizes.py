@@ -18,14 +18,24 @@ from shelfgauge.functions.units import COUNT_WORDS, OUNCES_IN
 
 # An unsigned decimal; keeps out "10d", "1_0", "NaN" and other texts which one
 # engine or another would cast to a number.
-PLAIN_NUMBER = r"^([0-9]+[.]?[0-9]*|[.][0-9]+)$"
+NUMBER = "([0-9]+[.]?[0-9]*|[.][0-9]+)"
 
-# White space other than the plain space.
-OTHER_SPACE = r"[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# White space other than the plain space, as the inside of a character class.
+OTHER_SPACE = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE, INK = f"[ {OTHER_SPACE}]", f"[^ {OTHER_SPACE}]"
+
+# A number, two words, another number: "6 ct / 1.5 fl oz".
+PACK = f"^{SPACE}*{NUMBER}{SPACE}+{INK}+{SPACE}+{INK}+{SPACE}+{NUMBER}(?:{SPACE}|$)"
+LAST_WORD = f"({INK}+){SPACE}*$"
 
 
 def plain_number(text: Column) -> Column:
-    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
+    """The number a text is, or NULL.
+
+    Casting a text that is no number costs an exception inside, so the pattern
+    is asked first.  ``text`` is a stored column: it is looked at twice.
+    """
+    return F.when(text.rlike(f"^{NUMBER}$"), text.try_cast("double"))
 
 
 def amount_text(size: Column) -> Column:
@@ -49,7 +59,8 @@ def words_of(text: Column) -> Column:
     Splitting at single spaces is several times faster than at a pattern, so
     the rare other kinds of white space are turned into spaces first.
     """
-    spaced = F.when(text.rlike(OTHER_SPACE), F.regexp_replace(text, OTHER_SPACE, " ")).otherwise(text)
+    other = f"[{OTHER_SPACE}]"
+    spaced = F.when(text.rlike(other), F.regexp_replace(text, other, " ")).otherwise(text)
     return F.array_remove(F.split(spaced, " "), "")
 
 
@@ -103,12 +114,11 @@ def ounces_by_last_word(
     ])
 
 
-def count_by_last_word(amount: Column, words: Column, last: Column) -> Column:
-    """Pieces from "6 ct" or from a first word such as "20ct"."""
-    first = F.get(words, F.lit(0))
-    glued = F.regexp_extract(first, "^(.*)ct$", 1)
+def count_by_last_word(amount: Column, first: Column, words: Column, last: Column) -> Column:
+    """Pieces from "6 ct" or from a ``first`` word such as "20ct"."""
+    glued = first.endswith("ct") & first.rlike(f"^{NUMBER}ct$")
     return F.when((last == "ct") & (F.array_size(words) == 2), amount).when(
-        first.endswith("ct"), plain_number(glued)
+        glued, F.replace(first, F.lit("ct"), F.lit("")).try_cast("double")
     )
 
 
@@ -132,9 +142,9 @@ def number_text(number: Column) -> Column:
 
 def multiplied_out(size: Column) -> Column:
     """"6 ct / 1.5 fl oz" to "9.0 oz"; NULL where a number is missing."""
-    words = words_of(size)
-    total = plain_number(F.get(words, F.lit(0))) * plain_number(F.get(words, F.lit(3)))
-    return F.concat(number_text(total), F.lit(" "), last_of(words))
+    count, amount = [F.regexp_extract(size, PACK, group).try_cast("double") for group in (1, 2)]
+    text = F.concat(number_text(count * amount), F.lit(" "), F.regexp_extract(size, LAST_WORD, 1))
+    return F.when(size.rlike(PACK), text)
 
 
 def pack_total(size: Column) -> Column:

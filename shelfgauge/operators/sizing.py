@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfgauge.functions import sizes
 
-AMOUNT, UNIT, WORDS, LAST, FIRST = "_amount", "_unit", "_words", "_last", "_first"
+AMOUNT, UNIT, WORDS, LAST = "_amount", "_unit", "_words", "_last"
+FIRST, FIRST_AMOUNT = "_first", "_first_amount"
 
 
 @dataclass(frozen=True)
@@ -25,13 +26,21 @@ class Dialect:
     ounce_units: tuple[str, ...] = ()
     counts: bool = False
 
+    @property
+    def ounce_side(self) -> Dialect | None:
+        return replace(self, counts=False) if self.ounce_units else None
+
+    @property
+    def count_side(self) -> Dialect | None:
+        return replace(self, ounce_units=()) if self.counts else None
+
     def ounces(self) -> Column:
         if not self.ounce_units:
             return F.lit(None).cast("double")
         if self.by == "text":
             return sizes.ounces_by_text(F.col(AMOUNT), F.col(UNIT), self.ounce_units)
         return sizes.ounces_by_last_word(
-            F.col(FIRST), F.col(WORDS), F.col(LAST), self.ounce_units
+            F.col(FIRST_AMOUNT), F.col(WORDS), F.col(LAST), self.ounce_units
         )
 
     def pieces(self) -> Column:
@@ -39,7 +48,9 @@ class Dialect:
             return F.lit(None).cast("double")
         if self.by == "text":
             return sizes.count_by_text(F.col(AMOUNT), F.col(UNIT))
-        return sizes.count_by_last_word(F.col(FIRST), F.col(WORDS), F.col(LAST))
+        return sizes.count_by_last_word(
+            F.col(FIRST_AMOUNT), F.col(FIRST), F.col(WORDS), F.col(LAST)
+        )
 
 
 WEIGHT_TEXT = Dialect("text", ("oz", "lb"))
@@ -57,13 +68,14 @@ def with_size_pieces(df: DataFrame) -> DataFrame:
     """Split ``size`` once; Catalyst drops the pieces a dialect does not read."""
     size = F.col("size")
     return df.withColumns({
-        AMOUNT: sizes.plain_number(sizes.amount_text(size)),
+        "_amount_text": sizes.amount_text(size),
         UNIT: sizes.unit_text(size),
         WORDS: sizes.words_of(size),
     }).withColumns({
+        AMOUNT: sizes.plain_number(F.col("_amount_text")),
+        FIRST: F.get(F.col(WORDS), F.lit(0)),
         LAST: sizes.last_of(F.col(WORDS)),
-        FIRST: sizes.plain_number(F.get(F.col(WORDS), F.lit(0))),
-    })
+    }).withColumn(FIRST_AMOUNT, sizes.plain_number(F.col(FIRST)))
 
 
 def add_parsed(df: DataFrame, parsed: dict[str, Column]) -> DataFrame:

@@ -100,30 +100,36 @@ def parsed_catalogue(offers: DataFrame, recipes: dict[str, Recipe]) -> DataFrame
 
     ``recipes`` maps each value of ``category`` (a search term) to its recipe;
     rows carry the recipe's name afterwards.  ``size_count`` counts in ``count_unit``.
+
+    A short table gives each row the number of its recipe.  Recipes that agree
+    in a step share its branch, so the generated code stays small enough for
+    the JVM to compile, however many categories there are.
     """
     spark = offers.sparkSession
-    terms: dict[str, list[str]] = {}
-    for term, recipe in recipes.items():
-        terms.setdefault(recipe.name, []).append(term)
     members = list({recipe.name: recipe for recipe in recipes.values()}.values())
+    number = {recipe.name: i for i, recipe in enumerate(members)}
+    plan = repair.fixed_table(
+        spark,
+        "category string, _recipe int, _name string, count_unit string",
+        [(term, number[r.name], r.name, r.count_unit) for term, r in recipes.items()],
+    )
 
-    def belongs(recipe: Recipe) -> Column:
-        return F.col("category").isin(*terms[recipe.name])
+    def belongs(group: list[Recipe]) -> Column:
+        return F.col("_recipe").isin([number[recipe.name] for recipe in group])
 
-    def kept(rule: Callable[[Recipe], Callable[[], Column] | None]) -> Column:
-        return reduce(or_, [
-            belongs(recipe) & rule(recipe)() if rule(recipe) else belongs(recipe)
-            for recipe in members
-        ])
+    def kept(df: DataFrame, rule: Callable[[Recipe], Callable[[], Column] | None]) -> DataFrame:
+        for condition, group in _grouped(members, rule):
+            df = df.filter(~belongs(group) | condition())
+        return df
 
-    def chosen(value: Callable[[Recipe], Column | None], kind: str) -> Column:
-        cases = [(belongs(recipe), value(recipe)) for recipe in members if value(recipe) is not None]
-        return first_match(cases) if cases else F.lit(None).cast(kind)
+    def chosen(value: Callable[[Recipe], object], column: Callable[[object], Column]) -> Column:
+        cases = [(belongs(group), column(key)) for key, group in _grouped(members, value)]
+        return first_match(cases) if cases else F.lit(None).cast("double")
 
-    df = offers.filter(kept(lambda recipe: recipe.keep))
+    df = kept(offers.join(plan, "category"), lambda recipe: recipe.keep)
     rewrites = [
-        (belongs(recipe), recipe.rewrite(F.col("description"), F.col("size")))
-        for recipe in members if recipe.rewrite
+        (belongs(group), rewrite(F.col("description"), F.col("size")))
+        for rewrite, group in _grouped(members, lambda recipe: recipe.rewrite)
     ]
     if rewrites:
         df = df.withColumn("size", first_match(rewrites).otherwise(F.col("size")))
@@ -136,18 +142,25 @@ def parsed_catalogue(offers: DataFrame, recipes: dict[str, Recipe]) -> DataFrame
     by_size = [(term, *rule) for term, recipe in recipes.items() for rule in recipe.repairs]
     if by_size:
         df = repair.repair_sizes(df, repair.fixed_rules(spark, ("category",), by_size))
-    df = df.filter(kept(lambda recipe: recipe.keep_repaired))
+    df = kept(df, lambda recipe: recipe.keep_repaired)
 
     sized = sizing.add_parsed(df, {
-        "size_oz": chosen(
-            lambda r: r.dialect.ounces() if r.dialect and r.dialect.ounce_units else None, "double"
-        ),
-        "size_count": chosen(
-            lambda r: r.dialect.pieces() if r.dialect and r.dialect.counts else None, "double"
-        ),
-        "count_unit": chosen(lambda r: F.lit(r.count_unit), "string"),
+        "size_oz": chosen(lambda r: r.dialect and r.dialect.ounce_side, lambda d: d.ounces()),
+        "size_count": chosen(lambda r: r.dialect and r.dialect.count_side, lambda d: d.pieces()),
     })
-    return sized.withColumn("category", chosen(lambda r: F.lit(r.name), "string"))
+    others = [name for name in offers.columns if name != "category"]
+    return sized.select(
+        F.col("_name").alias("category"), *others, "size_oz", "size_count", "count_unit"
+    )
+
+
+def _grouped(members: list[Recipe], key: Callable[[Recipe], object]) -> list[tuple[object, list[Recipe]]]:
+    """Recipes by what ``key`` gives for them, without those it gives nothing for."""
+    groups: dict[object, list[Recipe]] = {}
+    for recipe in members:
+        if key(recipe):
+            groups.setdefault(key(recipe), []).append(recipe)
+    return list(groups.items())
 
 
 def price_parsed(parsed: DataFrame) -> DataFrame:
