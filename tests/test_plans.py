@@ -2,7 +2,8 @@
 
 import pytest
 
-from verification.queries import QUERIES
+from shelfgauge.plans import jobs, recipes
+from verification.queries import QUERIES, offers
 
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -48,3 +49,16 @@ def test_best_price_shuffles_offers_once_after_their_join(spark):
     plan = physical(QUERIES["best_price_each"](spark, SMALLEST))
     assert plan.count("Exchange hashpartitioning(category") == 1
     assert "partial_min" in plan
+
+
+def test_generated_code_of_all_categories_is_compiled(spark):
+    """The JVM leaves methods above 8,000 bytes of code uncompiled, which is many times slower."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parsed = jobs.parsed_catalogue(offers(spark, SMALLEST), recipes.recipes_by_term())
+        stages = parsed._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes and max(sizes) < 8_000
