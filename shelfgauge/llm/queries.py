@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from shelfgauge.llm import exact_dedup, mixing
+from shelfgauge.llm import exact_dedup, mixing, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_simhash": simhash.op3_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
