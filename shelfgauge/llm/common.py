@@ -100,3 +100,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         links = small
     roots = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.union(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
+def free_name(base: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {name.lower() for frame in frames for name in frame.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not among ``ids`` (doc_id); a NULL id is a value like any other."""
+    name = free_name("dropped_id", docs)
+    dropped = ids.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dropped, docs["doc_id"].cast("bigint").eqNullSafe(dropped[name]), "left_anti")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfgauge.llm.common import read_table, words, written
+from shelfgauge.llm.common import free_name, read_table, words, written
 from shelfgauge.operators.ranking import running_total
 
 SHARE = 1.5
@@ -187,10 +187,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Rows that repeat a doc_id, with whatever texts, are taken as often as the
     one of them that is taken most.
     """
-    taken = mix(docs).groupBy(F.col("doc_id").alias("_taken_id")).agg(F.max("copies").alias("_copies"))
-    rows = docs.join(taken, docs["doc_id"].cast("bigint").eqNullSafe(taken["_taken_id"]))
-    copies = rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
-    return copies.select(*[copies[name] for name in docs.columns])
+    id_name, copies_name = free_name("taken_id", docs), free_name("copies", docs)
+    taken = mix(docs).groupBy(F.col("doc_id").alias(id_name)).agg(F.max("copies").alias(copies_name))
+    rows = docs.join(taken, docs["doc_id"].cast("bigint").eqNullSafe(taken[id_name]))
+    repeated = F.explode(F.array_repeat(F.lit(1), F.col(copies_name)))
+    return rows.withColumn(copies_name, repeated).drop(copies_name, id_name)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

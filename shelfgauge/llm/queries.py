@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from shelfgauge.llm import exact_dedup, mixing, simhash
+from shelfgauge.llm import decontamination, exact_dedup, mixing, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_simhash": simhash.op3_simhash,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
