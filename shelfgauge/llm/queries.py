@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from shelfgauge.llm import decontamination, exact_dedup, mixing, simhash
+from shelfgauge.llm import decontamination, exact_dedup, mixing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_simhash": simhash.op3_simhash,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op7_quality": quality.op7_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
