@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfgauge.llm import decontamination, exact_dedup, mixing, quality, simhash, toxicity
+from shelfgauge.llm import decontamination, exact_dedup, language_model, mixing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_quality": quality.op7_quality,
+    "op8_language_model": language_model.op8_language_model,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
