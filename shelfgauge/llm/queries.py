@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from shelfgauge.llm import decontamination, exact_dedup, language_model, mixing, quality, simhash, toxicity
+from shelfgauge.llm import decontamination, exact_dedup, language_model, mixing, quality, simhash, token_ids, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_token_ids": token_ids.op2_token_ids,
     "op3_simhash": simhash.op3_simhash,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontamination": decontamination.op6_decontamination,
