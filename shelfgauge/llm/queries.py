@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfgauge.llm import decontamination, exact_dedup, language_model, mixing, quality, simhash, token_ids, toxicity
+from shelfgauge.llm import decontamination, exact_dedup, language_model, mixing, pseudonyms, quality, simhash, token_ids, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_quality": quality.op7_quality,
     "op8_language_model": language_model.op8_language_model,
+    "op9_pseudonyms": pseudonyms.op9_pseudonyms,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
