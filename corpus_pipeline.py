@@ -2,15 +2,54 @@
 
 from __future__ import annotations
 
-from shelfgauge.llm.common import read_table, written
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from shelfgauge.llm import decontamination, mixing, simhash, token_ids, toxicity
+from shelfgauge.llm.common import read_table, without_ids, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; the model is learned from the labelled rows of ``docs``."""
+    scored = toxicity.toxicity(docs, docs, read_table(spark, sf_dir, "labels"))
+    scored = written(scored.select("doc_id", "predicted"), "toxicity")
+    return without_ids(docs, scored.where("predicted = 1"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the smallest doc_id stays."""
+    groups = written(simhash.simhash_groups(docs).select("doc_id", "component_id"), "simhash-groups")
+    return without_ids(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.clean_documents(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix; one row per document and copy, read back from them."""
+    return token_ids.token_ids(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token_ids", write_tokens),
+]
 
 # The classifier, the fingerprints and the tokenizer are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's result stored and read back by the next."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from shelfgauge.llm import decontamination, exact_dedup, language_model, mixing, pseudonyms, quality, simhash, token_ids, toxicity
+from shelfgauge.llm import decontamination, exact_dedup, language_model, line_dedup, mixing, pseudonyms, quality, simhash, token_ids, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_token_ids": token_ids.op2_token_ids,
     "op3_simhash": simhash.op3_simhash,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_quality": quality.op7_quality,
