@@ -11,9 +11,7 @@ from shelfgauge.llm.common import read_table, without_ids, written
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the model is learned from the labelled rows of ``docs``."""
-    scored = toxicity.toxicity(docs, docs, read_table(spark, sf_dir, "labels"))
-    scored = written(scored.select("doc_id", "predicted"), "toxicity")
-    return without_ids(docs, scored.where("predicted = 1"))
+    return toxicity.clean_documents(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

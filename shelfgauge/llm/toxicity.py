@@ -13,6 +13,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +102,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = S
     return (bytes(model[0][0]), bytes(model[0][1])) if model else (b"", b"")
 
 
+def dense_weights(model: tuple[bytes, bytes]) -> np.ndarray:
+    dense = np.zeros(1 << BITS)
+    dense[np.frombuffer(model[0], np.int32)] = np.frombuffer(model[1])
+    return dense
+
+
+def probability(text: str, dense: np.ndarray) -> float:
+    """Each feature counts once, however often it comes."""
+    at = features(text)
+    at = at[dense[at] != 0]
+    return 1 / (1 + np.exp(-np.clip(dense[np.unique(at)].sum(), -500, 500)))
+
+
 def score(docs: DataFrame, model: tuple[bytes, bytes], threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
@@ -114,16 +128,10 @@ def score(docs: DataFrame, model: tuple[bytes, bytes], threshold: float = THRESH
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dense = np.zeros(1 << BITS)
-        dense[np.frombuffer(shared.value[0], np.int32)] = np.frombuffer(shared.value[1])
-
-        def of(text: str) -> float:
-            at = features(text)
-            at = at[dense[at] != 0]
-            return 1 / (1 + np.exp(-np.clip(dense[np.unique(at)].sum(), -500, 500)))
-
+        dense = dense_weights(shared.value)
         for frame in in_chunks(frames):
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": [of(text) for text in frame["text"]]})
+            yield pd.DataFrame({
+                "doc_id": frame["doc_id"], "score": [probability(text, dense) for text in frame["text"]]})
 
     scored = texts(docs).mapInPandas(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
@@ -135,6 +143,20 @@ def toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFra
     return score(docs, fit(labelled, labels))
 
 
+def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs``, with all their columns, of texts that score below ``threshold``; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(batches: Iterator) -> Iterator:
+        dense = dense_weights(shared.value)
+        for batch in batches:
+            texts_ = batch.column("text")
+            yield batch.filter(pa.array([
+                probability(text.as_py() or "", dense) < threshold for text in texts_], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity(docs, docs, read_table(spark, sf_dir, "labels"))
