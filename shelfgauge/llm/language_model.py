@@ -35,6 +35,8 @@ TILT, STAY = 0.3, 0.95
 PRIOR = 50.0
 # The end of a text, which no word equals.
 END = ""
+# Steps in which counts are told apart when the most frequent words are chosen.
+STEPS_PER_DOUBLE = 8
 # Words a task counts before it hands them on, and tokens a task works on at once.
 COUNTED, TOKENS = 500_000, 2_000_000
 
@@ -84,11 +86,24 @@ class Vocabulary(NamedTuple):
     kinds: np.ndarray  # words per symbol
 
 
+def frequent_from(counts: DataFrame) -> float:
+    """The least count that no more than FREQUENT words reach, from a short table of steps of counts."""
+    steps = counts.groupBy(F.floor(F.log2("c") * STEPS_PER_DOUBLE).alias("step")).agg(
+        F.count(F.lit(1)).alias("words"), F.min("c").alias("least")).collect()
+    limit, words = float("inf"), 0
+    for row in sorted(steps, key=lambda row: -row["step"]):
+        words += row["words"]
+        if words > FREQUENT:
+            break
+        limit = row["least"]
+    return limit
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     every = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"),
                        F.sum(F.when(F.col("word") == END, F.col("c"))).alias("ends")).first()
     real = counts.where(F.col("word") != END)
-    top = real.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
+    top = sorted(real.where(F.col("c") >= frequent_from(real)).collect(), key=lambda row: (-row["c"], row["word"]))
     mass, kinds = np.zeros(SYMBOLS), np.zeros(SYMBOLS)
     for row in real.groupBy(ending_class(F.col("word")).alias("symbol")).agg(
             F.sum("c").alias("mass"), F.count(F.lit(1)).alias("kinds")).collect():
