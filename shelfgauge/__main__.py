@@ -32,6 +32,8 @@ def main(arguments: list[str] | None = None) -> None:
         parsed = tables.read_result(spark, f"{options.out}/offers", parsed.schema)
         for name, report in jobs.catalogue_reports(parsed).items():
             tables.write_result(report, f"{options.out}/reports/{name.replace(' ', '_')}")
+        unknown = jobs.unknown_categories(offers, by_term)
+        tables.write_result(unknown, f"{options.out}/reports/unknown_categories")
         priced = jobs.price_parsed(parsed.filter(F.col("category").isin(*jobs.priced_names(by_term))))
     else:
         priced = jobs.price_catalogue(offers, by_term)

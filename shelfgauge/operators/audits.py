@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfgauge.functions import sizes
 from shelfgauge.operators.joins import add_by_key
-from shelfgauge.operators.ranking import WINDOW_ROWS, running_total
+from shelfgauge.operators.ranking import running_total
 from shelfgauge.sources.tables import written
 
 
@@ -66,15 +66,13 @@ def value_counts(df: DataFrame, value: str, frame: tuple[str, ...]) -> DataFrame
     return written(counted.agg(F.count(F.lit(1)).alias("_n")), "value-counts")
 
 
-def quartiles(
-    counted: DataFrame, frame: tuple[str, ...], window_rows: int = WINDOW_ROWS
-) -> DataFrame:
+def quartiles(counted: DataFrame, frame: tuple[str, ...]) -> DataFrame:
     """Count, least, greatest and exact quartiles per frame, from ``value_counts``.
 
     The running count tells at which value a rank lies; a quartile between two
     ranks is interpolated.
     """
-    running = running_total(counted, frame, "_value", "_n", "_upto", window_rows)
+    running = running_total(counted, frame, "_value", "_n", "_upto")
     totals = counted.groupBy(*frame).agg(
         F.sum("_n").alias("n"), F.min("_value").alias("least"), F.max("_value").alias("greatest")
     )
@@ -107,7 +105,6 @@ def quartiles(
 
 def price_histogram(
     df: DataFrame, price: str, frame: tuple[str, ...] = ("category",),
-    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Rows per equal-width price bin of each frame, of at least one column; bins without rows are left out.
 
@@ -122,7 +119,7 @@ def price_histogram(
     freedman_diaconis = 2.0 * (F.col("q3") - F.col("q1")) / F.pow(n, F.lit(1.0 / 3.0))
     width = F.when(freedman_diaconis > 0, F.least(freedman_diaconis, sturges)).otherwise(sturges)
     one_value = span == 0
-    limits = quartiles(counted, frame, window_rows).select(
+    limits = quartiles(counted, frame).select(
         *frame,
         F.when(one_value, F.lit(1)).otherwise(F.ceil(span / F.nullif(width, F.lit(0.0))))
         .cast("bigint").alias("n_bins"),

@@ -9,39 +9,17 @@ from shelfgauge.operators.joins import add_by_key
 from shelfgauge.operators.pricing import FRAME
 from shelfgauge.sources.tables import written
 
-# This many rows may lie in one window partition.
-WINDOW_ROWS = 1_000_000
-
-
-def fits_windows(table: DataFrame, frame: tuple[str, ...], window_rows: int = WINDOW_ROWS) -> bool:
-    """Whether no frame of a stored table has more than ``window_rows`` rows.
-
-    A table that is small as a whole only has the row counts of its files read.
-    """
-    if table.count() <= window_rows:
-        return True
-    if not frame or window_rows == 0:
-        return False
-    return table.groupBy(*frame).count().agg(F.max("count")).first()[0] <= window_rows
-
-
 def running_total(
-    table: DataFrame, frame: tuple[str, ...], order: str, measure: str, name: str,
-    window_rows: int = WINDOW_ROWS,
+    table: DataFrame, frame: tuple[str, ...], order: str, measure: str, name: str
 ) -> DataFrame:
     """Add the running sum of ``measure`` along ``order`` within ``frame``.
 
-    ``table`` is a stored table whose (frame, order) values are unique.  Where
-    no frame exceeds ``window_rows`` rows, a plain window does it.  Otherwise
-    the rows are range-partitioned into slices of even size, whatever the sizes
-    of the frames; each slice is summed on its own, and the sums of the slices
-    before it are added.  A window then holds one slice, or one row per slice.
+    (frame, order) values are unique.  The rows are range-partitioned into
+    slices of even size, whatever the sizes of the frames, and stored once with
+    their slice's number; each slice is summed on its own, and the sums of the
+    slices before it are added.  A window holds one slice, or one row per slice.
     """
     up_to_here = (Window.unboundedPreceding, Window.currentRow)
-    if fits_windows(table, frame, window_rows):
-        whole = Window.partitionBy(*frame).orderBy(order).rowsBetween(*up_to_here)
-        return table.withColumn(name, F.sum(measure).over(whole))
-
     # Stored before its two uses, so that both see the same slice limits.
     sliced = written(
         table.repartitionByRange(*frame, order).withColumn("_slice", F.spark_partition_id()),
@@ -64,22 +42,17 @@ def running_total(
 
 
 def dense_price_rank(
-    df: DataFrame, price: str, frame: tuple[str, ...] = FRAME, name: str = "per_size_rank",
-    window_rows: int = WINDOW_ROWS,
+    df: DataFrame, price: str, frame: tuple[str, ...] = FRAME, name: str = "per_size_rank"
 ) -> DataFrame:
     """Add the dense rank by ``price`` within ``frame``, as a double.
 
-    ``frame=()`` ranks the whole table.  Where a frame exceeds ``window_rows``
-    rows, the rank is a running count of the distinct prices, joined back to
-    the rows.
+    ``frame=()`` ranks the whole table.  The rank is a running count of the
+    distinct prices, joined back to the rows, so it takes the same way whatever
+    the size of the table or of a frame.
     """
     table = written(df, "ranked")
-    if fits_windows(table, frame, window_rows):
-        by_price = Window.partitionBy(*frame).orderBy(price)
-        return table.withColumn(name, F.dense_rank().over(by_price).cast("double"))
-
-    prices = written(table.select(*frame, price).distinct().withColumn("_one", F.lit(1)), "prices")
-    ranks = running_total(prices, frame, price, "_one", "_rank", window_rows)
+    prices = table.select(*frame, price).distinct().withColumn("_one", F.lit(1))
+    ranks = running_total(prices, frame, price, "_one", "_rank")
     ranks = ranks.select(*frame, price, F.col("_rank").cast("double").alias(name))
     return add_by_key(table, ranks, (*frame, price))
 

@@ -78,8 +78,13 @@ def multiply_pack_sizes(df: DataFrame) -> DataFrame:
     return df.withColumn("size", multiplied_size(F.col("description"), F.col("size")))
 
 
-def add_pack_total(df: DataFrame, brand: str) -> DataFrame:
-    """Add ``pack_total``: count times ounces for one brand's compound sizes."""
+def pack_total_of(brand: str) -> Column:
+    """Count times ounces of one brand's compound sizes, else NULL."""
     size = F.col("size")
     applies = (F.col("brand") == brand) & size.contains("/") & sizes.is_count_and_ounces(size)
-    return df.withColumn("pack_total", F.when(applies, sizes.pack_total(size)))
+    return F.when(applies, sizes.pack_total(size))
+
+
+def add_pack_total(df: DataFrame, brand: str) -> DataFrame:
+    """Add ``pack_total``: count times ounces for one brand's compound sizes."""
+    return df.withColumn("pack_total", pack_total_of(brand))

@@ -144,11 +144,17 @@ def parsed_catalogue(offers: DataFrame, recipes: dict[str, Recipe]) -> DataFrame
         df = repair.repair_sizes(df, repair.fixed_rules(spark, ("category",), by_size))
     df = kept(df, lambda recipe: recipe.keep_repaired)
 
+    packs = [(belongs(group), repair.pack_total_of(brand))
+             for brand, group in _grouped(members, lambda recipe: recipe.pack_brand)]
+    if packs:
+        df = df.withColumn("pack_total", first_match(packs))
+
     sized = sizing.add_parsed(df, {
         "size_oz": chosen(lambda r: r.dialect and r.dialect.ounce_side, lambda d: d.ounces()),
         "size_count": chosen(lambda r: r.dialect and r.dialect.count_side, lambda d: d.pieces()),
     })
     others = [name for name in offers.columns if name != "category"]
+    others += ["pack_total"] if packs else []
     return sized.select(
         F.col("_name").alias("category"), *others, "size_oz", "size_count", "count_unit"
     )
@@ -179,6 +185,12 @@ def price_parsed(parsed: DataFrame) -> DataFrame:
     return ranking.dense_price_rank(best, pricing.per_size("unit"), frame)
 
 
+def unknown_categories(offers: DataFrame, recipes: dict[str, Recipe]) -> DataFrame:
+    """Offers per category that has no recipe, and that ``parsed_catalogue`` therefore leaves out."""
+    known = F.coalesce(F.col("category").isin(*recipes), F.lit(False))
+    return offers.where(~known).groupBy("category").agg(F.count(F.lit(1)).alias("n_offers"))
+
+
 def priced_names(recipes: dict[str, Recipe]) -> list[str]:
     """Names of the categories that have result tables."""
     return sorted({recipe.name for recipe in recipes.values() if recipe.results})

@@ -20,9 +20,8 @@ def test_query_equals_sql(spark, connection, name):
     assert check.difference(spark, connection, SMALLEST, name) == ""
 
 
-def test_only_the_run_time_has_no_oracle():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"stamp_run_rows"}
-    assert set(ORACLE_SQL) <= set(QUERIES)
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def test_entry(spark):

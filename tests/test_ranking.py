@@ -1,4 +1,4 @@
-"""Ranks and running totals: sliced and plain ways agree, also with hot frames."""
+"""Ranks and running totals: equal to brute force, also with hot frames."""
 
 import random
 
@@ -29,19 +29,11 @@ def reckon(rows, by_frame=True):
     }
 
 
-@pytest.mark.parametrize(("rows", "fits"), [(1_000, True), (300, True), (100, False), (0, False)])
-def test_frames_are_counted_before_a_window(table, rows, fits):
-    df = table("frame string", [("a",)] * 300 + [("b",)] * 150)
-    assert ranking.fits_windows(df, ("frame",), rows) == fits
-    assert ranking.fits_windows(df, (), rows) == (rows >= 450)
-
-
-@pytest.mark.parametrize("window_rows", [1_000_000, 400, 100, 0])
 @pytest.mark.parametrize("frame", [("frame",), ()])
-def test_dense_rank(table, window_rows, frame):
+def test_dense_rank(table, frame):
     data = rows(600, 1)
     df = table("frame string, name string, price double", data)
-    ranked = ranking.dense_price_rank(df, "price", frame, "rank", window_rows)
+    ranked = ranking.dense_price_rank(df, "price", frame, "rank")
     assert {tuple(r) for r in ranked.collect()} == reckon(data, bool(frame))
 
 
@@ -52,7 +44,7 @@ def test_ranks_of_an_empty_table(table):
 
 def test_ranks_start_at_one_without_gaps(table):
     df = table("frame string, name string, price double", rows(500, 2))
-    ranked = ranking.dense_price_rank(df, "price", ("frame",), "rank", 0)
+    ranked = ranking.dense_price_rank(df, "price", ("frame",), "rank")
     by_frame = {}
     for row in ranked.collect():
         by_frame.setdefault(row["frame"], set()).add(row["rank"])
@@ -60,21 +52,20 @@ def test_ranks_start_at_one_without_gaps(table):
         assert ranks == {float(i) for i in range(1, len(ranks) + 1)}
 
 
-@pytest.mark.parametrize("window_rows", [1_000_000, 0])
-def test_running_total(spark, table, window_rows):
+def test_running_total(spark, table):
     pick = random.Random(3)
     data = [(f, v, pick.randint(1, 9)) for f in ("a", "b", None) for v in range(100)]
     df = table("frame string, value int, n int", data)
     got = {
         (r["frame"], r["value"]): r["upto"]
-        for r in ranking.running_total(df, ("frame",), "value", "n", "upto", window_rows).collect()
+        for r in ranking.running_total(df, ("frame",), "value", "n", "upto").collect()
     }
     for frame, value, _ in data:
         assert got[frame, value] == sum(n for f, v, n in data if f == frame and v <= value)
 
 
 def test_slices_are_even_however_skewed_the_frames(table):
-    """A window of the sliced way never holds more than a slice."""
+    """A window never holds more than a slice."""
     df = table("frame string, name string, price double", [("hot", f"d{i}", float(i)) for i in range(4000)])
     prices = df.select("frame", "price").distinct()
     from pyspark.sql import functions as F

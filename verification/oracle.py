@@ -410,6 +410,8 @@ ORACLE_SQL: dict[str, str] = {
     "best_price_oz": over_offers(ranked("oz", "category"), *best_steps("any", "none", "oz", "category")),
     "best_price_each": over_offers("select * from best", *best_steps("none", "text", "each")),
     "best_price_ct": over_offers("select * from best", *best_steps("tea", "word", "ct", count_unit="ct")),
+    "stamp_run_rows": over_offers(
+        "select *, timestamp '2026-01-01 20:04:05' as runtime_mst from best", *WEIGHTS),
     "dense_price_rank": over_offers(ranked("oz"), *WEIGHTS),
     "dense_price_rank_sliced": over_offers(ranked("oz", "category"), *WEIGHTS),
     "dense_price_rank_global": over_offers(ranked("oz", ""), *WEIGHTS),
