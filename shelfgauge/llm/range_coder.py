@@ -5,7 +5,7 @@ the two ids before it (order 2) and the one before it (order 1) each predict
 one id, from hashed tables with a confidence; order 0 predicts by counts of the
 block's ids so far.  The weights of the three predictions are learned, per pair
 of confidences, from how often each order was right, and share out the coder's
-range.  Order 0 codes its id by running sums of counts in four levels of 16.
+range.  Order 0 codes its id by running sums of counts in three levels of 16.
 
 All state has one row per block (a lane), so every step codes the next id of
 all lanes with array operations.
@@ -19,10 +19,12 @@ from zlib import crc32
 import numpy as np
 
 BLOCK = 4_096
-LANES = 768
-BITS, LEVELS = 4, 4
+LANES = 1_024
+# Order 0 counts ids by their upper 12 bits, in levels of 4; the lowest 4 bits are
+# taken as equally likely, which keeps a block's counts within 18 KB.
+BITS, LEVELS, PLAIN_BITS = 4, 3, 4
 SIDE = 1 << BITS
-MAX_IDS = SIDE**LEVELS
+MAX_IDS = SIDE**LEVELS << PLAIN_BITS
 GAIN = 64  # what an id's count rises by; the first count is 1
 ROW = np.dtype(("V", 4 * SIDE))
 RAISED = np.triu(np.full((SIDE, SIDE), GAIN, np.uint32))  # added to running sums, by place
@@ -47,7 +49,7 @@ class Lanes:
         self.last = np.zeros(n, np.int64)
         self.older = np.zeros(n, np.int64)
         # Entries are an id and, in the lowest three bits, how sure it is.
-        self.tables = [np.full(n << TABLE_BITS, NOTHING, np.int64) for _ in range(2)]
+        self.tables = [np.full(n << TABLE_BITS, NOTHING, np.int32) for _ in range(2)]
         self.weights = np.full((n * CONFIDENCES**2, 3), WEIGHT_STEP, np.int64)
         # Running sums of counts among the children of each node, level by level.
         self.sums = []
@@ -70,7 +72,7 @@ class Lanes:
         mixed = self.last * 0x9E3779B1
         self.at = [self.table_base + ((self.older * 0x2F0B4C47 + mixed >> 15) & mask),
                    self.table_base + ((mixed >> 13) & mask)]
-        self.held = [table.take(at) for table, at in zip(self.tables, self.at)]
+        self.held = [table.take(at).astype(np.int64) for table, at in zip(self.tables, self.at)]
         self.sure = [held & 7 for held in self.held]
         self.guess = [held >> 3 for held in self.held]
         self.cell = self.weight_base + self.sure[0] * CONFIDENCES + self.sure[1]
@@ -123,13 +125,21 @@ class Lanes:
         """Narrow the ranges of ``lanes`` to the ids, which are given or found from ``code``."""
         totals, low, width = self.totals[lanes], self.low[lanes], self.range[lanes]
         unit = width // totals
-        target = None
         if ids is None:
-            target = np.minimum((code[lanes] - low) // unit, totals - np.uint64(1)).astype(np.uint32)
-        found, before, size = self.order0(lanes, ids, target)
-        self.low[lanes] = low + unit * before
-        self.range[lanes] = unit * size
-        return found
+            point = code[lanes] - low
+            target = np.minimum(point // unit, totals - np.uint64(1)).astype(np.uint32)
+            found, before, size = self.order0(lanes, None, target)
+        else:
+            found, before, size = self.order0(lanes, ids >> PLAIN_BITS, None)
+        low, width = low + unit * before, unit * size
+        unit = width >> np.uint64(PLAIN_BITS)
+        if ids is None:
+            plain = np.minimum((code[lanes] - low) // unit, np.uint64((1 << PLAIN_BITS) - 1))
+        else:
+            plain = (ids & ((1 << PLAIN_BITS) - 1)).astype(np.uint64)
+        self.low[lanes] = low + unit * plain
+        self.range[lanes] = unit
+        return (found << PLAIN_BITS) + plain.astype(np.int64)
 
     def narrow(self, start: np.ndarray, size: np.ndarray) -> None:
         """Take the part of the range that begins at ``start`` of 2**16 and has ``size``."""
