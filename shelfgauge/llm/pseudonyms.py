@@ -28,7 +28,8 @@ PHONE = (r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!
          r"|(?<![\d+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![.-]?\d)")
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!-?\d)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
-CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
+CARD = (r"(?<!\d)(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}"
+        r"|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)")
 VALUES = "|".join((EMAIL, IP, ISO_DATE, DOT_DATE, SLASH_DATE, PHONE, SSN, IBAN, CARD))
 
 # Days in the 400 years after which the calendar repeats: 189 * 773.
