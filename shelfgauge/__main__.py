@@ -11,6 +11,7 @@ from shelfgauge.operators.stamp import stamp_run
 from shelfgauge.plans import jobs, recipes
 from shelfgauge.session import build_session
 from shelfgauge.sources import tables
+from shelfgauge.sources.pages import flatten_pages, page_report
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -20,11 +21,20 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("out", help="folder for the result tables")
     parser.add_argument("--reports", action="store_true", help="also store the parsed offers and reports on them")
     parser.add_argument("--show", action="store_true", help="also print the tables")
+    parser.add_argument("--run", help="the run that landed the pages (default: the latest)")
+    parser.add_argument("--whole-files", action="store_true", help="a file holds one page, printed over several lines")
+    parser.add_argument("--complete", action="store_true", help="fail if a search announces more products than were received")
     parser.add_argument("--master", help="Spark master, if not set by spark-submit")
     options = parser.parse_args(arguments)
 
     spark = build_session(options.master)
-    offers = jobs.search_all(spark, options.pages, options.stores)
+    found = jobs.searched_pages(spark, options.pages, options.stores, options.whole_files, options.run)
+    if options.complete:
+        short = page_report(found).filter("announced > received")
+        if not short.isEmpty():
+            tables.show_result(short)
+            raise SystemExit("pages are missing")
+    offers = flatten_pages(found)
     by_term = recipes.recipes_by_term()
     if options.reports:
         parsed = jobs.parsed_catalogue(offers, by_term)
@@ -32,6 +42,7 @@ def main(arguments: list[str] | None = None) -> None:
         parsed = tables.read_result(spark, f"{options.out}/offers", parsed.schema)
         for name, report in jobs.catalogue_reports(parsed).items():
             tables.write_result(report, f"{options.out}/reports/{name.replace(' ', '_')}")
+        tables.write_result(page_report(found), f"{options.out}/reports/searches", by="term")
         unknown = jobs.unknown_categories(offers, by_term)
         tables.write_result(unknown, f"{options.out}/reports/unknown_categories")
         priced = jobs.price_parsed(parsed.filter(F.col("category").isin(*jobs.priced_names(by_term))))

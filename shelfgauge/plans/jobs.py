@@ -18,26 +18,35 @@ from shelfgauge.sources.pages import flatten_pages, product_search, read_pages
 from shelfgauge.sources.stores import StoreSearch, find_store_id
 
 
-def search(spark: SparkSession, pages: str, stores: str, recipe: Recipe) -> DataFrame:
+def search(
+    spark: SparkSession, pages: str, stores: str, recipe: Recipe,
+    whole_files: bool = False, run: str | None = None,
+) -> DataFrame:
     """A category's offers in its store, from landed pages; all its terms become one table."""
-    store = find_store_id(spark, stores, recipe.store)
-    found = product_search(spark, pages, recipe.terms, store)
+    store = find_store_id(spark, stores, recipe.store, whole_files)
+    found = product_search(spark, pages, recipe.terms, store, whole_files, run)
     return found.withColumn("category", F.lit(recipe.name))
 
 
-def search_all(spark: SparkSession, pages: str, stores: str) -> DataFrame:
-    """The offers of all categories, each from its own store, in one scan.
-
-    ``category`` holds the search term.
-    """
+def searched_pages(
+    spark: SparkSession, pages: str, stores: str, whole_files: bool = False, run: str | None = None
+) -> DataFrame:
+    """The landed pages of all categories, each from its own store, in one scan."""
     terms_of: dict[StoreSearch, list[str]] = {}
     for term, recipe in recipes_by_term().items():
         terms_of.setdefault(recipe.store, []).append(term)
     wanted = reduce(or_, [
-        F.col("term").isin(*terms) & (F.col("store") == find_store_id(spark, stores, store))
+        F.col("term").isin(*terms) & (F.col("store") == find_store_id(spark, stores, store, whole_files))
         for store, terms in terms_of.items()
     ])
-    return flatten_pages(read_pages(spark, pages).filter(wanted))
+    return read_pages(spark, pages, list(recipes_by_term()), whole_files=whole_files, run=run).filter(wanted)
+
+
+def search_all(
+    spark: SparkSession, pages: str, stores: str, whole_files: bool = False, run: str | None = None
+) -> DataFrame:
+    """The offers of all categories; ``category`` holds the search term."""
+    return flatten_pages(searched_pages(spark, pages, stores, whole_files, run))
 
 
 def repaired(offers: DataFrame, recipe: Recipe) -> DataFrame:

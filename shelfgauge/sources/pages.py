@@ -1,13 +1,15 @@
 """Landed search result pages to offers.
 
-Pages land as JSON lines under ``fulfillment=<mode>/term=<term>/store=<store>/``;
-where there are too many stores for folders, ``store`` is a field of the page.
-All pages of all searches are read as one table: the folder columns prune what
-is not asked for, and the pages of a search need no appending.
+Pages land as JSON lines under ``run=<run>/fulfillment=<mode>/term=<term>/store=<store>/``;
+where there are too many stores for folders, ``store`` is a field of the page, and
+without runs to tell apart the first folder may be left out.  All pages of all
+searches are read as one table: only the folders of the wanted run and terms are
+listed, and the pages of a search need no appending.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,16 +30,22 @@ def read_pages(
     store: str | None = None,
     fulfillment: str = FULFILLMENT,
     whole_files: bool = False,
+    run: str | None = None,
 ) -> DataFrame:
     """Pages of the given searches; a line that is not JSON becomes a page without data.
 
     ``whole_files`` reads one page per file, for pages printed over several lines.
+    ``run`` is the run that landed the pages, the latest one by default.  Spark
+    raises an error if nothing has landed for any of the terms.
     """
+    run = run or latest_run(spark, path)
+    root = f"{path}/run={run}" if run else path
     pages = (
         spark.read.schema(partitioned(PAGE, *PAGE_FOLDERS))
         .option("mode", "PERMISSIVE")
         .option("multiLine", whole_files)
-        .json(path)
+        .option("basePath", root)
+        .json(f"{root}/fulfillment={fulfillment}{term_folders(terms)}")
         .filter(F.col("fulfillment") == fulfillment)
     )
     if terms:
@@ -47,6 +55,21 @@ def read_pages(
     return pages
 
 
+def latest_run(spark: SparkSession, path: str) -> str | None:
+    """The run whose name sorts last, or None where pages land without a folder of their run."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [status.getPath().getName() for status in listed]
+    return max((name[len("run="):] for name in names if name.startswith("run=")), default=None)
+
+
+def term_folders(terms: Sequence[str]) -> str:
+    """The folders of the terms as a path pattern; nothing if a term has characters that folders escape."""
+    if not terms or not all(re.fullmatch(r"[\w -]+", term) for term in terms):
+        return ""
+    return f"/term={{{','.join(terms)}}}"
+
+
 def parse_pages(texts: DataFrame, value: str = "value") -> DataFrame:
     """Pages held as JSON text in a column; a text that is not JSON gives no data."""
     return parse_json(texts, PAGE, value)
@@ -70,9 +93,12 @@ def flatten_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def product_search(spark: SparkSession, path: str, terms: Sequence[str], store: str) -> DataFrame:
+def product_search(
+    spark: SparkSession, path: str, terms: Sequence[str], store: str,
+    whole_files: bool = False, run: str | None = None,
+) -> DataFrame:
     """Offers found for one or more search terms in one store."""
-    return flatten_pages(read_pages(spark, path, terms, store))
+    return flatten_pages(read_pages(spark, path, terms, store, whole_files=whole_files, run=run))
 
 
 def search_completeness(pages: DataFrame) -> DataFrame:
@@ -81,3 +107,18 @@ def search_completeness(pages: DataFrame) -> DataFrame:
         F.max("meta.pagination.total").alias("announced"),
         F.sum(F.coalesce(F.array_size("data"), F.lit(0))).alias("received"),
     )
+
+
+def page_report(pages: DataFrame) -> DataFrame:
+    """What was lost per search: products announced and received, pages without data, products without a price.
+
+    A page printed over several lines, but read line by line, counts as so many without data.
+    """
+    product_price = F.filter("data", lambda product: F.get(product["items"], F.lit(0))["price"]["regular"].isNull())
+    return pages.groupBy("term", "store").agg(
+        F.count(F.lit(1)).alias("n_pages"),
+        F.count_if(F.col("data").isNull()).alias("n_without_data"),
+        F.max("meta.pagination.total").alias("announced"),
+        F.sum(F.coalesce(F.array_size("data"), F.lit(0))).alias("received"),
+        F.sum(F.coalesce(F.array_size(product_price), F.lit(0))).alias("n_without_price"),
+    )

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from shelfgauge.sources.schemas import STORE_PAGE, parse_json, partitioned
 
 
-def read_store_pages(spark: SparkSession, path: str, zipcode: str | None = None) -> DataFrame:
-    """Landed store searches, under ``zip=<zip code>/``."""
-    pages = spark.read.schema(partitioned(STORE_PAGE, "zip")).json(path)
+def read_store_pages(
+    spark: SparkSession, path: str, zipcode: str | None = None, whole_files: bool = False
+) -> DataFrame:
+    """Landed store searches, under ``zip=<zip code>/``; ``whole_files`` reads one page per file."""
+    pages = spark.read.schema(partitioned(STORE_PAGE, "zip")).option("multiLine", whole_files).json(path)
     return pages if zipcode is None else pages.filter(F.col("zip") == zipcode)
 
 
@@ -57,10 +59,14 @@ MAIN_STORE = StoreSearch("80218", "1155 E 9Th Ave", "Denver")
 SECOND_STORE = StoreSearch("80204", "1725 Sheridan", "Edgewater")
 
 
-def find_store_id(spark: SparkSession, path: str, search: StoreSearch) -> str:
-    """Id of the store a search is for, from the landed pages of its zip code."""
-    stores = flatten_stores(read_store_pages(spark, path, search.zipcode))
-    found = first_store(stores, search.address, search.city).first()
+def find_store(spark: SparkSession, path: str, search: StoreSearch, whole_files: bool = False) -> DataFrame:
+    """The store a search is for, from the landed pages of its zip code."""
+    stores = flatten_stores(read_store_pages(spark, path, search.zipcode, whole_files))
+    return first_store(stores, search.address, search.city)
+
+
+def find_store_id(spark: SparkSession, path: str, search: StoreSearch, whole_files: bool = False) -> str:
+    found = find_store(spark, path, search, whole_files).first()
     if found is None:
         raise LookupError(f"no store matches {search}")
     return found.location_id

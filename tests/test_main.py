@@ -9,7 +9,7 @@ from shelfgauge.plans import recipes
 from shelfgauge.sources.stores import MAIN_STORE, SECOND_STORE
 
 
-@pytest.mark.parametrize("options", [[], ["--reports", "--show"]])
+@pytest.mark.parametrize("options", [[], ["--reports", "--show", "--whole-files"]])
 def test_whole_run(spark, tmp_path, options):
     stores = {MAIN_STORE: "11", SECOND_STORE: "22"}
     for search, location in stores.items():
@@ -26,9 +26,15 @@ def test_whole_run(spark, tmp_path, options):
                 {"description": name, "items": [{"size": size, "price": {"regular": 4 * dearer, "promo": 2}}]}
                 for name, size in (("Egg Mix", "8 oz"), ("Eggs", "8 ct"), ("Shared", "16 oz"))
             ]
-            (folder / "p.json").write_text(json.dumps({"data": listed}))
+            lines = 2 if "--whole-files" in options else None
+            meta = {"pagination": {"total": 4}}
+            (folder / "p.json").write_text(json.dumps({"data": listed, "meta": meta}, indent=lines))
     out = tmp_path / "out"
-    program.main([str(tmp_path / "pages"), str(tmp_path / "stores"), str(out), "--master", "local[4]", *options])
+    arguments = [str(tmp_path / "pages"), str(tmp_path / "stores"), str(out), "--master", "local[4]", *options]
+    with pytest.raises(SystemExit, match="pages are missing"):
+        program.main([*arguments, "--complete"])
+    assert not out.exists()
+    program.main(arguments)
 
     prices = spark.read.parquet(str(out / "prices"))
     assert {r.category for r in prices.select("category").distinct().collect()} == {
@@ -48,5 +54,8 @@ def test_whole_run(spark, tmp_path, options):
     if "--reports" in options:
         sizes = spark.read.parquet(str(out / "reports" / "sizes"))
         assert {r.category for r in sizes.collect()} == {recipe.name for recipe in recipes.RECIPES}
+        searches = spark.read.parquet(str(out / "reports" / "searches")).collect()
+        assert {r.term for r in searches} == set(recipes.recipes_by_term())
+        assert {(r.announced, r.received, r.n_without_data, r.n_without_price) for r in searches} == {(4, 3, 0, 0)}
         unparsed = spark.read.parquet(str(out / "reports" / "unparsed"))
         assert {r["size"] for r in unparsed.filter("category = 'toilet paper'").collect()} == {"8 oz", "16 oz"}

@@ -79,6 +79,30 @@ def test_pages_printed_over_several_lines(spark, tmp_path):
     assert [r.description for r in pages.flatten_pages(found).collect()] == ["fig"]
 
 
+def test_the_latest_run_is_read_by_default(spark, tmp_path):
+    for run, price in (("2026-01-01", 1), ("2026-01-02", 2)):
+        land(tmp_path / f"run={run}", "fruit", "01", page(product("fig", item("1 lb", price, 0))))
+    assert pages.latest_run(spark, str(tmp_path)) == "2026-01-02"
+    search = (spark, str(tmp_path), ["fruit"], "01")
+    assert [r.regular for r in pages.product_search(*search).collect()] == [2.0]
+    assert [r.regular for r in pages.product_search(*search, run="2026-01-01").collect()] == [1.0]
+
+
+def test_only_the_folders_of_the_terms_are_listed(spark, landed):
+    files = pages.read_pages(spark, str(landed), ["meat"]).inputFiles()
+    assert len(files) == 1 and "term=meat" in files[0]
+    assert pages.term_folders(["egg bites", "half-and-half"]) == "/term={egg bites,half-and-half}"
+    assert pages.term_folders(["salt & pepper", "eggs"]) == ""
+
+
+def test_page_report(spark, landed):
+    report = pages.page_report(pages.read_pages(spark, str(landed), ["fruit"], "01"))
+    assert [r.asDict() for r in report.collect()] == [{
+        "term": "fruit", "store": "01", "n_pages": 5, "n_without_data": 2,
+        "announced": 6, "received": 5, "n_without_price": 2,
+    }]
+
+
 def test_pages_held_as_text_equal_landed_files(spark, landed, table):
     texts = [json.dumps(page(product("apple", item("3 lb", 4.5, 0)))), "{\"data\": [{", "{}", None]
     df = table("term string, store string, value string", [("fruit", "01", t) for t in texts])

@@ -389,6 +389,17 @@ ORACLE_SQL: dict[str, str] = {
         from listed where category in ('ECONOMY', 'SMALL')""", LISTED),
     "ingest_partition_filter": over_offers(
         f"select {LISTED_COLUMNS} from listed where category in ('ECONOMY', 'SMALL')", LISTED),
+    "ingest_latest_run": over_offers(f"select {LISTED_COLUMNS} from listed", LISTED),
+    "ingest_page_report": over_offers("""
+        select category as term, cast(store_id as varchar) as store, count(*) as n_pages,
+          count(*) filter (where l_linenumber >= 6) as n_without_data,
+          cast(max(case when l_linenumber < 3 then 2 when l_linenumber < 6 then 1 end) as bigint) as announced,
+          cast(sum(case when l_linenumber < 3 then 2 when l_linenumber < 6 then 1 else 0 end) as bigint) as received,
+          count(*) filter (where l_linenumber < 3) as n_without_price
+        from lines group by 1, 2"""),
+    "store_lookup": f"""with {STORES} select location_id from stores
+        where s_suppkey % 3 = 1 and regexp_matches(address_line1, '#0+[1-9][0-9]*$') and city = 'ASIA'
+        order by location_id limit 1""",
     "store_flatten": f"with {STORES} select location_id, chain, address_line1, city from stores",
     "store_match_first": f"""with {STORES} select location_id from stores
         where regexp_matches(address_line1, '#0+[1-9][0-9]*$') and city = 'ASIA' order by s_suppkey limit 1""",

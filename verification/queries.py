@@ -97,6 +97,22 @@ def ingest_partition_filter(spark, sf_dir):
     return pages.flatten_pages(pages.read_pages(spark, landing, SEARCHED_TERMS))
 
 
+@query
+def ingest_latest_run(spark, sf_dir):
+    """Land all pages twice, by two runs; only those of the later one are read."""
+    landing = f"{tables.shared_folder(spark)}/shelfgauge/landing-{tables.unique()}"
+    texts = surrogate.landed_page_texts(spark, sf_dir)
+    runs = F.explode(F.array(F.lit("2026-01-01"), F.lit("2026-01-02"))).alias("run")
+    landed = texts.select(runs, F.lit(pages.FULFILLMENT).alias("fulfillment"), "term", "value")
+    landed.hint("rebalance", "run", "term").write.partitionBy("run", "fulfillment", "term").text(landing)
+    return pages.flatten_pages(pages.read_pages(spark, landing))
+
+
+@query
+def ingest_page_report(spark, sf_dir):
+    return pages.page_report(page_table(spark, sf_dir))
+
+
 # Stores
 
 def store_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +133,16 @@ def store_match_first(spark, sf_dir):
     )
 
 
+@query
+def store_lookup(spark, sf_dir):
+    """Land all store searches under a zip code each, then look a store up in one of them."""
+    landing = f"{tables.shared_folder(spark)}/shelfgauge/stores-{tables.unique()}"
+    texts = surrogate.store_documents(spark, sf_dir)
+    landed = texts.select((F.col("position") % 3).cast("string").alias("zip"), "value")
+    landed.hint("rebalance", "zip").write.partitionBy("zip").text(landing)
+    return stores.find_store(spark, landing, stores.StoreSearch("1", "#0+[1-9][0-9]*$", "ASIA"))
+
+
 # Sizes
 
 @query
