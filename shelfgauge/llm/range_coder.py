@@ -2,13 +2,14 @@
 
 A block starts from nothing: tables, weights and coder are reset.  For each id
 the two ids before it (order 2) and the one before it (order 1) each predict
-one id, from hashed tables with a confidence; order 0 predicts by counts of the
-block's ids so far.  The weights of the three predictions are learned, per pair
-of confidences, from how often each order was right, and share out the coder's
-range.  Order 0 codes its id by running sums of counts in three levels of 16.
+one id, from hashed tables with a confidence; order 0 predicts the block's ids
+so far by their counts; an id that none of them knows is written plainly.  How
+the coder's range is shared among the four is learned, per pair of confidences,
+from how often each of them was right.
 
-All state has one row per block (a lane), so every step codes the next id of
-all lanes with array operations.
+Predictions learn after every STEP ids, counts of order 0 less often as they
+grow.  In between they are fixed, so the encoder works on whole steps at once
+and the decoder on the next id of all blocks (lanes) at once, both by arrays.
 """
 
 from __future__ import annotations
@@ -18,244 +19,277 @@ from zlib import crc32
 
 import numpy as np
 
-BLOCK = 4_096
-LANES = 1_024
-# Order 0 counts ids by their upper 12 bits, in levels of 4; the lowest 4 bits are
-# taken as equally likely, which keeps a block's counts within 18 KB.
-BITS, LEVELS, PLAIN_BITS = 4, 3, 4
-SIDE = 1 << BITS
-MAX_IDS = SIDE**LEVELS << PLAIN_BITS
-GAIN = 64  # what an id's count rises by; the first count is 1
-ROW = np.dtype(("V", 4 * SIDE))
-RAISED = np.triu(np.full((SIDE, SIDE), GAIN, np.uint32))  # added to running sums, by place
-TABLE_BITS = 12
+BLOCK = 2_048
+LANES = 4_096
+STEP = 128
+# Order 0 counts anew when the block has grown by this part.
+GROWN = 4
+ID_BITS = 16
+MAX_IDS = 1 << ID_BITS
+TABLE_BITS = 10
 # Confidences of a table entry are 0 to 3, and 4 if it holds no id.
 CONFIDENCES = 5
 NOTHING = -1 << 3 | 4
-RISE = np.array([1, 1, 1, 0, 0])
+RISE = np.array([1, 1, 1, 0, 0], np.int32)
 YIELDS = np.array([True, False, False, False, True])
-WEIGHT_STEP, WEIGHT_LIMIT = 16, 1_024
-TOP, BOTTOM, SHIFT = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
+ORDER2, ORDER1, ORDER0, PLAIN = range(4)
+# Weights before anything is learned, by confidence of orders 2 and 1, and of order 0 and plain ids.
+TRUST = np.array([1, 4, 12, 40, 0.1])
+UNSURE = (4, 2)
+# Cells of weights: whether orders 2 and 1 agree, and how sure each is.
+CELLS = 2 * CONFIDENCES**2
+SHARES = 65_535
+LEAST_RANGE = np.uint64(1 << 32)
+SHARE_BITS, WORD_BITS = np.uint64(16), np.uint64(32)
+LOW16 = np.uint64(0xFFFF)
 HEADER = struct.Struct("<4sIII")  # magic, ids, payload bytes, crc32 of the payload
-MAGIC = b"SGT1"
+MAGIC = b"SGT2"
 
 
-class Lanes:
-    """Model and coder state of ``n`` blocks."""
+def first_weights() -> np.ndarray:
+    weights = np.empty((2, CONFIDENCES, CONFIDENCES, 4))
+    weights[..., ORDER2] = TRUST[:, None]
+    weights[..., ORDER1] = TRUST / 2
+    weights[1, ..., ORDER1] = 0
+    weights[..., ORDER0], weights[..., PLAIN] = UNSURE
+    return weights.reshape(CELLS, 4)
+
+
+class Predictions:
+    """Orders 2 and 1 of ``n`` blocks and how far each order is trusted."""
 
     def __init__(self, n: int):
-        self.low = np.zeros(n, np.uint64)
-        self.range = np.full(n, ~np.uint64(0))
-        self.last = np.zeros(n, np.int64)
-        self.older = np.zeros(n, np.int64)
         # Entries are an id and, in the lowest three bits, how sure it is.
         self.tables = [np.full(n << TABLE_BITS, NOTHING, np.int32) for _ in range(2)]
-        self.weights = np.full((n * CONFIDENCES**2, 3), WEIGHT_STEP, np.int64)
-        # Running sums of counts among the children of each node, level by level.
-        self.sums = []
-        for level in range(LEVELS):
-            each = SIDE ** (LEVELS - 1 - level)
-            self.sums.append(np.empty((n * SIDE**level, SIDE), np.uint32))
-            self.sums[-1][:] = np.arange(1, SIDE + 1, dtype=np.uint32) * np.uint32(each)
-        self.totals = np.full(n, SIDE**LEVELS, np.uint64)
+        self.weights = np.tile(first_weights(), (n, 1))
         self.table_base = np.arange(n, dtype=np.int64) << TABLE_BITS
-        self.weight_base = np.arange(n, dtype=np.int64) * CONFIDENCES**2
+        self.cell_base = np.arange(n, dtype=np.int64) * CELLS
+        self.set_limits()
 
-    def shrink(self, k: int) -> None:
-        """Only the first ``k`` lanes still have ids."""
-        for name in ("low", "range", "last", "older", "totals", "table_base", "weight_base"):
-            setattr(self, name, getattr(self, name)[:k])
+    def set_limits(self) -> None:
+        """Where the shares of the orders end, 16 bits for each, by cell; every share is at least 1."""
+        sums = np.cumsum(self.weights, axis=1)
+        ends = (sums * ((SHARES - 4) / sums[:, 3:])).astype(np.uint64)
+        self.limits = (ends[:, 0] + np.uint64(1) | (ends[:, 1] + np.uint64(2)) << np.uint64(16)
+                       | (ends[:, 2] + np.uint64(3)) << np.uint64(32) | np.uint64(SHARES << 48))
 
-    def predict(self) -> None:
-        """Where the next id's contexts lie, what they predict, and the weights of orders 2 and 1."""
+    def places(self, older: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the entries of orders 2 and 1 lie; the last axis is the block."""
+        n = last.shape[-1]
         mask = (1 << TABLE_BITS) - 1
-        mixed = self.last * 0x9E3779B1
-        self.at = [self.table_base + ((self.older * 0x2F0B4C47 + mixed >> 15) & mask),
-                   self.table_base + ((mixed >> 13) & mask)]
-        self.held = [table.take(at).astype(np.int64) for table, at in zip(self.tables, self.at)]
-        self.sure = [held & 7 for held in self.held]
-        self.guess = [held >> 3 for held in self.held]
-        self.cell = self.weight_base + self.sure[0] * CONFIDENCES + self.sure[1]
-        weights = self.weights.take(self.cell, axis=0)
-        scale = weights[:, 0] + weights[:, 1] + weights[:, 2]
-        self.share2 = (weights[:, 0] << 16) // scale
-        self.share1 = (weights[:, 1] << 16) // scale
-        self.share1[self.guess[0] == self.guess[1]] = 0
-
-    def learn(self, ids: np.ndarray, order: np.ndarray) -> None:
-        """``order`` is which prediction was right: 0 for order 2, 1 for order 1, 2 for order 0."""
-        for table, at, held, sure, guess in zip(self.tables, self.at, self.held, self.sure, self.guess):
-            right = guess == ids
-            table[at] = np.where(right, held + RISE.take(sure), np.where(YIELDS.take(sure), ids << 3, held - 1))
-        flat, place = self.weights.reshape(-1), self.cell * 3 + order
-        risen = flat.take(place) + WEIGHT_STEP
-        flat[place] = risen
-        high = self.cell[risen > WEIGHT_LIMIT]
-        if len(high):
-            self.weights[high] = (self.weights[high] >> 1) + 1
-        self.older, self.last = self.last, ids
+        mixed = last * np.int64(0x9E3779B1)
+        return (((older * np.int64(0x2F0B4C47) + mixed >> 15) & mask) + self.table_base[:n],
+                ((mixed >> 13) & mask) + self.table_base[:n])
 
-    def order0(self, lanes: np.ndarray, ids: np.ndarray | None, target: np.ndarray | None) -> tuple:
-        """Find the id, given it or a point in the running sums; count it.
+    def cells(self, held2: np.ndarray, held1: np.ndarray) -> np.ndarray:
+        same = (held2 >> 3 == held1 >> 3) * CONFIDENCES**2
+        return (held2 & 7) * CONFIDENCES + (held1 & 7) + same + self.cell_base[:held2.shape[-1]]
 
-        Returns the id, the sum of counts before it, and its count.
-        """
-        node, before, found = lanes, np.zeros(len(lanes), np.uint32), np.zeros(len(lanes), np.int64)
-        for level, sums in enumerate(self.sums):
-            rows = sums.take(node, axis=0)
-            if ids is None:
-                passed = rows <= (target - before)[:, None]
-                place = np.einsum("ij->i", passed.view(np.int8)).astype(np.int64)
-            else:
-                place = (ids >> BITS * (LEVELS - 1 - level)) & (SIDE - 1)
-            flat = rows.reshape(-1)
-            at = np.arange(0, len(flat), SIDE) + place
-            through = flat.take(at)
-            under = np.where(place > 0, flat.take(at - 1, mode="wrap"), np.uint32(0))
-            size = through - under
-            before = before + under
-            rows += RAISED.take(place, axis=0)
-            sums.view(ROW).reshape(-1)[node] = rows.view(ROW).reshape(-1)  # whole rows at once
-            node = node * SIDE + place
-            found = found * SIDE + place
-        self.totals[lanes] += np.uint64(GAIN)
-        return found, before, size
+    def learn(self, ids: np.ndarray, order: np.ndarray, places: tuple, helds: tuple, cells: np.ndarray) -> None:
+        """From all ids of a step, in order of time; of two ids in one place the later stays."""
+        for table, at, held in zip(self.tables, places, helds):
+            sure = held & 7
+            table[at] = np.where(held >> 3 == ids, held + RISE.take(sure),
+                                 np.where(YIELDS.take(sure), ids << 3, held - 1))
+        seen = np.bincount((cells * 4 + order).reshape(-1), minlength=self.weights.size)
+        self.weights += seen.reshape(-1, 4)
+        self.set_limits()
 
-    def take_order0(self, lanes: np.ndarray, ids: np.ndarray | None, code: np.ndarray | None) -> np.ndarray:
-        """Narrow the ranges of ``lanes`` to the ids, which are given or found from ``code``."""
-        totals, low, width = self.totals[lanes], self.low[lanes], self.range[lanes]
-        unit = width // totals
-        if ids is None:
-            point = code[lanes] - low
-            target = np.minimum(point // unit, totals - np.uint64(1)).astype(np.uint32)
-            found, before, size = self.order0(lanes, None, target)
-        else:
-            found, before, size = self.order0(lanes, ids >> PLAIN_BITS, None)
-        low, width = low + unit * before, unit * size
-        unit = width >> np.uint64(PLAIN_BITS)
-        if ids is None:
-            plain = np.minimum((code[lanes] - low) // unit, np.uint64((1 << PLAIN_BITS) - 1))
-        else:
-            plain = (ids & ((1 << PLAIN_BITS) - 1)).astype(np.uint64)
-        self.low[lanes] = low + unit * plain
-        self.range[lanes] = unit
-        return (found << PLAIN_BITS) + plain.astype(np.int64)
 
-    def narrow(self, start: np.ndarray, size: np.ndarray) -> None:
-        """Take the part of the range that begins at ``start`` of 2**16 and has ``size``."""
-        unit = self.range >> SHIFT
-        self.low += unit * start.astype(np.uint64)
-        self.range = unit * size.astype(np.uint64)
+def schedule(steps: int) -> list[tuple[int, int, bool]]:
+    """Start and end of each step, and whether order 0 counts anew before it."""
+    out, counted = [], 0
+    for start in range(0, steps, STEP):
+        anew = start - counted >= max(STEP, counted // GROWN)
+        counted = start if anew else counted
+        out.append((start, min(start + STEP, steps), anew))
+    return out
 
-    def unsettled(self, lanes: np.ndarray | None = None) -> np.ndarray:
-        """Of ``lanes``, or all, those whose leading 16 bits are settled or whose range is too small.
 
-        A range too small that straddles a boundary is cut at it, so no carry is ever needed.
-        """
-        low, width = (self.low, self.range) if lanes is None else (self.low[lanes], self.range[lanes])
-        settled = (low ^ (low + width)) < TOP
-        small = width < BOTTOM
-        out = np.flatnonzero(settled | small)
-        cut = out[~settled[out]]
-        out, cut = (out, cut) if lanes is None else (lanes[out], lanes[cut])
-        if len(cut):
-            self.range[cut] = (np.uint64(0) - self.low[cut]) & (BOTTOM - np.uint64(1))
-        return out
+def block_codes(ids: np.ndarray) -> tuple[np.ndarray, int]:
+    """Each row's ids as numbers that rise with the id, from 0 without gaps; the most numbers of a row."""
+    n, steps = ids.shape
+    place_bits = max(1, (steps - 1).bit_length())
+    keyed = np.sort(ids.astype(np.uint32) << place_bits | np.arange(steps, dtype=np.uint32), axis=1)
+    codes = np.empty((n, steps), np.int32)
+    width = 0
+    for row, out in zip(keyed, codes):
+        sorted_ids = row >> place_bits
+        number = np.cumsum(sorted_ids[1:] != sorted_ids[:-1], dtype=np.int32)
+        out[row & ((1 << place_bits) - 1)] = np.concatenate([[0], number])
+        width = max(width, int(number[-1]) + 1 if steps > 1 else 1)
+    return codes, width
 
 
 def encode_lanes(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     """Code the rows of ``ids`` (lane, step), whose lengths must not rise."""
-    n, steps = len(lengths), int(lengths[0])
-    state = Lanes(n)
-    words = np.zeros((n, 2 * steps + 8), np.uint16)
-    filled = np.zeros(n, np.int64)
+    n, steps = ids.shape
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")
-    tails: list[np.ndarray] = [None] * n
-    columns = np.ascontiguousarray(ids.T.astype(np.int64))
-    for t in range(steps):
-        k = int(active[t])
-        if k < len(state.low):
-            for lane in range(k, len(state.low)):
-                tails[lane] = state.low[lane]
-            state.shrink(k)
-        now = columns[t, :k]
-        state.predict()
-        is2 = state.guess[0] == now
-        is1 = (state.guess[1] == now) & ~is2
-        order = np.where(is2, 0, np.where(is1, 1, 2))
-        both = state.share2 + state.share1
-        start = np.where(is2, 0, np.where(is1, state.share2, both))
-        size = np.where(is2, state.share2, np.where(is1, state.share1, 65_536 - both))
-        state.narrow(start, size)
-        lanes = np.flatnonzero(order == 2)
-        if len(lanes):
-            state.take_order0(lanes, now[lanes], None)
-        out = state.unsettled()
-        while len(out):
-            low = state.low[out]
-            words[out, filled[out]] = low >> np.uint64(48)
-            filled[out] += 1
-            state.low[out] = low << SHIFT
-            state.range[out] <<= SHIFT
-            out = state.unsettled(out)
-        state.learn(now, order)
-    for lane in range(len(state.low)):
-        tails[lane] = state.low[lane]
+    model = Predictions(n)
+    codes, width = block_codes(ids)
+    codes = np.ascontiguousarray((codes + (np.arange(n, dtype=np.int32) * width)[:, None]).T)  # (step, lane), into the counts
+    columns = np.zeros((steps + 2, n), np.int32)
+    columns[2:] = ids.T
+    counts, before = np.zeros(n * width, np.int32), np.zeros(n * width, np.int32)
+    counted = 0
+    low, size = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0))
+    words, filled = np.zeros((n, steps + 2), np.uint32), np.zeros(n, np.int64)
+    for start, end, anew in schedule(steps):
+        if anew:
+            counts += np.bincount(codes[counted:start].reshape(-1), minlength=len(counts)).astype(np.int32)
+            table = counts.reshape(n, width)
+            before = (np.cumsum(table, axis=1, dtype=np.int32) - table).reshape(-1)
+            counted = start
+        k = int(active[start])
+        now = columns[start + 2:end + 2, :k]
+        places = model.places(columns[start:end, :k], columns[start + 1:end + 1, :k])
+        helds = tuple(table.take(at) for table, at in zip(model.tables, places))
+        cells = model.cells(*helds)
+        here = codes[start:end, :k]
+        count = counts.take(here)
+        order = np.where(helds[0] >> 3 == now, ORDER2, np.where(
+            helds[1] >> 3 == now, ORDER1, np.where(count > 0, ORDER0, PLAIN)))
+        limits, shift = model.limits.take(cells), (order << 4).astype(np.uint64)
+        begin = limits << SHARE_BITS >> shift & LOW16
+        share = (limits >> shift & LOW16) - begin
+        parts = np.array([1, 1, max(counted, 1), MAX_IDS], np.uint64).take(order)
+        is0, plain = order == ORDER0, order == PLAIN
+        inside = np.where(is0, before.take(here), now * plain).astype(np.uint64)
+        wide = np.where(is0, count, 1).astype(np.uint64)
+        for t in range(end - start):
+            m = int(active[start + t])
+            unit = size[:m] >> SHARE_BITS
+            moved = low[:m] + unit * begin[t, :m]
+            unit *= share[t, :m]
+            unit //= parts[t, :m]
+            moved += unit * inside[t, :m]
+            unit *= wide[t, :m]
+            over = np.flatnonzero(moved < low[:m])
+            at = filled[over] - 1
+            while len(over):  # carry into the words already written
+                raised = words[over, at] + np.uint32(1)
+                words[over, at] = raised
+                over, at = over[raised == 0], at[raised == 0] - 1
+            out = np.flatnonzero(unit < LEAST_RANGE)
+            if len(out):
+                leading = moved[out]
+                words[out, filled[out]] = leading >> WORD_BITS
+                filled[out] += 1
+                moved[out] = leading << WORD_BITS
+                unit[out] <<= WORD_BITS
+            low[:m], size[:m] = moved, unit
+        if end < steps:
+            k = int(active[end])
+            model.learn(now[:, :k], order[:, :k], [at[:, :k] for at in places],
+                        [held[:, :k] for held in helds], cells[:, :k])
     blocks = []
     for lane in range(n):
-        tail = np.array([int(tails[lane]) >> shift & 0xFFFF for shift in (48, 32, 16, 0)], np.uint16)
-        payload = np.concatenate([words[lane, :filled[lane]], tail]).astype("<u2").tobytes()
+        tail = np.array([low[lane] >> WORD_BITS, low[lane]]).astype(np.uint32)
+        payload = np.concatenate([words[lane, :filled[lane]], tail]).astype("<u4").tobytes()
         blocks.append(HEADER.pack(MAGIC, int(lengths[lane]), len(payload), crc32(payload)) + payload)
     return blocks
 
 
+def count_entries(seen: np.ndarray) -> np.ndarray:
+    """For every place among each row's sorted ids: the id, its first place and its count, 16 bits each."""
+    n, width = seen.shape
+    flat = np.sort(seen, axis=1, kind="stable").reshape(-1)
+    new = np.empty(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[::width] = True
+    first = np.flatnonzero(new)
+    count = np.diff(first, append=len(flat))
+    runs = flat[first].astype(np.uint64) | (first % width).astype(np.uint64) << np.uint64(16) | (
+        count.astype(np.uint64) << np.uint64(32))
+    return np.repeat(runs, count)
+
+
 def decode_lanes(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
     """The ids (lane, step) of payloads whose lengths don't rise."""
     n, steps = len(lengths), int(lengths[0])
-    state = Lanes(n)
-    widest = max(map(len, payloads)) // 2 + 4
-    words = np.zeros((n, widest), np.uint64)
-    for lane, payload in enumerate(payloads):
-        words[lane, :len(payload) // 2] = np.frombuffer(payload, "<u2")
-    code = (words[:, 0] << np.uint64(48)) | (words[:, 1] << np.uint64(32)) | (words[:, 2] << SHIFT) | words[:, 3]
-    taken = np.full(n, 4)
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")
-    columns = np.zeros((steps, n), np.int64)
-    for t in range(steps):
-        k = int(active[t])
-        if k < len(state.low):
-            state.shrink(k)
-            code, taken = code[:k], taken[:k]
-        state.predict()
-        both = state.share2 + state.share1
-        point = np.minimum((code - state.low) // (state.range >> SHIFT), np.uint64(65_535)).astype(np.int64)
-        order = (point >= state.share2).astype(np.int64) + (point >= both)
-        start = np.where(order == 0, 0, np.where(order == 1, state.share2, both))
-        size = np.where(order == 0, state.share2, np.where(order == 1, state.share1, 65_536 - both))
-        state.narrow(start, size)
-        now = np.where(order == 0, state.guess[0], state.guess[1]).astype(np.int64)
-        lanes = np.flatnonzero(order == 2)
-        if len(lanes):
-            now[lanes] = state.take_order0(lanes, None, code)
-        out = state.unsettled()
-        while len(out):
-            state.low[out] <<= SHIFT
-            state.range[out] <<= SHIFT
-            code[out] = (code[out] << SHIFT) | words[out, np.minimum(taken[out], widest - 1)]
-            taken[out] += 1
-            out = state.unsettled(out)
-        state.learn(now, order)
-        columns[t, :k] = now
-    return columns.T
+    model = Predictions(n)
+    widest = max(map(len, payloads)) // 4
+    words = np.zeros((n, widest + 1), np.uint32)
+    for lane, payload in enumerate(payloads):
+        words[lane, :len(payload) // 4] = np.frombuffer(payload, "<u4")
+    words, word_base = words.reshape(-1), np.arange(n) * (widest + 1)
+    code = words[word_base].astype(np.uint64) << WORD_BITS | words[word_base + 1]
+    taken, size = word_base + 2, np.full(n, ~np.uint64(0))
+    columns = np.zeros((steps + 2, n), np.int32)
+    seen = np.zeros((n, steps), np.uint16)
+    entries, entry_base, counted = np.zeros(n, np.uint64), np.arange(n), 0
+    shape = (STEP, n)
+    place2, place1, cells, orders = (np.zeros(shape, np.int64) for _ in range(4))
+    held2, held1 = np.zeros(shape, np.int32), np.zeros(shape, np.int32)
+    for start, end, anew in schedule(steps):
+        if anew:
+            counted = start
+            entries, entry_base = count_entries(seen[:, :counted]), np.arange(n) * counted
+        parts = np.array([1, 1, max(counted, 1), MAX_IDS], np.uint64)
+        table2, table1 = model.tables
+        for t in range(end - start):
+            m = int(active[start + t])
+            place2[t, :m], place1[t, :m] = model.places(columns[start + t, :m], columns[start + t + 1, :m])
+            sure2, sure1 = table2.take(place2[t, :m]), table1.take(place1[t, :m])
+            held2[t, :m], held1[t, :m] = sure2, sure1
+            cell = cells[t, :m] = model.cells(sure2, sure1)
+            limits = model.limits.take(cell)
+            unit = size[:m] >> SHARE_BITS
+            rest = code[:m]
+            point = rest // unit
+            order = (point >= (limits & LOW16)).astype(np.uint64)
+            order += point >= (limits >> np.uint64(16) & LOW16)
+            order += point >= (limits >> np.uint64(32) & LOW16)
+            shift = order << np.uint64(4)
+            begin = limits << SHARE_BITS >> shift & LOW16
+            share = (limits >> shift & LOW16) - begin
+            order = orders[t, :m] = order.astype(np.int64)
+            rest = rest - unit * begin
+            unit *= share
+            unit //= parts.take(order)
+            place = rest // unit
+            is0 = order == ORDER0
+            entry = entries.take(np.where(is0, place.astype(np.int64), 0) + entry_base[:m])
+            inside = np.where(is0, entry >> np.uint64(16) & LOW16, place)
+            rest -= unit * inside
+            unit *= np.where(is0, entry >> np.uint64(32), np.uint64(1))
+            now = np.where(is0, entry & LOW16, place).astype(np.int32)
+            now = np.where(order == ORDER2, sure2 >> 3, np.where(order == ORDER1, sure1 >> 3, now))
+            out = np.flatnonzero(unit < LEAST_RANGE)
+            if len(out):
+                at = taken[out]
+                rest[out] = rest[out] << WORD_BITS | words[at]
+                taken[out] = at + 1
+                unit[out] <<= WORD_BITS
+            code[:m], size[:m] = rest, unit
+            columns[start + t + 2, :m] = now
+        seen[:, start:end] = columns[start + 2:end + 2].T
+        if end < steps:
+            k, s = int(active[end]), end - start
+            model.learn(columns[start + 2:end + 2, :k], orders[:s, :k], (place2[:s, :k], place1[:s, :k]),
+                        (held2[:s, :k], held1[:s, :k]), cells[:s, :k])
+    return columns[2:].T
+
+
+def together(blocks: int) -> list[tuple[int, int]]:
+    """Even runs of about LANES blocks, which are coded side by side."""
+    runs = max(1, round(blocks / LANES))
+    ends = [blocks * i // runs for i in range(runs + 1)]
+    return list(zip(ends[:-1], ends[1:]))
 
 
 def encode(ids: np.ndarray) -> list[bytes]:
-    """Blocks of BLOCK ids (the last one of the rest), each with its header."""
+    """Blocks of BLOCK ids (the last one of the rest), each with its header; ids must be below MAX_IDS."""
+    if not len(ids):
+        return []
+    if int(ids.max()) >= MAX_IDS:
+        raise ValueError(f"token ids must be below {MAX_IDS}")
     blocks = []
-    for start in range(0, len(ids), BLOCK * LANES):
-        part = ids[start:start + BLOCK * LANES]
+    for first, last in together(-(-len(ids) // BLOCK)):
+        part = ids[first * BLOCK:last * BLOCK]
         lengths = np.array([min(BLOCK, len(part) - k) for k in range(0, len(part), BLOCK)])
-        padded = np.zeros(len(lengths) * BLOCK, np.int64)
+        padded = np.zeros(len(lengths) * BLOCK, np.int32)
         padded[:len(part)] = part
         blocks += encode_lanes(padded.reshape(-1, BLOCK)[:, :lengths[0]], lengths)
     return blocks
@@ -264,9 +298,9 @@ def encode(ids: np.ndarray) -> list[bytes]:
 def decode(blocks: list[bytes]) -> np.ndarray:
     """The ids of blocks from ``encode``; a damaged block raises ValueError."""
     parts = []
-    for start in range(0, len(blocks), LANES):
+    for first, last in together(len(blocks)) if blocks else []:
         payloads, lengths = [], []
-        for block in blocks[start:start + LANES]:
+        for block in blocks[first:last]:
             magic, n, size, check = HEADER.unpack_from(block)
             payload = block[HEADER.size:]
             if magic != MAGIC or len(payload) != size or crc32(payload) != check:

@@ -12,6 +12,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, islice
 from zlib import crc32
 
 import numpy as np
@@ -27,15 +28,18 @@ END_ID = 2
 # Token ids of a group: as many blocks as are coded side by side.
 GROUP_IDS = range_coder.BLOCK * range_coder.LANES
 # Pieces whose ids a Python worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 1_000_000
 FILE_SCHEMA = "part long, group long, n_ids long, doc_ids binary, lengths binary, blocks array<binary>"
 
 # A single space between two of these characters, none of which is white space,
 # always begins a token: byte-level BPE splits a text there before merging.
 PLAIN = "!-~¡-ᙿᚁ-῿Ⰰ-⿿、-퟿"
 CUT = re.compile(f"(?<=[{PLAIN}]) (?=[{PLAIN}])")
-# Where no white space but single spaces between plain characters occurs, a plain split does.
-UNUSUAL = re.compile(f"[^ {PLAIN}]|  |^ | $")
+# Bytes of all white space but spaces and line feeds, and of some other characters.
+UNUSUAL = bytes([*range(10), *range(11, 32), 127, 0xC2, 0xE1, 0xE2, 0xE3, *range(0xED, 256)])
+UNUSUAL_RUNS = ("  ", " \n", "\n ", "\n\n\n")
+# A single one of these after a letter or digit is always a token's last or only character.
+SINGLE = ".,;:"
 
 
 def default_tokenizer() -> str:
@@ -52,6 +56,21 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def pieces_of(text: str, special: list[str]) -> list[str]:
+    """A text cut where tokens always begin.
+
+    Pieces but the first begin with a space, which is left out, or a line feed.
+    Where white space is only single spaces and one or two line feeds, between
+    other characters, and no special token ends a run of it, a plain split does:
+    each begins a token.
+    """
+    data = text.encode("utf-8", "replace")
+    if (len(data.translate(None, UNUSUAL)) < len(data) or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")
+            or any(run in text for run in UNUSUAL_RUNS) or any(token in text for token in special)):
+        return CUT.split(text)
+    return text.replace("\n", " \n").split(" ")
+
+
 class Encoder:
     """Ids of whole texts, from the tokenizer's ids of their pieces, which repeat.
 
@@ -61,28 +80,64 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        # Byte-level vocabularies write byte 0 as the letter A with a macron.
+        alone = not any("\u0100" in token and token != "\u0100" for token in vocabulary)
+        self.between = vocabulary.get("\u0100") if alone else None
+        self.single = dict(zip(SINGLE, self.ids(list(SINGLE))))
+
+    def ids(self, some: list[str]) -> list[bytes]:
+        return [np.array(c.ids, "<u4").tobytes()
+                for c in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+    def ids_of_pieces(self, some: list[str]) -> list[bytes]:
+        """Of pieces that begin with a space or a line feed: in one text with NULs between, where that is safe.
+
+        A NUL is no part of a longer token, so it ends the token before it, and the white space after it begins one.
+        """
+        if self.between is None:
+            return self.ids(some)
+        joined = [p for p in some if "\0" not in p and not p[-1].isspace()]
+        apart = [p for p in some if "\0" in p or p[-1].isspace()]
+        out = dict(zip(apart, self.ids(apart)))
+        if joined:
+            coded = self.tokenizer.encode_batch_fast(["\0".join(joined)], add_special_tokens=False)[0].ids
+            coded = np.array(coded, "<u4")
+            ends = np.append(np.flatnonzero(coded == self.between), len(coded)).tolist()
+            data, start = coded.tobytes(), 0
+            for piece, end in zip(joined, ends, strict=True):
+                out[piece] = data[4 * start:4 * end]
+                start = end + 1
+        return [out[p] for p in some]
+
+    def add(self, pieces: set[str]) -> None:
+        """Remember the ids of pieces that begin with a space, left out, or a line feed."""
+        known = self.known
+        # "word," is "word" and ",": only the word is looked for.
+        ended = [p for p in pieces if p[-1:] in self.single and p[-2:-1].isalnum()]
+        new = list({p for p in (pieces.difference(ended) | {p[:-1] for p in ended}) if p not in known})
+        for start in range(0, len(new), 1_000):
+            some = new[start:start + 1_000]
+            known.update(zip(some, self.ids_of_pieces([p if p[:1] == "\n" else " " + p for p in some])))
+        for piece in ended:
+            known[piece] = known[piece[:-1]] + self.single[piece[-1]]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [text.split(" ") if not UNUSUAL.search(text) else CUT.split(text) for text in batch]
-        # Pieces but the first begin with the space they were cut at; a first piece is marked by a NUL.
-        firsts = ["\0" + pieces[0] for pieces in cut]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        wanted = {piece for pieces in cut for piece in pieces[1:]}
-        new = [piece for piece in wanted if piece not in known]
-        new += [first for first in set(firsts) if first not in known]
-        fresh = {}
-        for start in range(0, len(new), 20_000):
-            some = new[start:start + 20_000]
-            coded = self.tokenizer.encode_batch_fast(
-                [piece[1:] if piece[:1] == "\0" else " " + piece for piece in some], add_special_tokens=False)
-            fresh.update(zip(some, (np.array(c.ids, "<u4").tobytes() for c in coded)))
-        known.update(fresh)
-        get = known.__getitem__
-        return [get(first) + b"".join(map(get, pieces[1:])) for first, pieces in zip(firsts, cut)]
+        cut = [pieces_of(text, self.special) for text in batch]
+        firsts = self.ids([pieces[0] for pieces in cut])
+        rest = list(chain.from_iterable(pieces[1:] for pieces in cut))
+        found = list(map(self.known.get, rest))
+        missing = {piece for piece, ids in zip(rest, found) if ids is None}
+        if missing:
+            self.add(missing)
+            found = list(map(self.known.__getitem__, rest))
+        found = iter(found)
+        return [first + b"".join(islice(found, len(pieces) - 1)) for first, pieces in zip(firsts, cut)]
 
 
 @cache

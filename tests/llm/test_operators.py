@@ -104,6 +104,19 @@ def test_damaged_block_is_noticed():
         range_coder.decode([broken])
 
 
+def test_pieces_give_the_ids_of_whole_texts():
+    import random
+
+    deal = random.Random(1)
+    parts = ["a", "B", "é", "ß", "7", "²", "ª", "'s", "'ll", "'", ".", ",", ":", "...", "!", " ", " ", "  ", "\n",
+             "\n\n", "\n\n\n", "\t", "\r\n", "\u00a0", "\u3000", "漢字", "한", "😀", "\0", "<|endoftext|>", "\x85"]
+    texts = ["".join(deal.choice(parts[:deal.choice((20, len(parts)))]) for _ in range(deal.randrange(14)))
+             for _ in range(20_000)]
+    encoder = token_ids.Encoder(token_ids.default_tokenizer())
+    whole = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert encoder.encode(texts) == [np.array(c.ids, "<u4").tobytes() for c in whole]
+
+
 def test_token_ids(awkward):
     from tokenizers import Tokenizer
 
