@@ -226,6 +226,23 @@ def test_line_classes(make, awkward):
     assert cleaned[2] == "" and cleaned[1] == "One two three four five six seven."
 
 
+def test_short_lines(make, spark, tmp_path):
+    pick = random.Random(8)
+    texts = ["\n".join(" ".join(pick.choices("abcdefg", k=pick.randint(0, 7))) for _ in range(5)) for _ in range(40)]
+    make([(i, t, None) for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.line): r for r in line_dedup.op4_line_dedup(spark, str(tmp_path)).collect()}
+    every = [((i, n), frozenset(line.split())) for i, t in enumerate(texts) for n, line in enumerate(t.split("\n"))]
+    every = [x for x in every if x[1]]
+    assert set(got) == {at for at, _ in every}
+    for at, own in every:
+        near = {s for _, s in every if 5 * len(s & own) >= 4 * len(s | own)}
+        assert got[at].n_links == len(near) - 1
+        assert got[at].kept == (not any(s in near and other < at for other, s in every))
+    docs = make([(1, "All rights reserved.\n\nx", None), (2, "y\nall rights reserved.\n\nx", None)])
+    assert {r.doc_id: r.text for r in line_dedup.deduplicated(docs).collect()} == {
+        1: "All rights reserved.\n\nx", 2: "y\n"}
+
+
 # Classifiers
 
 def labelled(make, spark, n=400):
