@@ -9,6 +9,7 @@ values stay equal in all documents, and a valid value becomes a valid one.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -24,15 +25,54 @@ IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 ISO_DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?!-?\d)"
 DOT_DATE = r"(?<![\d.])\d{1,2}\.\d{1,2}\.\d{4}(?!\.?\d)"
 SLASH_DATE = r"(?<![\d/])\d{1,2}/\d{1,2}/\d{4}(?!/?\d)"
-PHONE = (r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
-         r"|(?<![\d+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![.-]?\d)")
+YEAR_DATE = r"(?<![\d/])\d{4}/\d{1,2}/\d{1,2}(?!/?\d)"
+# Twelve names each: English, German, French, Spanish, in full and short.
+MONTHS = {kind: names.split() for kind, names in {
+    "en": "january february march april may june july august september october november december",
+    "en short": "jan feb mar apr may jun jul aug sep oct nov dec",
+    "en sept": "jan feb mar apr may june july aug sept oct nov dec",
+    "de": "januar februar märz april mai juni juli august september oktober november dezember",
+    "de short": "jan feb mär apr mai jun jul aug sep okt nov dez",
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "fr short": "janv févr mars avr mai juin juil août sept oct nov déc",
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+    "es short": "ene feb mar abr may jun jul ago sep oct nov dic"}.items()}
+MONTH = "(?iu:" + "|".join(sorted({name for names in MONTHS.values() for name in names}, key=lambda n: (-len(n), n))) + ")"
+# A day, its ending, what parts it from the month, the month, what parts that from the year, the year.
+DAY_FIRST = (r"(\d{1,2})((?i:st|nd|rd|th|er)|\.)?( ?-| *(?i:of|de)? +| (?=\p{L}))(" + MONTH + r")(\.?(?:,? +(?i:del?)? *|-|, *))(\d{4})")
+MONTH_FIRST = "(" + MONTH + r")(\.? +|\.?-)(\d{1,2})((?i:st|nd|rd|th))?(,? +|, *|-)(\d{4})"
+
+
+def ungrouped(pattern: str) -> str:
+    return re.sub(r"(?<!\\)\((?!\?)", "(?:", pattern)
+
+
+DAY_NAMED = r"(?<![\d./-])" + ungrouped(DAY_FIRST) + r"(?!\d)"
+MONTH_NAMED = r"(?<![\p{L}\d])" + ungrouped(MONTH_FIRST) + r"(?!\d)"
+# Country codes: of one digit, of two, and of three.
+CODE = r"(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9]\d\d)"
+DIGIT = r"(?:[ ./-]?\(?\d\)?)"
+ABROAD = (r"(?<![\d+])\+(?=\d)(?:[17]{trunk}{digit}{{10}}|(?:3[134]|41|48|351){trunk}{digit}{{9}}|44{trunk}{digit}{{9,10}}"
+          r"|(?![17]){code}{trunk}{digit}{{6,12}})(?!\d)").format(trunk=r"(?:[ .-]?\(0\))?", digit=DIGIT, code=CODE)
+PHONE = (ABROAD + r"|(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+         r"|(?<![\d+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![.-]?\d)")
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!-?\d)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+# IBANs printed in groups of four, by the length that each country's have.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ XK LT LU MN",
+                21: "HR LV LI CH", 22: "BH BG CR GE DE IE ME RS GB VA", 23: "GI IL AE IQ OM SO TL",
+                24: "AD CZ MD PK RO SA SK ES SE TN VG", 25: "PT LY ST", 26: "IS TR", 27: "FR GR IT MR MC SM BI DJ",
+                28: "AL AZ CY DO GT HU LB PL SV NI BY", 29: "BR PS QA EG UA", 30: "JO KW MU YE", 31: "MT SC",
+                32: "LC", 33: "RU"}
+SPACED_IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(
+    "(?:" + countries.replace(" ", "|") + r")\d{2}" + f"(?: [A-Z0-9]{{4}}){{{length // 4 - 1}}}"
+    + (f" [A-Z0-9]{{{length % 4}}}" if length % 4 else "")
+    for length, countries in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])"
 CARD = (r"(?<!\d)(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}"
         r"|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)")
-# Seven patterns begin with one of a few characters, so elsewhere none of them is tried.
-NUMBERS = "(?=[0-9(+])(?:" + "|".join((IP, ISO_DATE, DOT_DATE, SLASH_DATE, PHONE, SSN, CARD)) + ")"
-VALUES = "|".join((EMAIL, NUMBERS, IBAN))
+# Nine patterns begin with one of a few characters, so elsewhere none of them is tried.
+NUMBERS = "(?=[0-9(+])(?:" + "|".join((IP, ISO_DATE, DAY_NAMED, DOT_DATE, SLASH_DATE, YEAR_DATE, PHONE, SSN, CARD)) + ")"
+VALUES = "|".join((EMAIL, NUMBERS, IBAN, MONTH_NAMED))
 
 # Days in the 400 years after which the calendar repeats: 189 * 773.
 FIRST_DAY, CYCLE_HIGH, CYCLE_LOW = "1700-01-01", 189, 773
@@ -116,10 +156,13 @@ def card(key: str, value: Column) -> Column:
 
 
 def phone(key: str, value: Column) -> Column:
-    """The ten digits of the national number are permuted; a country code stays."""
+    """The national number is permuted; a country code, and the zero in (0), stay."""
     def use(digits: Column) -> Column:
-        code = F.left(digits, F.length(digits) - 10)
-        return refilled(value, F.concat(code, permuted_digits(key, "phone", F.right(digits, F.lit(10)))))
+        zero = F.when(value.contains("(0)"), F.lit("0")).otherwise(F.lit(""))
+        listed = F.regexp_extract(digits, "^" + CODE, 0)
+        code = F.when(value.startswith("+") & (listed != ""), listed).otherwise(F.left(digits, F.length(digits) - 10))
+        number = F.right(digits, F.length(digits) - F.length(code) - F.length(zero))
+        return refilled(value, F.concat(code, zero, permuted_digits(key, "phone", number)))
 
     return bound(digits_of(value), use)
 
@@ -191,12 +234,61 @@ def date(key: str, value: Column) -> Column:
         slashed = bound(new_day(key, F.coalesce(day(three, one, two), day(three, two, one))), lambda d: F.concat_ws(
             "/", short(F.when(american, F.month(d)).otherwise(F.dayofmonth(d)), one),
             short(F.when(american, F.dayofmonth(d)).otherwise(F.month(d)), two), F.lpad(F.year(d).cast("string"), 4, "0")))
+        year_first = bound(iso, lambda d: F.concat_ws(
+            "/", F.lpad(F.year(d).cast("string"), 4, "0"), short(F.month(d), two), short(F.dayofmonth(d), three)))
         return F.when(value.contains("-"), iso.cast("string")).when(
+            F.length(one) == 4, F.when(year_first != "", F.when(iso.isNotNull(), year_first))).when(
             value.contains("."), F.when(dotted != "", dotted)).otherwise(F.when(slashed != "", slashed))
 
     return bound(F.split(value, "[-./]"), use)
 
 
+def named_date(key: str, value: Column) -> Column:
+    """Dates with a month's name: the new month's is of the same language, length and case."""
+    first = value.rlike("^[0-9]")
+
+    def part(day_first: int, month_first: int) -> Column:
+        return F.when(first, F.regexp_extract(value, f"^{DAY_FIRST}$", day_first)).otherwise(
+            F.regexp_extract(value, f"^{MONTH_FIRST}$", month_first) if month_first else F.lit(""))
+
+    def ordered(*languages: str) -> list[str]:
+        return [name for language in languages for kind, names in MONTHS.items() if kind.startswith(language) for name in names]
+
+    def use(x: Column) -> Column:
+        word = x["month"]
+        small = word == F.lower(word)
+        # Names that languages share are told by "de", by the dot after the day, and by their case.
+        names = F.when(x["gap"].rlike("(?i)de"), F.lit(ordered("es", "fr", "en", "de"))).when(
+            first & (x["ending"] == "."), F.lit(ordered("de", "en", "fr", "es"))).when(
+            small, F.lit(ordered("fr", "es", "en", "de"))).otherwise(F.lit(ordered("en", "de", "fr", "es")))
+
+        def found(y: Column) -> Column:
+            place = y["place"]
+            date = new_day(key, F.concat_ws("-", x["year"], F.lpad((place % 12 + 1).cast("string"), 2, "0"),
+                                            F.lpad(x["day"], 2, "0")).try_cast("date"))
+
+            def shown(d: Column) -> Column:
+                name = F.get(y["names"], (place - place % 12 + F.month(d) - 1).cast("int"))
+                name = F.when(small, name).when((word == F.upper(word)), F.upper(name)).otherwise(F.initcap(name))
+                number = F.dayofmonth(d)
+                day = F.lpad(number.cast("string"), F.greatest(F.length(x["day"]), F.length(number.cast("string"))), F.lit("0"))
+                nth = F.when(number.isin(1, 21, 31), F.lit("st")).when(number.isin(2, 22), F.lit("nd")).when(
+                    number.isin(3, 23), F.lit("rd")).otherwise(F.lit("th"))
+                ending = F.when(x["ending"].isin("", "."), x["ending"]).when(
+                    F.lower(x["ending"]) == "er", F.when(number == 1, x["ending"]).otherwise(F.lit(""))).otherwise(nth)
+                year = F.lpad(F.year(d).cast("string"), 4, "0")
+                return F.when(d.isNull(), F.lit(None).cast("string")).when(
+                    first, F.concat(day, ending, x["gap"], name, x["gap2"], year)).otherwise(
+                    F.concat(name, x["gap"], day, ending, x["gap2"], year))
+
+            return bound(date, shown)
+
+        return bound(bound(names, lambda n: F.struct(n.alias("names"), (F.array_position(n, F.lower(word)) - 1).alias("place"))), found)
+
+    return bound(F.struct(part(1, 3).alias("day"), part(2, 4).alias("ending"), part(3, 2).alias("gap"),
+                          part(4, 1).alias("month"), part(5, 5).alias("gap2"), part(6, 6).alias("year")), use)
+
+
 def shifted(char: Column, by: Column) -> Column:
     """A letter or digit moved on within its kind; other characters stay."""
     code = F.ascii(char)
@@ -240,12 +332,19 @@ def mod97(value: Column) -> Column:
 
 
 def iban(key: str, value: Column) -> Column:
-    """The account is permuted, the country stays, the check digits are made anew; NULL if they are wrong."""
-    country, check = F.left(value, F.lit(2)), F.substring(value, 3, 2)
-    account = F.right(value, F.length(value) - 4)
-    new = bound(permuted_characters(key, "iban", account), lambda a: F.concat(
-        country, F.lpad((98 - mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a))
-    return F.when(mod97(F.concat(account, country, check)) == 1, new)
+    """The account is permuted, the country stays, the check digits are made anew; NULL if they are wrong.
+
+    Blanks between groups of four don't count, and are set again.
+    """
+    def use(bare: Column) -> Column:
+        country, check = F.left(bare, F.lit(2)), F.substring(bare, 3, 2)
+        account = F.right(bare, F.length(bare) - 4)
+        new = bound(permuted_characters(key, "iban", account), lambda a: F.concat(
+            country, F.lpad((98 - mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a))
+        shown = F.when(value.contains(" "), F.trim(F.regexp_replace(new, "(.{4})", "$1 "))).otherwise(new)
+        return F.when(mod97(F.concat(account, country, check)) == 1, shown)
+
+    return bound(F.replace(value, F.lit(" "), F.lit("")), use)
 
 
 def pseudonym(key: str, value: Column) -> Column:
@@ -256,6 +355,8 @@ def pseudonym(key: str, value: Column) -> Column:
     return (F.when(value.contains("@"), email(key, value))
             .when(whole(IP), ip(key, value))
             .when(whole(f"{ISO_DATE}|{DOT_DATE}|{SLASH_DATE}"), date(key, value))
+            .when(whole(f"{YEAR_DATE}"), date(key, value))
+            .when(whole(f"{DAY_NAMED}|{MONTH_NAMED}"), named_date(key, value))
             .when(whole(PHONE), phone(key, value))
             .when(whole(SSN), ssn(key, value))
             .when(whole(IBAN), iban(key, value))
@@ -267,14 +368,37 @@ def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     Emails, IPv4 addresses, dates, telephone numbers, social security numbers,
     IBANs and card numbers are found; the valid ones are replaced by their
-    pseudonyms and everything else stays as it is.  NULL texts are empty.  Rows
-    that repeat a doc_id are documents of their own.  An empty table gives no
-    rows; columns other than doc_id and text are not read.
+    pseudonyms and everything else stays as it is.  Dates are yyyy-mm-dd,
+    yyyy/mm/dd, d.m.yyyy, m/d/yyyy, d/m/yyyy, or have a month's name in English,
+    German, French or Spanish.  Telephone numbers are +, a country code and 6 to
+    12 digits in any groups, or 3-3-4 digits.  IBANs are written in one piece or
+    in groups of four.  One value in two of these forms stays one value.
+
+    Not found: telephone numbers without a country code in other groups than
+    3-3-4, or with 00 for the +; IBANs in groups with other characters than
+    blanks, or of countries not in IBAN_LENGTHS in groups; dates without a year,
+    with a year of two digits, or months in other languages; cards in other
+    groups; social security numbers without hyphens; IPv6 addresses; digits
+    other than 0-9; and names and postal addresses.
+
+    Spaced IBANs whose check digits are wrong are searched for other values, and
+    don't count as found.  NULL texts are empty.  Rows that repeat a doc_id are
+    documents of their own.  An empty table gives no rows; columns other than
+    doc_id and text are not read.
     """
-    # Texts without values, which are most, are searched once.
-    between_values = F.when(F.size("found") > 0, F.split("text", VALUES, -1)).otherwise(F.array("text"))
-    found = texts(docs).withColumn("found", F.regexp_extract_all("text", F.lit(VALUES), F.lit(0))).select(
-        "doc_id", between_values.alias("parts"), "found")
+    def cut(row: Column) -> Column:
+        """Texts around the valid spaced IBANs, and those IBANs' pseudonyms."""
+        pieces = F.zip_with(row["ibans"], F.slice(row["parts"], 2, F.greatest(F.size(row["parts"]) - 1, F.lit(0))),
+                            lambda old, after: F.struct(old.alias("old"), iban(key, old).alias("new"), after.alias("after")))
+
+        def step(state: Column, x: Column) -> Column:
+            last = F.element_at(state, -1)
+            longer = F.concat(F.slice(state, 1, F.size(state) - 1), F.array(F.concat(last, x["old"], x["after"])))
+            return F.when(x["new"].isNull(), longer).otherwise(F.concat(state, F.array(x["after"])))
+
+        return bound(pieces, lambda p: F.struct(
+            F.aggregate(p, F.array(F.get(row["parts"], 0)), step).alias("texts"),
+            F.filter(F.transform(p, lambda x: x["new"]), lambda new: new.isNotNull()).alias("ibans")))
 
     def replaced(values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(v.alias("old"), pseudonym(key, v).alias("new")))
@@ -288,8 +412,27 @@ def pseudonymized(docs: DataFrame, key: str = KEY) -> DataFrame:
             F.concat(F.get(x["parts"], 0), F.array_join(F.zip_with(
                 values, between, lambda v, part: F.concat(F.coalesce(v["new"], v["old"]), part)), "")).alias("text"))
 
-    row = bound(F.struct("parts", replaced(F.col("found")).alias("values")), rebuilt)
-    return found.select("doc_id", row.alias("row")).select("doc_id", "row.n_found", "row.n_replaced", "row.text")
+    def searched(text: Column) -> Column:
+        # Texts without values, which are most, are searched once.
+        return bound(F.struct(text.alias("text"), F.regexp_extract_all(text, F.lit(VALUES), F.lit(0)).alias("found")), lambda x: bound(
+            F.struct(F.when(F.size(x["found"]) > 0, F.split(x["text"], VALUES, -1)).otherwise(F.array(x["text"])).alias("parts"),
+                     replaced(x["found"]).alias("values")), rebuilt))
+
+    def joined(x: Column) -> Column:
+        def total(name: str) -> Column:
+            return F.aggregate(x["rows"], F.lit(0).cast("bigint"), lambda n, row: n + row[name]) + F.size(x["ibans"])
+
+        rest = F.slice(x["rows"], 2, F.greatest(F.size(x["rows"]) - 1, F.lit(0)))
+        return F.struct(
+            total("n_found").alias("n_found"), total("n_replaced").alias("n_replaced"),
+            F.concat(F.get(x["rows"], 0)["text"], F.array_join(F.zip_with(
+                x["ibans"], rest, lambda new, row: F.concat(new, row["text"])), "")).alias("text"))
+
+    spaced = texts(docs).withColumn("ibans", F.regexp_extract_all("text", F.lit(SPACED_IBAN), F.lit(0)))
+    parts = F.when(F.size("ibans") > 0, F.split("text", SPACED_IBAN, -1)).otherwise(F.array("text"))
+    row = bound(bound(F.struct("ibans", parts.alias("parts")), cut), lambda x: bound(
+        F.struct(F.transform(x["texts"], searched).alias("rows"), x["ibans"].alias("ibans")), joined))
+    return spaced.select("doc_id", row.alias("row")).select("doc_id", "row.n_found", "row.n_replaced", "row.text")
 
 
 def op9_pseudonyms(spark, sf_dir: str) -> DataFrame:

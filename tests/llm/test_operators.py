@@ -374,6 +374,42 @@ def test_pseudonyms(make, awkward):
     assert {r.text for r in pseudonyms.pseudonymized(awkward).collect()} == {t or "" for _, t, _ in rows_of(awkward)}
 
 
+def test_other_written_forms(make):
+    def made(text):
+        row = pseudonyms.pseudonymized(make([(1, text, None)])).collect()[0]
+        return row.text, row.n_found, row.n_replaced
+
+    forms = ["+44 20 7946 0958", "+44 (0)20 7946 0958", "+442079460958", "+33 1 23 45 67 89", "+33123456789",
+             "+34 912 345 678", "+49 30 123456", "+49 (30) 123456", "555 123 4567", "+1 555-123-4567", "1-555-123-4567",
+             "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947",
+             "2021/03/04", "2021-03-04", "4 March 2021", "March 4th, 2021", "4. März 2021", "4 mars 2021",
+             "4 de marzo de 2021", "04-Mar-2021", "MAR 4 2021"]
+    text, found, replaced = made("; ".join(forms) + "; BE12 4111 1111 1111 1111; 2021/13/45; 31 April 2021.")
+    got = text.split("; ")
+    assert (found, replaced) == (len(forms) + 3, len(forms) + 1)
+    assert got[-2:] == ["2021/13/45", "31 April 2021."] and got[-3].startswith("BE12 ") and luhn(re.sub(r"\D", "", got[-3])[2:])
+    assert all(new != old for new, old in zip(got, forms))
+    at = dict(zip(forms, got))
+
+    def bare(form):
+        return re.sub(r"\(0\)|[^0-9A-Za-z]", "", at[form])
+
+    assert bare(forms[0]) == bare(forms[1]) == bare(forms[2]) and bare(forms[3]) == bare(forms[4])
+    assert bare(forms[6]) == bare(forms[7]) and bare(forms[8]) == bare(forms[9])[1:] == bare(forms[10])[1:]
+    assert bare(forms[11]) == bare(forms[12]) and at[forms[11]].startswith("DE") and at[forms[11]].count(" ") == 5
+    assert [k for k, c in enumerate(at[forms[3]]) if c == " "] == [3, 5, 8, 11, 14] and at[forms[3]].startswith("+33")
+    year, month, day = at["2021-03-04"].split("-")
+    names = {kind: [name.capitalize() for name in pseudonyms.MONTHS[kind]] for kind in pseudonyms.MONTHS}
+    m, d = int(month) - 1, int(day)
+    assert at["2021/03/04"] == f"{year}/{month}/{day}" and at["4 March 2021"] == f"{d} {names['en'][m]} {year}"
+    assert at["March 4th, 2021"].startswith(f"{names['en'][m]} {d}") and at["March 4th, 2021"].endswith(f", {year}")
+    assert at["4. März 2021"] == f"{d}. {names['de'][m]} {year}"
+    assert at["4 mars 2021"] == f"{d} {names['fr'][m].lower()} {year}"
+    assert at["4 de marzo de 2021"] == f"{d} de {names['es'][m].lower()} de {year}"
+    assert at["04-Mar-2021"] == f"{day}-{names['en short'][m]}-{year}"
+    assert at["MAR 4 2021"] == f"{names['en short'][m].upper()} {d} {year}"
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).select(pseudonyms.permuted_digits("k", "t", F.lpad(F.col("id").cast("string"), 3, "0")).alias("x"))
     assert {r.x for r in df.collect()} == {f"{i:03d}" for i in range(1000)}
