@@ -1,10 +1,11 @@
 """A hidden Markov language model, trained by Baum-Welch over all training texts.
 
-A state emits symbols.  The most frequent words are symbols of their own, all
-others share a symbol with the words of the same ending; within such a class a
-word's probability comes from its count.  Counts of all words are gathered once.
-Those of the FREQUENT most frequent words are broadcast, which bounds the
-broadcast; the other words of a text meet their counts in a join.
+A state emits words; every word of the training texts has its own probability in
+every state, and so has any unknown one.  Those of the FREQUENT most frequent
+words are broadcast, which bounds the broadcast; those of all others are a
+stored table, joined to the texts' words in each round, and the counts that a
+round expects of them are summed by word.  Rounds end when the likelihood does
+not grow by TOLERANCE any more.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -23,12 +23,10 @@ from shelfgauge.llm.common import in_chunks, read_table, remainder, texts, writt
 
 FOLDS, HELD_OUT = 7, 2
 STATES = 8
-ROUNDS = 3
-# Words whose counts are broadcast, and those among them that are symbols of their own.
-FREQUENT, OWN = 100_000, 4_096
-ENDINGS = 256
-ENDING = 3
-SYMBOLS = OWN + ENDINGS
+# Rounds end when log10 likelihood a token grows by less than this part of itself.
+TOLERANCE = 1e-3
+# Words whose counts and emissions are broadcast.
+FREQUENT = 100_000
 # How much the first states differ in their emissions, and how likely they last.
 TILT, STAY = 0.3, 0.95
 # Prior weight, in tokens, of the mean emission in each state's emission.
@@ -69,21 +67,19 @@ def count_words(docs: DataFrame) -> DataFrame:
     return written(counted.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
 
 
-def ending_class(word: Column) -> Column:
-    """The symbol of a word that has none of its own, by its last bytes."""
-    return F.crc32(F.substring(word.cast("binary"), -ENDING, ENDING)) % ENDINGS + OWN
-
-
 class Vocabulary(NamedTuple):
-    """What every task knows of the words: bounded by FREQUENT and SYMBOLS."""
+    """What every task knows of the words: bounded by FREQUENT."""
 
-    frequent: list[str]  # most frequent first; the first OWN - 1 are symbols 1, 2, ...
+    frequent: list[str]  # most frequent first; symbols 1, 2, ...; 0 is the end
     counts: np.ndarray  # of the frequent words
+    limit: float  # the least count of a frequent word
     all_tokens: int
     all_words: int
     end_count: int
-    mass: np.ndarray  # tokens per symbol
-    kinds: np.ndarray  # words per symbol
+
+    def mean(self) -> np.ndarray:
+        """Probability of the end and the frequent words; an unknown word counts as one of 0."""
+        return (np.concatenate([[self.end_count], self.counts]) + 1) / (self.all_tokens + self.all_words + 1)
 
 
 def frequent_from(counts: DataFrame) -> float:
@@ -103,72 +99,50 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     every = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"),
                        F.sum(F.when(F.col("word") == END, F.col("c"))).alias("ends")).first()
     real = counts.where(F.col("word") != END)
-    top = sorted(real.where(F.col("c") >= frequent_from(real)).collect(), key=lambda row: (-row["c"], row["word"]))
-    mass, kinds = np.zeros(SYMBOLS), np.zeros(SYMBOLS)
-    for row in real.groupBy(ending_class(F.col("word")).alias("symbol")).agg(
-            F.sum("c").alias("mass"), F.count(F.lit(1)).alias("kinds")).collect():
-        mass[row["symbol"]], kinds[row["symbol"]] = row["mass"], row["kinds"]
-    for symbol, row in enumerate(top[:OWN - 1], start=1):
-        shared = class_of(row["word"].encode())
-        mass[symbol], kinds[symbol] = row["c"], 1
-        mass[shared] -= row["c"]
-        kinds[shared] -= 1
-    mass[0], kinds[0] = every["ends"] or 0, 1
-    return Vocabulary([row["word"] for row in top], np.array([row["c"] for row in top], np.float64),
-                      every["n"] or 0, every["v"], every["ends"] or 0, mass, kinds)
-
-
-def class_of(word: bytes) -> int:
-    return OWN + crc32(word[-ENDING:]) % ENDINGS
+    limit = frequent_from(real)
+    top = sorted(real.where(F.col("c") >= limit).collect(), key=lambda row: (-row["c"], row["word"]))
+    return Vocabulary([row["word"] for row in top], np.array([row["c"] for row in top], np.float64), limit,
+                      every["n"] or 0, every["v"], every["ends"] or 0)
 
 
 def encoded(docs: DataFrame, known: Vocabulary) -> DataFrame:
-    """One stored row per document: its symbols, the sums over frequent words, and its other words.
+    """One stored row per document: its symbols, the sum over frequent words, and its other words.
 
-    ``base`` sums log10(c + 1) over known frequent words and the end, and
-    ``inner`` what a word adds within its class; both lack the words in
-    ``others`` (joined by spaces), whose counts come by a join.
+    ``base`` sums log10(c + 1) over frequent words and the end.  ``rare`` has the
+    different other words and ``times`` how often each one comes; their symbols
+    follow on those of the frequent words, in this order.
     """
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = shared.value
-        place = {word.encode(): number for number, word in enumerate(v.frequent)}
-        symbol_at = np.array([
-            number + 1 if number < OWN - 1 else class_of(word) for word, number in place.items()], dtype=np.uint16)
-        gain = np.log10(v.counts + 1)
-        inner_at = np.where(symbol_at < OWN, 0.0, gain)
-        spread = np.log10(v.mass + v.kinds + 1)
-        spread[:OWN] = 0.0
-        end = np.log10(v.end_count + 1)
+        place = {word.encode(): number for number, word in enumerate(v.frequent, start=1)}
+        gain = np.log10(np.concatenate([[v.end_count], v.counts]) + 1)
         for frame in in_chunks(frames):
             rows = []
             for text in frame["text"]:
-                found = words_of(text)
-                at = np.fromiter((place.get(word, -1) for word in found), np.int64, len(found))
-                seen = at >= 0
-                symbols = np.zeros(len(found) + 1, dtype=np.uint16)  # 0 is the end
-                symbols[:-1][seen] = symbol_at[at[seen]]
-                missing = np.flatnonzero(~seen)
-                others = [found[k] for k in missing]
-                symbols[missing] = [class_of(word) for word in others]
+                rare: dict[bytes, int] = {}
+                symbols = [place.get(word) or len(gain) + rare.setdefault(word, len(rare)) for word in words_of(text)]
+                symbols = np.array([*symbols, 0], np.uint32)
+                seen = symbols < len(gain)
                 rows.append((
-                    symbols.tobytes(), len(found) + 1, int(seen.sum()) + (v.end_count > 0),
-                    float(gain[at[seen]].sum() + end),
-                    float(inner_at[at[seen]].sum() - spread[symbols].sum()), b" ".join(others).decode()))
-            out = pd.DataFrame(rows, columns=["symbols", "n_tokens", "n_frequent", "base", "inner", "others"])
+                    symbols.tobytes(), len(symbols), int(seen.sum()) - (v.end_count == 0),
+                    float(gain[symbols[seen]].sum()), [word.decode() for word in rare],
+                    np.bincount(symbols[~seen] - len(gain), minlength=len(rare))))
+            out = pd.DataFrame(rows, columns=["symbols", "n_tokens", "n_frequent", "base", "rare", "times"])
             yield out.assign(doc_id=frame["doc_id"].to_numpy(), train=frame["train"].to_numpy())
 
     rows = docs.mapInPandas(run, "symbols binary, n_tokens long, n_frequent long, base double, "
-                                 "inner double, others string, doc_id long, train boolean")
+                                 "rare array<string>, times array<long>, doc_id long, train boolean")
     return written(rows.withColumn("key", F.monotonically_increasing_id()), "encoded")
 
 
 def other_words(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Per key: how many of the words in ``others`` are known, and their sum of log10(c + 1)."""
-    words = rows.where("others <> ''").select("key", F.explode(F.split("others", " ", -1)).alias("word"))
+    """Per key: how many of the other words are known, and their sum of log10(c + 1)."""
+    words = rows.select("key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
+        "key", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     return words.join(counts, "word").groupBy("key").agg(
-        F.count(F.lit(1)).alias("n_other"), F.sum(F.log10(F.col("c") + 1)).alias("other_base"))
+        F.sum("times").alias("n_other"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("other_base"))
 
 
 class Model(NamedTuple):
@@ -177,13 +151,55 @@ class Model(NamedTuple):
     emit: np.ndarray  # symbol, state
 
 
-def first_model(known: Vocabulary) -> Model:
+class Others(NamedTuple):
+    """Emissions of the other words: a stored table (word, e), and those of an unknown word."""
+
+    table: DataFrame
+    unknown: np.ndarray
+
+
+def first_model(known: Vocabulary, counts: DataFrame) -> tuple[Model, Others]:
     """Mean emissions, each tilted at random, and states that last, so that texts part by what they are about."""
     random = np.random.default_rng(7)
-    mean = (known.mass + 1) / (known.mass + 1).sum()
-    emit = mean[:, None] * np.exp(random.normal(0, TILT, (SYMBOLS, STATES)))
+    mean = known.mean()
+    emit = mean[:, None] * np.exp(random.normal(0, TILT, (len(mean), STATES)))
+    rest = counts.where((F.col("word") != END) & (F.col("c") < known.limit))
+    # Even numbers from a hash, of the same deviation.
+    tilts = [F.xxhash64("word", F.lit(s)) / 2.0**63 * (TILT * 3**0.5) for s in range(STATES)]
+    unknown = np.full(STATES, 1 / (known.all_tokens + known.all_words + 1))
+    tilted = written(rest.select("word", F.array(*[(F.col("c") + 1) * float(unknown[0]) * F.exp(t) for t in tilts]).alias("e")),
+                     "emissions")
+    total = emit.sum(0) + sums(tilted, "e") + unknown
     move = np.full((STATES, STATES), (1 - STAY) / (STATES - 1)) + (STAY - (1 - STAY) / (STATES - 1)) * np.eye(STATES)
-    return Model(np.full(STATES, 1 / STATES), move, emit / emit.sum(0))
+    return Model(np.full(STATES, 1 / STATES), move, emit / total), Others(divided(tilted, total), unknown / total)
+
+
+def sums(table: DataFrame, column: str) -> np.ndarray:
+    row = table.agg(*[F.sum(F.col(column)[s]).alias(f"s{s}") for s in range(STATES)]).first()
+    return np.array([x or 0.0 for x in row])
+
+
+def divided(table: DataFrame, total: np.ndarray) -> DataFrame:
+    return table.select("word", F.array(*[F.col("e")[s] / float(total[s]) for s in range(STATES)]).alias("e"))
+
+
+def with_emissions(rows: DataFrame, others: Others) -> DataFrame:
+    """``rows`` with ``emissions``: those of their other words, end to end, or NULL without such words."""
+    words = rows.select("key", F.posexplode("rare").alias("place", "word"))
+    unknown = F.array(*[F.lit(float(x)) for x in others.unknown])
+    met = words.join(others.table, "word", "left").groupBy(F.col("key").alias("of")).agg(
+        F.array_sort(F.collect_list(F.struct("place", F.coalesce("e", unknown).alias("e")))).alias("x"))
+    met = met.select("of", F.flatten(F.col("x.e")).alias("emissions"))
+    return rows.join(met, rows["key"] == met["of"], "left").drop("of")
+
+
+def batch_model(frame: pd.DataFrame, model: Model) -> tuple[np.ndarray, Model]:
+    """Symbols of a batch, and the model with the other words of each of its texts in turn."""
+    own = [np.zeros(0) if x is None else np.asarray(x) for x in frame["emissions"]]
+    before = np.cumsum([0, *[len(x) // STATES for x in own]])[:-1]
+    symbols = np.frombuffer(b"".join(frame["symbols"]), np.uint32).astype(np.int64)
+    symbols += np.where(symbols >= len(model.emit), np.repeat(before, frame["n_tokens"].to_numpy()), 0)
+    return symbols, model._replace(emit=np.concatenate([model.emit, np.concatenate(own).reshape(-1, STATES)]))
 
 
 class Lanes(NamedTuple):
@@ -217,11 +233,11 @@ def forward(symbols: np.ndarray, lanes: Lanes, model: Model, kept: np.ndarray |
     return total
 
 
-def expected_counts(symbols: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions, by forward-backward."""
+def expected_counts(symbols: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions, and the sum of log10 probabilities, by forward-backward."""
     lanes = in_lanes(lengths)
     posterior, scales = np.empty((len(symbols), STATES), np.float32), np.empty(len(symbols))
-    forward(symbols, lanes, model, posterior, scales)
+    likelihood = forward(symbols, lanes, model, posterior, scales).sum()
     moved = np.zeros((STATES, STATES))
     beta = np.ones((len(lengths), STATES))
     steps = len(lanes.active)
@@ -236,8 +252,8 @@ def expected_counts(symbols: np.ndarray, lengths: np.ndarray, model: Model) -> t
             beta[:k_next] = step @ model.move.T
         posterior[at] *= beta[:k]
     emitted = np.stack([
-        np.bincount(symbols, weights=posterior[:, s], minlength=SYMBOLS) for s in range(STATES)], 1)
-    return posterior[lanes.starts].sum(0, dtype=np.float64), moved * model.move, emitted
+        np.bincount(symbols, weights=posterior[:, s], minlength=len(model.emit)) for s in range(STATES)], 1)
+    return posterior[lanes.starts].sum(0, dtype=np.float64), moved * model.move, emitted, float(likelihood)
 
 
 def in_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,51 +273,69 @@ def in_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def improved(rows: DataFrame, model: Model, known: Vocabulary) -> Model:
-    """One round of Baum-Welch: each task sends its expected counts, a table of fixed size."""
+def improved(rows: DataFrame, model: Model, others: Others, known: Vocabulary) -> tuple[Model, Others, float]:
+    """One round of Baum-Welch, and the log10 likelihood before it.
+
+    Expected counts of frequent words reach the driver, a table of bounded size;
+    those of the others stay in Spark, summed by word.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
     states = [f"s{s}" for s in range(STATES)]
+    fixed = 2 + STATES
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((1 + STATES + SYMBOLS, STATES))
+        n = len(shared.value.emit)
+        total = np.zeros((fixed + n, STATES))
         for frame in in_batches(frames):
-            symbols = np.frombuffer(b"".join(frame["symbols"]), np.uint16)
-            start, moved, emitted = expected_counts(symbols, frame["n_tokens"].to_numpy(), shared.value)
-            total += np.concatenate([start[None], moved, emitted])
+            symbols, own = batch_model(frame, shared.value)
+            start, moved, emitted, likelihood = expected_counts(symbols, frame["n_tokens"].to_numpy(), own)
+            total[0, 0] += likelihood
+            total[1:] += np.concatenate([start[None], moved, emitted[:n]])
+            words = [word for rare in frame["rare"] for word in rare]
+            yield pd.DataFrame(emitted[n:], columns=states).assign(word=pd.Series(words, dtype=object), place=-1)
         used = np.flatnonzero(total.any(1))
-        yield pd.DataFrame(total[used], columns=states).assign(place=used)
-
-    summed = rows.select("symbols", "n_tokens").mapInPandas(
-        run, ", ".join(f"{s} double" for s in states) + ", place long")
-    total = np.zeros((1 + STATES + SYMBOLS, STATES))
-    for row in summed.groupBy("place").agg(*[F.sum(s).alias(s) for s in states]).collect():
-        total[row["place"]] = [row[s] for s in states]
-    mean = (known.mass + 1) / (known.mass + 1).sum()
-    start, move, emit = total[0] + 1, total[1:1 + STATES] + 1, total[1 + STATES:] + PRIOR * mean[:, None]
-    return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
-
-
-def forward_scores(rows: DataFrame, model: Model) -> DataFrame:
-    """Adds ``chain``, the log10 probability of each row's symbols, to the columns that scoring needs."""
+        yield pd.DataFrame(total[used], columns=states).assign(word=pd.Series([""] * len(used), dtype=object), place=used)
+
+    numbers = with_emissions(rows.select("key", "symbols", "n_tokens", "rare"), others)
+    counted = numbers.select("symbols", "n_tokens", "rare", "emissions").mapInPandas(
+        run, ", ".join(f"{s} double" for s in states) + ", word string, place long")
+    summed = written(counted.groupBy("place", "word").agg(F.array(*[F.sum(s) for s in states]).alias("e")), "expected")
+    total = np.zeros((fixed + len(model.emit), STATES))
+    bounded = summed.where("place >= 0").select("place", *[F.col("e")[s].alias(f"s{s}") for s in range(STATES)]).toArrow()
+    total[bounded["place"].to_numpy()] = np.stack([bounded[s].to_numpy() for s in states], 1)
+    likelihood, start, move, emit = total[0, 0], total[1] + 1, total[2:fixed] + 1, total[fixed:]
+    # The states' counts of a word add up to its count, which makes its mean emission.
+    whole = float(known.all_tokens + known.all_words + 1)
+    rest = summed.where("place < 0").withColumn("c", F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).select(
+        "word", F.transform("e", lambda x: x + PRIOR / whole * (F.col("c") + 1)).alias("e"))
+    emit, unknown = emit + PRIOR * known.mean()[:, None], np.full(STATES, PRIOR / whole)
+    all_counts = emit.sum(0) + sums(rest, "e") + unknown
+    return (Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / all_counts),
+            Others(divided(rest, all_counts), unknown / all_counts), float(likelihood))
+
+
+def forward_scores(rows: DataFrame, model: Model, others: Others) -> DataFrame:
+    """Adds ``chain``, the log10 probability of each row's words, to the columns that scoring needs."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in in_batches(frames):
-            symbols = np.frombuffer(b"".join(frame["symbols"]), np.uint16)
+            symbols, own = batch_model(frame, shared.value)
             lanes = in_lanes(frame["n_tokens"].to_numpy())
             chain = np.empty(len(frame))
-            chain[lanes.order] = forward(symbols, lanes, shared.value)
-            yield frame.drop(columns="symbols").assign(chain=chain)
+            chain[lanes.order] = forward(symbols, lanes, own)
+            yield frame.drop(columns=["symbols", "emissions"]).assign(chain=chain)
 
-    numbers = rows.select("symbols", "key", "doc_id", "n_tokens", "n_frequent", "base", "inner")
-    return numbers.mapInPandas(run, "key long, doc_id long, n_tokens long, n_frequent long, "
-                                    "base double, inner double, chain double")
+    numbers = with_emissions(rows.select("symbols", "key", "doc_id", "n_tokens", "n_frequent", "base", "rare"), others)
+    return numbers.drop("rare").mapInPandas(run, "key long, doc_id long, n_tokens long, n_frequent long, "
+                                                 "base double, chain double")
 
 
-def score(docs: DataFrame, train: Column, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, train: Column, rounds: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
-    Learns from the rows where ``train`` holds and scores all.  NULL texts are
+    Learns from the rows where ``train`` holds, in so many rounds, or to
+    TOLERANCE where that is None, and scores all.  NULL texts are
     empty and have one token, the end.  Without training rows no token is known,
     the base score is 0 and the chain has the untrained model's probability.
     Rows that repeat a doc_id are scored each.  An empty table gives no rows;
@@ -311,18 +345,23 @@ def score(docs: DataFrame, train: Column, rounds: int = ROUNDS) -> DataFrame:
     counts = count_words(rows.where("train").select("doc_id", "text"))
     known = vocabulary(counts)
     table = encoded(rows, known)
-    model = first_model(known)
-    for _ in range(rounds):
-        model = improved(table.where("train"), model, known)
-    others = other_words(table.select("key", "others"), counts)
+    model, others = first_model(known, counts)
+    last, done = -float("inf"), 0
+    while rounds is None or done < rounds:
+        model, others, likelihood = improved(table.where("train"), model, others, known)
+        done += 1
+        if rounds is None and likelihood - last < TOLERANCE * abs(likelihood) or not likelihood:
+            break
+        last = likelihood
+    met = other_words(table, counts)
     spread = float(np.log10(known.all_tokens + known.all_words + 1))
     other_base = F.coalesce("other_base", F.lit(0.0))
-    return forward_scores(table, model).join(others, "key", "left").select(
+    return forward_scores(table, model, others).join(met, "key", "left").select(
         "doc_id", "n_tokens",
         (F.col("n_frequent") + F.coalesce("n_other", F.lit(0))).alias("n_known"),
         F.lit(known.all_tokens).cast("bigint").alias("train_tokens"),
         (F.col("base") + other_base - F.col("n_tokens") * spread).alias("base_score"),
-        (F.col("chain") + F.col("inner") + other_base).alias("score"))
+        F.col("chain").alias("score"))
 
 
 def op8_language_model(spark, sf_dir: str) -> DataFrame:

@@ -327,6 +327,34 @@ def test_language_model_counts(awkward, monkeypatch, frequent):
     assert all(r.score < 0 for r in got)
 
 
+def test_every_word_has_emissions_of_its_own(make, monkeypatch):
+    pick = random.Random(2)
+    topics = [[f"{name}{i}abc" for i in range(30)] for name in "pq"]
+    docs = make([(i, " ".join(pick.choices(topics[i % 2], k=40)), None) for i in range(80)])
+    train = F.col("doc_id") < 60
+
+    def scores(frequent):
+        monkeypatch.setattr(language_model, "FREQUENT", frequent)
+        return {r.doc_id: r for r in language_model.score(docs, train, rounds=6).collect()}
+
+    # Words that are not broadcast learn their topic, too, though all have one ending.
+    for got in (scores(3),):
+        held = [r for i, r in got.items() if i >= 60]
+        assert sum(r.score for r in held) > sum(r.base_score for r in held) + 2 * len(held)
+    # All words' probabilities after a step, and the unknown one's, add up to 1 in each state.
+    rows = common.texts(docs).withColumn("train", F.lit(True))
+    counts = language_model.count_words(rows.select("doc_id", "text"))
+    known = language_model.vocabulary(counts)
+    model, others = language_model.first_model(known, counts)
+    table = language_model.encoded(rows, known)
+    last = -math.inf
+    for _ in range(3):
+        model, others, likelihood = language_model.improved(table, model, others, known)
+        assert likelihood > last and others.table.count() + len(known.frequent) == 60
+        assert model.emit.sum(0) + language_model.sums(others.table, "e") + others.unknown == pytest.approx(np.ones(8))
+        last = likelihood
+
+
 # Decontamination
 
 def test_contaminated(make, spark, awkward):
