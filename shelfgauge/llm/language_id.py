@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfgauge.llm.common import read_table, remainder, written
+from shelfgauge.llm.common import read_table, remainder
 
 FOLDS, HELD_OUT = 4, 2
 ORDERS = (1, 2, 3)
@@ -31,7 +31,6 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.01
 CALIBRATED = 5
 TEMPERATURES = (0.05, 20.0)
 UNKNOWN = "und"
-# Kinds of rows that a model travels in.
 MODEL_SCHEMA = "langs array<string>, buckets binary, weights binary, bias binary, temperature double"
 
 
@@ -107,16 +106,20 @@ def sampled(rows: DataFrame) -> DataFrame:
     """(place, lang, text): of each language the texts with the smallest hashes, the same number for all.
 
     First the greatest hash taken is found per language, from hashes alone, so
-    that only chosen texts are moved.
+    that only chosen texts are moved; hashes far above it stay where they are,
+    so that a language's window holds a few times the sample, whatever its size.
     """
-    n_langs = rows.agg(F.count_distinct("lang")).first()[0]
+    held = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("held"))
+    n_langs = held.count()
     if n_langs > SAMPLE:
         raise ValueError(f"{n_langs} languages are more than a sample of {SAMPLE} rows can hold")
     each = min(PER_LANG, SAMPLE // max(n_langs, 1))
+    low = held.select("lang", (F.least(F.lit(1.0), F.lit(8.0 * each) / F.col("held")) * 2.0**64 - 2.0**63).alias("low"))
+    # One row per language, SAMPLE at most.
+    near = rows.select("lang", "place").join(F.broadcast(low), "lang").where(F.col("place").cast("double") <= F.col("low"))
     smallest = Window.partitionBy("lang").orderBy("place")
-    first = rows.select("lang", "place").distinct().withColumn("_nth", F.row_number().over(smallest))
+    first = near.select("lang", "place").distinct().withColumn("_nth", F.row_number().over(smallest))
     limits = first.where(F.col("_nth") <= each).groupBy("lang").agg(F.max("place").alias("limit"))
-    # One row per language, SAMPLE at most.
     return rows.join(F.broadcast(limits), "lang").where(F.col("place") <= F.col("limit")).select("place", "lang", "text")
 
 
