@@ -21,12 +21,19 @@ PRODUCT = T.StructType([
 ])
 
 META = T.StructType([
-    T.StructField("pagination", T.StructType([T.StructField("total", T.LongType())])),
+    T.StructField("pagination", T.StructType([
+        T.StructField("total", T.LongType()),
+        T.StructField("start", T.LongType()),
+    ])),
 ])
 
+# Where a reader puts a text that is not JSON of the schema.
+UNREADABLE = "unreadable"
+
 PAGE = T.StructType([
     T.StructField("data", T.ArrayType(PRODUCT)),
     T.StructField("meta", META),
+    T.StructField(UNREADABLE, T.StringType()),
 ])
 
 STORE = T.StructType([
@@ -52,5 +59,5 @@ def parse_json(texts: DataFrame, schema: T.StructType, value: str) -> DataFrame:
     ``inline`` keeps the text parsed once: a filter on a field stays above it.
     """
     others = [name for name in texts.columns if name != value]
-    parsed = F.from_json(value, schema, {"mode": "PERMISSIVE"})
+    parsed = F.from_json(value, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": UNREADABLE})
     return texts.select(*others, F.inline(F.array(parsed)))

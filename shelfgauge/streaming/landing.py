@@ -16,17 +16,19 @@ FILES_PER_BATCH = 10_000
 def stream_offers(
     spark: SparkSession, path: str, fulfillment: str = FULFILLMENT, files: int = FILES_PER_BATCH
 ) -> DataFrame:
-    """Offers of pages as they land, with the time they were read at.
+    """Offers of pages as they land, with their run and the time they were read at.
 
-    Flattening a page needs no state, so the stream has none.
+    Every run's pages are taken; ``run`` tells them apart, and is NULL where
+    pages land without a folder of their run.  Flattening a page needs no
+    state, so the stream has none.
     """
     pages = (
-        spark.readStream.schema(partitioned(PAGE, *PAGE_FOLDERS))
+        spark.readStream.schema(partitioned(PAGE, "run", *PAGE_FOLDERS))
         .option("maxFilesPerTrigger", files)
         .json(path)
         .filter(F.col("fulfillment") == fulfillment)
     )
-    return stamp_run(flatten_pages(pages))
+    return stamp_run(flatten_pages(pages, keep=("run",)))
 
 
 def append_offers(offers: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

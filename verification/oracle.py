@@ -237,6 +237,21 @@ listed as (
 LISTED_COLUMNS = "category, store_id, description, brand, size, regular, promo"
 
 
+# Pages of whole searches: what is found of them, without JSON.
+SEARCH_PAGES = """
+searches as (select category, store_id, count(*) as total from lines group by all),
+places as (select *, unnest(range(0, total, 50)) as start from searches),
+judged as (
+  select *, least(50, total - start) as n, start + 50 >= total as is_last,
+    case when start = 50 and store_id % 3 = 0 then 'gone'
+         when start = 0 and store_id % 7 = 3 then 'error page'
+         when start + 50 >= total and store_id % 11 = 5 then 'unreadable'
+         else 'page' end as kind,
+    case when start = 0 and store_id % 2 = 0 then 2 else 1 end as copies
+  from places),
+known as (select category, store_id, bool_or(kind = 'page') as told from judged group by all)"""
+
+
 def histogram() -> str:
     """Bins by joining prices with all edges of their frame."""
     key, group, join_edges = "category, ", "group by category", "join edges using (category)"
@@ -397,6 +412,22 @@ ORACLE_SQL: dict[str, str] = {
           cast(sum(case when l_linenumber < 3 then 2 when l_linenumber < 6 then 1 else 0 end) as bigint) as received,
           count(*) filter (where l_linenumber < 3) as n_without_price
         from lines group by 1, 2"""),
+    "ingest_page_gaps": over_offers("""
+        select category as term, cast(store_id as varchar) as store, cast(start as bigint) as start,
+          case when told then cast(n as bigint) end as expected, cast(0 as bigint) as received
+        from judged join known using (category, store_id) where kind <> 'page' and (told or start = 0)""", SEARCH_PAGES),
+    "ingest_page_kinds": over_offers("""
+        select category as term, cast(store_id as varchar) as store,
+          cast(coalesce(sum(copies) filter (where kind = 'page'), 0) as bigint) as n_pages,
+          cast(coalesce(sum(copies) filter (where kind = 'error page'), 0) as bigint) as n_error_pages,
+          cast(coalesce(sum(copies) filter (where kind = 'unreadable'), 0) as bigint) as n_unreadable
+        from judged where kind <> 'gone' group by 1, 2""", SEARCH_PAGES),
+    "ingest_quarantine": over_offers("""
+        select category as term, kind, cast(sum(copies) as bigint) as n, cast(0 as bigint) as n_without_file,
+          case when kind = 'unreadable' then cast(40 * sum(copies) as bigint) end as n_chars
+        from judged where kind in ('error page', 'unreadable') group by 1, 2""", SEARCH_PAGES),
+    "ingest_stored_offers": over_offers(
+        f"select '2026-01-01' as run, {LISTED_COLUMNS} from listed where category in ('ECONOMY', 'SMALL')", LISTED),
     "store_lookup": f"""with {STORES} select location_id from stores
         where s_suppkey % 3 = 1 and regexp_matches(address_line1, '#0+[1-9][0-9]*$') and city = 'ASIA'
         order by location_id limit 1""",

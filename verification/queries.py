@@ -14,6 +14,7 @@ from shelfgauge.functions.units import OUNCES_IN
 from shelfgauge.operators import audits, combine, filters, pricing, ranking, repair, sizing
 from shelfgauge.operators.stamp import stamp_run
 from shelfgauge.plans import fixed_repairs, jobs, recipes
+from shelfgauge.sources import offers as stored
 from shelfgauge.sources import pages, stores, tables
 from verification import surrogate
 
@@ -113,6 +114,46 @@ def ingest_page_report(spark, sf_dir):
     return pages.page_report(page_table(spark, sf_dir))
 
 
+def landed_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of whole searches, landed as files and read back."""
+    landing = f"{tables.shared_folder(spark)}/shelfgauge/landing-{tables.unique()}"
+    texts = surrogate.paged_search_texts(spark, sf_dir)
+    # There are too many stores for folders; that of an error message is not known then.
+    landed = texts.select(F.lit(pages.FULFILLMENT).alias("fulfillment"), "term", "value")
+    landed.hint("rebalance", "term").write.partitionBy("fulfillment", "term").text(landing)
+    return pages.read_pages(spark, landing)
+
+
+@query
+def ingest_page_gaps(spark, sf_dir):
+    """Missing pages, also where another page came twice."""
+    return pages.page_gaps(pages.parse_pages(surrogate.paged_search_texts(spark, sf_dir)))
+
+
+@query
+def ingest_page_kinds(spark, sf_dir):
+    return pages.page_kinds(pages.parse_pages(surrogate.paged_search_texts(spark, sf_dir)))
+
+
+@query
+def ingest_quarantine(spark, sf_dir):
+    """What landed in files without data, by search term and kind, and the characters of what is no JSON."""
+    found = pages.quarantine(landed_searches(spark, sf_dir))
+    return found.groupBy("term", "kind").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("page_file").isNull()).alias("n_without_file"),
+        F.sum(F.length("page_text")).alias("n_chars"))
+
+
+@query
+def ingest_stored_offers(spark, sf_dir):
+    """Store one run twice and another once, then read two terms of the first."""
+    table = f"{tables.shared_folder(spark)}/shelfgauge/offers-{tables.unique()}"
+    found = pages.flatten_pages(page_table(spark, sf_dir))
+    for run in ("2026-01-01", "2026-01-02", "2026-01-01"):
+        stored.store_offers(found if run == "2026-01-01" else found.filter("regular > 0"), table, run)
+    return stored.stored_offers(spark, table, "2026-01-01", SEARCHED_TERMS)
+
+
 # Stores
 
 def store_table(spark: SparkSession, sf_dir: str) -> DataFrame:

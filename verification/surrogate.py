@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfgauge.operators.repair import fixed_table
@@ -139,6 +139,36 @@ def landed_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def paged_search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result pages of up to 50 offers per search, as JSON text, with what can go wrong.
+
+    The second page is missing for stores divisible by 3, the first page came
+    twice for even stores, the first page is an error message for stores that
+    leave 3 modulo 7, and the last page is cut off for those that leave 5 modulo 11.
+    """
+    search = ("category", "store_id")
+    place = F.row_number().over(Window.partitionBy(*search).orderBy("l_linenumber", "regular", "description")) - 1
+    numbered = offers(spark, sf_dir).withColumn("page", F.floor(place / 50).cast("int"))
+    product = F.struct("description", "brand", F.array(F.struct("size", F.struct("regular", "promo").alias("price"))).alias("items"))
+    pages = numbered.groupBy(*search, "page").agg(F.collect_list(product).alias("data"))
+    totals = numbered.groupBy(*search).agg(F.count(F.lit(1)).alias("total"), F.max("page").alias("last"))
+    pages = pages.join(totals, list(search))
+    store, number = F.col("store_id"), F.col("page")
+    meta = F.struct(F.struct("total", (number * 50).alias("start")).alias("pagination"))
+    text = F.to_json(F.struct("data", meta.alias("meta")))
+    text = (
+        F.when((number == 0) & (store % 7 == 3), F.to_json(F.struct(F.lit("timed out").alias("error"))))
+        .when((number == F.col("last")) & (store % 11 == 5), F.substring(text, 1, 40))
+        .otherwise(text)
+    )
+    times = F.when((number == 0) & (store % 2 == 0), F.sequence(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    landed = pages.filter(~((number == 1) & (store % 3 == 0))).withColumn("text", text)
+    return landed.select(
+        F.col("category").alias("term"), store.cast("string").alias("store"), F.explode(times).alias("copy"),
+        F.col("text").alias("value"),
+    ).drop("copy")
+
+
 def store_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store search results as JSON text: one document per supplier."""
     supplier = table(spark, sf_dir, "supplier")
