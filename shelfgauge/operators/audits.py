@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfgauge.functions import sizes
 from shelfgauge.operators.joins import add_by_key
-from shelfgauge.operators.ranking import running_total
-from shelfgauge.sources.tables import written
+from shelfgauge.operators.ranking import UP_TO_HERE, slice_totals, sliced
 
 
 def compound_sizes(df: DataFrame) -> DataFrame:
@@ -42,6 +44,43 @@ def unit_frequency(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return frequency(df, sizes.unit_part(F.col("size")), "unit", keys)
 
 
+# Reports that ``report_counts`` makes, apart from the number of rows.
+ROWS = "rows"
+FREQUENCIES = ("sizes", "units", "compound sizes", "compound brands", "unparsed sizes")
+
+
+def report_counts(parsed: DataFrame, keys: tuple[str, ...] = ("category",)) -> DataFrame:
+    """Every frequency report over a parsed table, and its rows, in one scan: keys, report, value, n.
+
+    Rows are combined before the one shuffle.  Unknown values are not counted;
+    an offer without a size that was not understood counts under "unparsed
+    sizes" with an empty value.
+    """
+    size, amounts = F.col("size"), [F.col(c).isNull() for c in parsed.columns if c.startswith("size_")]
+    compound = size.contains("/")
+    unparsed = reduce(and_, amounts) if amounts else F.lit(False)
+    values = (
+        size, sizes.unit_part(size), F.when(compound, size), F.when(compound, F.col("brand")),
+        F.when(unparsed, F.coalesce(size, F.lit(""))),
+    )
+    named = [F.struct(F.lit(name).alias("report"), value.alias("value")) for name, value in zip(FREQUENCIES, values)]
+    listed = F.filter(F.array(*named), lambda one: one["value"].isNotNull())
+    every = F.concat(listed, F.array(F.struct(F.lit(ROWS).alias("report"), F.lit(ROWS).alias("value"))))
+    return parsed.select(*keys, F.inline(every)).groupBy(*keys, "report", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def report_of(counts: DataFrame, report: str, name: str, keys: tuple[str, ...] = ("category",)) -> DataFrame:
+    """One frequency report out of stored ``report_counts``, most frequent value first."""
+    chosen = counts.filter(F.col("report") == report).select(*keys, F.col("value").alias(name), "n")
+    return chosen.orderBy(*keys, F.desc("n"), name)
+
+
+def shapes(counts: DataFrame, n_columns: int, keys: tuple[str, ...] = ("category",)) -> DataFrame:
+    """Rows and columns of each table, out of stored ``report_counts``."""
+    rows = counts.filter(F.col("report") == ROWS)
+    return rows.select(*keys, F.col("n").alias("n_rows"), F.lit(n_columns).cast("bigint").alias("n_columns"))
+
+
 def distinct_units(df: DataFrame) -> DataFrame:
     return df.select(sizes.unit_part(F.col("size")).alias("unit")).distinct()
 
@@ -61,35 +100,43 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def value_counts(df: DataFrame, value: str, frame: tuple[str, ...]) -> DataFrame:
-    """Stored table of each known value and how often it occurs, per frame."""
+    """Stored table of each known value, how often it occurs, and its slice, per frame."""
     counted = df.filter(F.col(value).isNotNull()).groupBy(*frame, F.col(value).alias("_value"))
-    return written(counted.agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    return sliced(counted.agg(F.count(F.lit(1)).alias("_n")), "_value", "value-counts")
 
 
 def quartiles(counted: DataFrame, frame: tuple[str, ...]) -> DataFrame:
     """Count, least, greatest and exact quartiles per frame, from ``value_counts``.
 
-    The running count tells at which value a rank lies; a quartile between two
-    ranks is interpolated.
+    The totals of the slices tell which slice holds a rank.  Only the values of
+    these slices are put in order, at most four slices of a frame; a quartile
+    between two ranks is interpolated.
     """
-    running = running_total(counted, frame, "_value", "_n", "_upto")
+    shares = {"q1": 0.25, "q3": 0.75}
     totals = counted.groupBy(*frame).agg(
         F.sum("_n").alias("n"), F.min("_value").alias("least"), F.max("_value").alias("greatest")
     )
-    shares = {"q1": 0.25, "q3": 0.75}
 
     def position(name: str) -> Column:
         return F.lit(shares[name]) * (F.col("n") - 1)
 
-    def at_rank(rank: Column) -> Column:
-        holds = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
-        return F.max(F.when(holds, F.col("_value")))
-
-    ranks = []
-    for name in shares:
+    def ranks(name: str) -> list[Column]:
         below = F.floor(position(name))
-        ranks.append(at_rank(below).alias(f"{name}_below"))
-        ranks.append(at_rank(F.least(below + 1, F.col("n") - 1)).alias(f"{name}_above"))
+        return [F.struct(F.lit(f"{name}_below").alias("_name"), below.alias("_rank")),
+                F.struct(F.lit(f"{name}_above").alias("_name"), F.least(below + 1, F.col("n") - 1).alias("_rank"))]
+
+    sums = add_by_key(slice_totals(counted, frame, "_n"), totals, frame)
+    lies_here = lambda rank: (F.col("_before") <= rank["_rank"]) & (rank["_rank"] < F.col("_before") + F.col("_sum"))
+    wanted = sums.withColumn("_wanted", F.filter(F.array(*[r for name in shares for r in ranks(name)]), lies_here))
+    wanted = wanted.filter(F.array_size("_wanted") > 0)
+    place = (*frame, "_slice")
+    within = Window.partitionBy(*place).orderBy("_value").rowsBetween(*UP_TO_HERE)
+    held = add_by_key(counted, wanted, place).withColumn("_upto", F.col("_before") + F.sum("_n").over(within))
+    named = held.select(*frame, "n", "least", "greatest", "_value", "_n", "_upto", F.inline("_wanted"))
+    named = named.filter((F.col("_upto") - F.col("_n") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
+    found = named.groupBy(*frame, "n", "least", "greatest").agg(*[
+        F.max(F.when(F.col("_name") == f"{name}_{side}", F.col("_value"))).alias(f"{name}_{side}")
+        for name in shares for side in ("below", "above")])
 
     def between(name: str) -> Column:
         low, high = F.col(f"{name}_below"), F.col(f"{name}_above")
@@ -97,7 +144,6 @@ def quartiles(counted: DataFrame, frame: tuple[str, ...]) -> DataFrame:
         step = high - low
         return F.when(part >= 0.5, high - step * (1 - part)).otherwise(low + step * part)
 
-    found = add_by_key(running, totals, frame).groupBy(*frame, "n", "least", "greatest").agg(*ranks)
     return found.select(
         *frame, "n", "least", "greatest", *[between(name).alias(name) for name in shares]
     )

@@ -18,20 +18,24 @@ def union_all(tables: list[DataFrame]) -> DataFrame:
 def first_source_wins(
     tables: list[DataFrame], price: str, frame: tuple[str, ...] = FRAME
 ) -> DataFrame:
-    """Merge tables; of rows equal in description and size the earliest table's stays.
+    """Merge tables; of rows equal in description and size the earliest table's stays."""
+    placed = union_all([
+        table.withColumn("_source", F.lit(place)) for place, table in enumerate(tables)
+    ])
+    return least_source(placed, price, frame).select(*tables[0].columns)
+
+
+def least_source(table: DataFrame, price: str, frame: tuple[str, ...] = FRAME) -> DataFrame:
+    """Of rows equal in description and size, the one with the least ``_source``, which is then dropped.
 
     Rows are combined before the shuffle, so no group is gathered in one task.
-    Within one table the cheapest row stays.
+    Within one source the cheapest row stays.
     """
     keys = [*frame, "description", "size"]
-    rest = [c for c in tables[0].columns if c not in keys and c != price]
-    placed = union_all([
-        table.withColumn("_source", F.lit(place)) for place, table in enumerate(tables)
-    ])
-    first = placed.groupBy(*keys).agg(F.min(F.struct("_source", price, *rest)).alias("_first"))
+    rest = [c for c in table.columns if c not in keys and c not in (price, "_source")]
+    first = table.groupBy(*keys).agg(F.min(F.struct("_source", price, *rest)).alias("_first"))
     return first.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in (price, *rest)]).select(
-        *tables[0].columns
-    )
+        *[c for c in table.columns if c != "_source"])
 
 
 def keep_ranks(tables: list[DataFrame], price: str) -> DataFrame:

@@ -2,13 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from shelfgauge.operators.joins import add_by_key
 from shelfgauge.operators.pricing import FRAME
 from shelfgauge.sources.tables import written
 
+UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
+
+# A slice holds about so many rows, as long as the greatest number of slices allows.
+SLICE_ROWS, MOST_SLICES = 100_000, 1_000
+
+
+def sliced(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Store ``df`` and add ``_slice``, the slice of ``value`` that a row lies in; slices ascend, NULL is in the first.
+
+    The limits are quantiles of the stored rows, found in the same pass that
+    stores them, so that between two limits lie few rows and fewer values.
+    """
+    seen = Observation()
+    shares = [i / MOST_SLICES for i in range(1, MOST_SLICES)]
+    table = written(df.observe(
+        seen, F.count(value).alias("n"), F.percentile_approx(value, shares, 4 * MOST_SLICES).alias("limits")), name)
+    n, every = seen.get["n"], seen.get["limits"] or []
+    n_slices = min(MOST_SLICES, -(-n // SLICE_ROWS)) or 1
+    limits = sorted({every[i * MOST_SLICES // n_slices - 1] for i in range(1, n_slices)}) if every else []
+    if not limits:
+        return table.withColumn("_slice", F.lit(0))
+    below = F.filter(F.lit(limits), lambda limit: limit < F.col(value))
+    return table.withColumn("_slice", F.array_size(below))
+
+
+def slice_totals(rows: DataFrame, frame: tuple[str, ...], measure: str) -> DataFrame:
+    """Per frame and slice: the sum of ``measure`` in the slice, and in the slices before it."""
+    before = Window.partitionBy(*frame).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.groupBy(*frame, "_slice").agg(F.sum(measure).alias("_sum")).withColumn(
+        "_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+
+
 def running_total(
     table: DataFrame, frame: tuple[str, ...], order: str, measure: str, name: str
 ) -> DataFrame:
@@ -19,14 +51,13 @@ def running_total(
     their slice's number; each slice is summed on its own, and the sums of the
     slices before it are added.  A window holds one slice, or one row per slice.
     """
-    up_to_here = (Window.unboundedPreceding, Window.currentRow)
     # Stored before its two uses, so that both see the same slice limits.
     sliced = written(
         table.repartitionByRange(*frame, order).withColumn("_slice", F.spark_partition_id()),
         "slices",
     )
     place = (*frame, "_slice")
-    within = Window.partitionBy(*place).orderBy(order).rowsBetween(*up_to_here)
+    within = Window.partitionBy(*place).orderBy(order).rowsBetween(*UP_TO_HERE)
     before = (
         Window.partitionBy(*frame).orderBy("_slice")
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -47,14 +78,20 @@ def dense_price_rank(
     """Add the dense rank by ``price`` within ``frame``, as a double.
 
     ``frame=()`` ranks the whole table.  The rank is a running count of the
-    distinct prices, joined back to the rows, so it takes the same way whatever
-    the size of the table or of a frame.
+    distinct prices, joined back to the rows: prices are counted along each
+    slice, and the counts of the slices before are added.  A window holds the
+    prices of one slice, or one row per slice, whatever the size of the table
+    or of a frame.
     """
-    table = written(df, "ranked")
-    prices = table.select(*frame, price).distinct().withColumn("_one", F.lit(1))
-    ranks = running_total(prices, frame, price, "_one", "_rank")
-    ranks = ranks.select(*frame, price, F.col("_rank").cast("double").alias(name))
-    return add_by_key(table, ranks, (*frame, price))
+    table = sliced(df, price, "ranked")
+    place = (*frame, "_slice")
+    prices = table.select(*place, price).distinct().withColumn("_one", F.lit(1))
+    within = Window.partitionBy(*place).orderBy(price).rowsBetween(*UP_TO_HERE)
+    inside = prices.withColumn("_inside", F.sum("_one").over(within))
+    totals = slice_totals(prices, frame, "_one")
+    ranks = add_by_key(inside, totals, place).select(
+        *frame, price, (F.col("_inside") + F.col("_before")).cast("double").alias(name))
+    return add_by_key(table.drop("_slice"), ranks, (*frame, price))
 
 
 def rank_frequency(ranked: DataFrame, keys: tuple[str, ...] = (), rank: str = "per_size_rank") -> DataFrame:

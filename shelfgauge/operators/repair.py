@@ -34,6 +34,26 @@ def fixed_rules(spark: SparkSession, keys: Sequence[str], rows: Sequence[tuple])
     return fixed_table(spark, ", ".join(columns), rows)
 
 
+def checked_rules(rules: DataFrame) -> DataFrame:
+    """The rules themselves, after an aggregation has shown that no two have the same key."""
+    keys = [name for name in rules.columns if name != "new_size"]
+    twice = rules.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"{twice.n} rules for {twice.asDict()}")
+    return rules
+
+
+def repair_by_table(df: DataFrame, rules: DataFrame, key: str = "category") -> DataFrame:
+    """Replace sizes by a table of rules (``key``, description, old_size, new_size) of any length.
+
+    A rule without a description holds for any product of its category; one
+    with a description is applied first.
+    """
+    by_product = rules.filter(F.col("description").isNotNull())
+    by_size = rules.filter(F.col("description").isNull()).drop("description")
+    return repair_sizes(repair_sizes(df, by_product.select(key, "description", "old_size", "new_size")), by_size)
+
+
 def repair_sizes(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Replace ``size`` where a rule matches it.
 

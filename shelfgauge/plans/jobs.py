@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgauge.functions.sizes import first_match
@@ -16,6 +16,7 @@ from shelfgauge.operators.stamp import stamp_run
 from shelfgauge.plans.recipes import Recipe, recipes_by_term
 from shelfgauge.sources.pages import flatten_pages, product_search, read_pages
 from shelfgauge.sources.stores import StoreSearch, find_store_id
+from shelfgauge.sources.tables import written
 
 
 def search(
@@ -84,31 +85,57 @@ def result(
     return stamp_run(best) if recipe.stamped else best
 
 
+def best_of_members(
+    offers: DataFrame, members: tuple[Recipe, ...], unit: str, term: str, frame: tuple[str, ...]
+) -> DataFrame:
+    """Result rows of related categories from one scan and one shuffle; ``_source`` is the category's place in ``members``."""
+    by_term = {name: recipe for recipe in members for name in recipe.terms}
+    parsed = parsed_catalogue(offers, by_term, term)
+    if unit != "oz":
+        counted = F.when(F.col("count_unit") == unit, F.col("size_count"))
+        parsed = parsed.withColumn(f"size_{unit}", counted).drop("size_oz")
+    names = [recipe.name for recipe in members]
+    source = F.array_position(F.lit(names), F.col(term)).alias("_source")
+    shown = [name for name in frame if name != term]
+    sized = parsed.select(source, term, *shown, "description", "size", "regular", "promo", f"size_{unit}")
+    best = pricing.best_price(pricing.add_unit_prices(sized), unit, ("_source", *frame) if term in frame else ("_source", term, *frame))
+    return best if term in frame else best.drop(term)
+
+
 def merged(
-    offers: list[tuple[DataFrame, Recipe]], unit: str, frame: tuple[str, ...] = FRAME
+    offers: DataFrame, members: tuple[Recipe, ...], unit: str, term: str = "category", frame: tuple[str, ...] = FRAME
 ) -> DataFrame:
-    """Result tables of related categories as one, ranked anew; earlier categories win."""
+    """Result tables of related categories as one, ranked anew; earlier categories win.
+
+    ``term`` is the column of the offers that holds the search term.
+    """
     price = pricing.per_size(unit)
-    tables = [
-        pricing.best_price(pricing.add_unit_prices(parsed(table, recipe)), unit)
-        for table, recipe in offers
-    ]
-    return ranking.dense_price_rank(combine.first_source_wins(tables, price, frame), price, frame)
+    merged_frame = tuple(name for name in frame if name != term)
+    best = best_of_members(offers, members, unit, term, frame)
+    return ranking.dense_price_rank(combine.least_source(best, price, merged_frame), price, merged_frame)
 
 
 def side_by_side(
-    offers: list[tuple[DataFrame, Recipe]], unit: str, frame: tuple[str, ...] = FRAME
+    offers: DataFrame, members: tuple[Recipe, ...], unit: str, term: str = "category", frame: tuple[str, ...] = FRAME
 ) -> DataFrame:
-    """Result tables of categories below each other, each row with its own category's rank."""
-    tables = [result(table, recipe, unit, frame) for table, recipe in offers]
-    return combine.keep_ranks(tables, pricing.per_size(unit))
+    """Result tables of related categories below each other, each row with its own category's rank."""
+    price = pricing.per_size(unit)
+    best = best_of_members(offers, members, unit, term, frame)
+    ranked = ranking.dense_price_rank(best, price, ("_source", *frame)).drop("_source")
+    if all(recipe.stamped for recipe in members):
+        ranked = stamp_run(ranked)
+    return pricing.cheapest_first(ranked, price)
 
 
-def parsed_catalogue(offers: DataFrame, recipes: dict[str, Recipe]) -> DataFrame:
+def parsed_catalogue(
+    offers: DataFrame, recipes: dict[str, Recipe], term: str = "category", rules: DataFrame | None = None
+) -> DataFrame:
     """Every category's products, repaired and parsed, in one pass without a shuffle.
 
-    ``recipes`` maps each value of ``category`` (a search term) to its recipe;
-    rows carry the recipe's name afterwards.  ``size_count`` counts in ``count_unit``.
+    ``recipes`` maps each value of the column ``term`` (a search term) to its recipe;
+    it holds the recipe's name afterwards.  ``size_count`` counts in ``count_unit``.
+    ``rules`` (``term``, description, old_size, new_size), if given, takes the
+    place of the recipes' own repairs; there may be any number of them.
 
     A short table gives each row the number of its recipe.  Recipes that agree
     in a step share its branch, so the generated code stays small enough for
@@ -119,8 +146,8 @@ def parsed_catalogue(offers: DataFrame, recipes: dict[str, Recipe]) -> DataFrame
     number = {recipe.name: i for i, recipe in enumerate(members)}
     plan = repair.fixed_table(
         spark,
-        "category string, _recipe int, _name string, count_unit string",
-        [(term, number[r.name], r.name, r.count_unit) for term, r in recipes.items()],
+        f"{term} string, _recipe int, _name string, count_unit string",
+        [(searched, number[r.name], r.name, r.count_unit) for searched, r in recipes.items()],
     )
 
     def belongs(group: list[Recipe]) -> Column:
@@ -135,7 +162,7 @@ def parsed_catalogue(offers: DataFrame, recipes: dict[str, Recipe]) -> DataFrame
         cases = [(belongs(group), column(key)) for key, group in _grouped(members, value)]
         return first_match(cases) if cases else F.lit(None).cast("double")
 
-    df = kept(offers.join(plan, "category"), lambda recipe: recipe.keep)
+    df = kept(offers.join(plan, term), lambda recipe: recipe.keep)
     rewrites = [
         (belongs(group), rewrite(F.col("description"), F.col("size")))
         for rewrite, group in _grouped(members, lambda recipe: recipe.rewrite)
@@ -143,14 +170,16 @@ def parsed_catalogue(offers: DataFrame, recipes: dict[str, Recipe]) -> DataFrame
     if rewrites:
         df = df.withColumn("size", first_match(rewrites).otherwise(F.col("size")))
     by_product = [
-        (term, *rule) for term, recipe in recipes.items() for rule in recipe.product_repairs
+        (searched, *rule) for searched, recipe in recipes.items() for rule in recipe.product_repairs
     ]
+    if rules is not None:
+        df = repair.repair_by_table(df, repair.checked_rules(rules), term)
+        by_product = []
     if by_product:
-        rules = repair.fixed_rules(spark, ("category", "description"), by_product)
-        df = repair.repair_sizes(df, rules)
-    by_size = [(term, *rule) for term, recipe in recipes.items() for rule in recipe.repairs]
-    if by_size:
-        df = repair.repair_sizes(df, repair.fixed_rules(spark, ("category",), by_size))
+        df = repair.repair_sizes(df, repair.fixed_rules(spark, (term, "description"), by_product))
+    by_size = [(searched, *rule) for searched, recipe in recipes.items() for rule in recipe.repairs]
+    if by_size and rules is None:
+        df = repair.repair_sizes(df, repair.fixed_rules(spark, (term,), by_size))
     df = kept(df, lambda recipe: recipe.keep_repaired)
 
     packs = [(belongs(group), repair.pack_total_of(brand))
@@ -162,10 +191,10 @@ def parsed_catalogue(offers: DataFrame, recipes: dict[str, Recipe]) -> DataFrame
         "size_oz": chosen(lambda r: r.dialect and r.dialect.ounce_side, lambda d: d.ounces()),
         "size_count": chosen(lambda r: r.dialect and r.dialect.count_side, lambda d: d.pieces()),
     })
-    others = [name for name in offers.columns if name != "category"]
+    others = [name for name in offers.columns if name != term]
     others += ["pack_total"] if packs else []
     return sized.select(
-        F.col("_name").alias("category"), *others, "size_oz", "size_count", "count_unit"
+        F.col("_name").alias(term), *others, "size_oz", "size_count", "count_unit"
     )
 
 
@@ -205,27 +234,70 @@ def priced_names(recipes: dict[str, Recipe]) -> list[str]:
     return sorted({recipe.name for recipe in recipes.values() if recipe.results})
 
 
-def price_catalogue(offers: DataFrame, recipes: dict[str, Recipe]) -> DataFrame:
-    """Every category's result rows in one pass over the offers and one shuffle."""
+def price_catalogue(
+    offers: DataFrame, recipes: dict[str, Recipe], losses: Observation | None = None
+) -> DataFrame:
+    """Every category's result rows in one pass over the offers and one shuffle.
+
+    ``losses`` is told what the pass loses, when the result is first computed.
+    """
     priced = {term: recipe for term, recipe in recipes.items() if recipe.results}
-    return price_parsed(parsed_catalogue(offers, priced))
+    parsed = parsed_catalogue(offers, priced)
+    return price_parsed(counting_losses(parsed, losses) if losses else parsed)
+
+
+def counting_losses(parsed: DataFrame, losses: Observation) -> DataFrame:
+    """Count, in whatever job computes ``parsed`` first, its offers and those that get no unit price, by reason.
+
+    Offers are read once: the metrics come with the job's own pass.
+    """
+    amount = F.coalesce(F.nullif(F.col("size_oz"), F.lit(0.0)), F.nullif(F.col("size_count"), F.lit(0.0)))
+    known = F.col("description").isNotNull() & F.col("promo").isNotNull() & (F.col("regular") != 0)
+    return parsed.observe(
+        losses,
+        F.count(F.lit(1)).alias("n_offers"),
+        F.count_if(F.col("size_oz").isNull() & F.col("size_count").isNull()).alias("n_unparsed"),
+        F.count_if(F.col("regular").isNull() | F.col("promo").isNull()).alias("n_without_price"),
+        F.count_if(~F.coalesce(known & amount.isNotNull(), F.lit(False))).alias("n_dropped"),
+    )
+
+
+def losses_table(spark: SparkSession, losses: Observation) -> DataFrame:
+    """The counts of a finished pass, as one row."""
+    counts = losses.get
+    return spark.range(1).select(*[F.lit(n).cast("bigint").alias(name) for name, n in counts.items()])
 
 
 def catalogue_reports(parsed: DataFrame) -> dict[str, DataFrame]:
-    """What the sizes of a stored parsed catalogue look like, per category."""
+    """What the sizes of a stored parsed catalogue look like, per category.
+
+    All frequencies come out of one scan, whose counts are stored.
+    """
     by = ("category",)
+    counts = written(audits.report_counts(parsed, by), "report-counts")
     compound = audits.compound_sizes(parsed)
     return {
-        "sizes": audits.size_frequency(parsed, by),
-        "units": audits.unit_frequency(parsed, by),
+        "sizes": audits.report_of(counts, "sizes", "size", by),
+        "units": audits.report_of(counts, "units", "unit", by),
         "compound": pricing.by_description(compound, descending=True),
-        "compound sizes": audits.size_frequency(compound, by),
-        "compound brands": audits.frequency(compound, "brand", "brand", by),
+        "compound sizes": audits.report_of(counts, "compound sizes", "size", by),
+        "compound brands": audits.report_of(counts, "compound brands", "brand", by),
+        "unparsed sizes": audits.report_of(counts, "unparsed sizes", "size", by),
+        "shapes": audits.shapes(counts, len(parsed.columns), by),
         "bare each": audits.bare_each(parsed),
         "unparsed": filters.unparsed(parsed, "size_oz", "size_count"),
     }
 
 
+def price_reports(catalogue: DataFrame) -> dict[str, DataFrame]:
+    """How the unit prices and ranks of a stored priced catalogue are spread, per result table."""
+    frame = (*FRAME, "unit")
+    return {
+        "histogram": audits.price_histogram(catalogue, pricing.per_size("unit"), frame),
+        "rank frequency": ranking.rank_frequency(catalogue, frame),
+    }
+
+
 def merge_priced(catalogue: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Related categories of a priced catalogue as one, ranked anew; earlier names win.
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgauge.sources.schemas import PAGE, UNREADABLE, parse_json, partitioned
+from shelfgauge.sources.tables import hadoop_folder
 
 # Fixed value: the fulfilment mode searched for, pick-up at the store.
 FULFILLMENT = "csp"
@@ -89,9 +90,8 @@ def latest_run(spark: SparkSession, path: str) -> str | None:
 
 def folder_names(spark: SparkSession, path: str) -> list[str]:
     """What lies in a folder of any file system that Spark reads."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-    return [status.getPath().getName() for status in listed]
+    file_system, folder = hadoop_folder(spark, path)
+    return [status.getPath().getName() for status in file_system.listStatus(folder)]
 
 
 def term_folders(terms: Sequence[str]) -> str:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfgauge.operators import audits, combine, filters
+from shelfgauge.operators import audits, combine, filters, ranking
 
 SAMPLES = {
     "many": lambda rng: rng.gamma(2.0, 3.0, 800).round(3),
@@ -46,6 +46,36 @@ def test_quartiles_equal_numpy(table):
         assert (r["q1"], r["q3"]) == tuple(np.percentile(values, [25, 75]))
 
 
+def test_quartiles_over_many_slices(table, monkeypatch):
+    monkeypatch.setattr(ranking, "SLICE_ROWS", 10)
+    test_quartiles_equal_numpy(table)
+    test_histogram_equals_numpy(table)
+
+
+def test_only_slices_that_hold_a_quartile_are_ordered(table, monkeypatch):
+    monkeypatch.setattr(ranking, "SLICE_ROWS", 10)
+    df = table("g string, v double", [("a", float(i)) for i in range(1_000)])
+    counted = audits.value_counts(df, "v", ("g",))
+    assert counted.select("_slice").distinct().count() > 50
+    plan = audits.quartiles(counted, ("g",))._jdf.queryExecution().optimizedPlan().toString()
+    # The window over values lies above the join that leaves only the wanted slices.
+    assert plan.index("_upto") < plan.index("Join")
+
+
+def test_report_counts(table):
+    df = table("category string, brand string, size string, size_oz double", [
+        ("a", "B", "2 oz", 2.0), ("a", "B", "2 oz", 2.0), ("a", "C", "4 ct / 3 oz", 4.0), ("a", None, "each", None),
+        ("b", "B", None, None)])
+    counts = audits.report_counts(df)
+    assert {tuple(r) for r in counts.collect()} == {
+        ("a", "sizes", "2 oz", 2), ("a", "sizes", "4 ct / 3 oz", 1), ("a", "sizes", "each", 1), ("a", "units", "oz", 2),
+        ("a", "units", "ct / 3 oz", 1), ("a", "compound sizes", "4 ct / 3 oz", 1), ("a", "compound brands", "C", 1),
+        ("a", "unparsed sizes", "each", 1), ("b", "unparsed sizes", "", 1), ("a", "rows", "rows", 4), ("b", "rows", "rows", 1)}
+    assert [tuple(r) for r in audits.report_of(counts, "sizes", "size").collect()] == [
+        ("a", "2 oz", 2), ("a", "4 ct / 3 oz", 1), ("a", "each", 1)]
+    assert {tuple(r) for r in audits.shapes(counts, 4).collect()} == {("a", 4, 4), ("b", 1, 4)}
+
+
 def test_frequencies(table):
     df = table("size string", [("2 oz",), ("1 fl oz",), ("2 oz",), ("each",), (None,), ("3 oz",)])
     assert [tuple(r) for r in audits.size_frequency(df).collect()] == [

@@ -3,7 +3,8 @@
 import pytest
 
 from shelfgauge.plans import jobs, recipes
-from verification.queries import QUERIES, offers
+from shelfgauge.operators.pricing import FRAME
+from verification.queries import QUERIES, offers, searched
 
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -35,6 +36,19 @@ def test_size_texts_are_parsed_once(spark):
         assert len(plan) < 16_000, name
 
 
+@pytest.mark.parametrize("name", ["report_frequencies", "size_frequency"])
+def test_reports_scan_the_offers_once(spark, name):
+    plan = physical(QUERIES[name](spark, SMALLEST))
+    assert plan.count("Scan parquet") == 2  # lineitem and part
+
+
+def test_merged_categories_come_from_one_scan(spark):
+    members = (recipes.VEGETABLES, recipes.FRUIT)
+    best = jobs.best_of_members(searched(spark, SMALLEST, *members), members, "oz", "term", FRAME)
+    plan = physical(best)
+    assert plan.count("Scan parquet") == 2 and plan.count("Exchange hashpartitioning(_source") == 1
+
+
 def test_only_used_columns_are_read(spark):
     plan = physical(QUERIES["size_frequency"](spark, SMALLEST))
     assert "l_extendedprice" not in plan and "p_brand" not in plan and "l_discount" not in plan

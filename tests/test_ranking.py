@@ -37,6 +37,27 @@ def test_dense_rank(table, frame):
     assert {tuple(r) for r in ranked.collect()} == reckon(data, bool(frame))
 
 
+@pytest.mark.parametrize("frame", [("frame",), ()])
+def test_dense_rank_over_many_slices(table, frame, monkeypatch):
+    monkeypatch.setattr(ranking, "SLICE_ROWS", 20)
+    data = rows(900, 5)
+    df = table("frame string, name string, price double", data)
+    assert ranking.sliced(df, "price", "x").select("_slice").distinct().count() > 10
+    ranked = ranking.dense_price_rank(df, "price", frame, "rank")
+    assert {tuple(r) for r in ranked.collect()} == reckon(data, bool(frame))
+
+
+def test_slices_ascend_and_hold_few_values(table, monkeypatch):
+    monkeypatch.setattr(ranking, "SLICE_ROWS", 50)
+    df = table("price double", [(float(i % 700),) for i in range(2_000)] + [(5.0,)] * 1_000 + [(None,)])
+    held = {}
+    for r in ranking.sliced(df, "price", "x").collect():
+        held.setdefault(r["_slice"], set()).add(r["price"])
+    assert None in held[0] and max(len(values) for values in held.values()) <= 60
+    ends = [(min(v - {None}), max(v - {None})) for _, v in sorted(held.items())]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+
+
 def test_ranks_of_an_empty_table(table):
     df = table("frame string, name string, price double", [])
     assert ranking.dense_price_rank(df, "price", ("frame",)).collect() == []

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from shelfgauge.functions.clock import wall_time
@@ -71,19 +72,66 @@ def test_unsized_vegetables_are_dropped(table):
     assert jobs.parsed(df, recipes.FRUIT).count() == 3
 
 
-def test_merged_categories_prefer_the_earlier(table):
-    first = table(OFFER, [offer("a", "10 oz", 20.0), offer("b", "5 oz")])
-    second = table(OFFER, [offer("a", "10 oz", 10.0), offer("c", "20 oz")])
-    merged = jobs.merged([(first, recipes.VEGETABLES), (second, recipes.FRUIT)], "oz")
-    got = {(r.description, r.per_size_oz, r.per_size_rank) for r in merged.collect()}
-    assert got == {("c", 0.5, 1.0), ("a", 2.0, 2.0), ("b", 2.0, 2.0)}
+@pytest.mark.parametrize("term", ["category", "term"])
+def test_merged_categories_prefer_the_earlier(table, term):
+    first, second = recipes.VEGETABLES.terms[0], recipes.FRUIT.terms[0]
+    rows = [
+        (first, offer("a", "10 oz", 20.0)), (first, offer("b", "5 oz")), (second, offer("a", "10 oz", 10.0)),
+        (second, offer("c", "20 oz")), ("other", offer("d", "1 oz")), (first, offer("e", "3 ct")), (second, offer("e", "3 ct", 6.0)),
+    ]
+    offers = table(f"search string, {OFFER}", [(searched, *row) for searched, row in rows])
+    offers = offers.drop("category").withColumnRenamed("search", "category") if term == "category" else (
+        offers.withColumnRenamed("search", "term"))
+    members = (recipes.VEGETABLES, recipes.FRUIT)
+    got = jobs.merged(offers, members, "oz", term).collect()
+    assert {(r.description, r.per_size_oz, r.per_size_rank) for r in got} == {("c", 0.5, 1.0), ("a", 2.0, 2.0), ("b", 2.0, 2.0)}
+    by_piece = jobs.merged(offers, members, "each", term).collect()
+    assert [(r.description, r.regular) for r in by_piece] == [("e", 10.0)]
+    if term == "category":
+        assert {(r.description, r.category) for r in got} == {("a", "vegetables"), ("b", "vegetables"), ("c", "fruit")}
+
+
+@pytest.mark.parametrize("term", ["category", "term"])
+def test_side_by_side_keeps_ranks(table, term):
+    first, second = recipes.CREAMER.terms[0], recipes.MILK.terms[0]
+    rows = [(first, offer("a", "10 oz")), (second, offer("b", "20 oz")), (second, offer("c", "5 oz"))]
+    offers = table(f"search string, {OFFER}", [(searched, *row) for searched, row in rows])
+    offers = offers.drop("category").withColumnRenamed("search", "category") if term == "category" else (
+        offers.withColumnRenamed("search", "term"))
+    both = jobs.side_by_side(offers, (recipes.CREAMER, recipes.MILK), "oz", term)
+    assert [(r.description, r.per_size_rank) for r in both.collect()] == [("b", 1.0), ("a", 1.0), ("c", 2.0)]
 
 
-def test_side_by_side_keeps_ranks(table):
-    first = table(OFFER, [offer("a", "10 oz")])
-    second = table(OFFER, [offer("b", "20 oz"), offer("c", "5 oz")])
-    both = jobs.side_by_side([(first, recipes.CREAMER), (second, recipes.MILK)], "oz")
-    assert [(r.description, r.per_size_rank) for r in both.collect()] == [("b", 1.0), ("a", 1.0), ("c", 2.0)]
+def test_rules_from_a_table(spark, table):
+    offers = table(OFFER, [offer("a", "x"), offer("b", "x"), offer("c", None), offer("b", "1/2 gal")])
+    offers = offers.withColumn("category", F.lit(recipes.MILK.terms[0]))
+    term = recipes.MILK.terms[0]
+    idle = [(term, f"p{i}", "x", "9 oz") for i in range(6_000)]
+    rules = table("category string, description string, old_size string, new_size string",
+                  [*idle, (term, "a", "x", "4 oz"), (term, None, "x", "8 oz"), ("other", None, "x", "2 oz")])
+    parsed = jobs.parsed_catalogue(offers, {term: recipes.MILK}, rules=rules)
+    got = sorted((r.description, r["size"] or "", r.size_oz) for r in parsed.collect())
+    # The recipe's own repair of half gallons gives way to the table.
+    assert got == [("a", "4 oz", 4.0), ("b", "1/2 gal", None), ("b", "8 oz", 8.0), ("c", "", None)]
+    with pytest.raises(ValueError, match="2 rules"):
+        jobs.parsed_catalogue(offers, {term: recipes.MILK}, rules=rules.union(rules.filter("description is null")))
+
+
+def test_losses_are_counted_in_the_jobs_own_pass(spark, table, tmp_path):
+    term = recipes.MILK.terms[0]
+    rows = [offer("a", "8 oz"), offer("b", "big"), offer("c", None), offer("d", "4 oz", 0.0), offer("e", "0 oz")]
+    rows.append((*offer("f", "4 oz")[:-1], None))
+    table(OFFER, rows).withColumn("category", F.lit(term)).write.parquet(str(tmp_path / "offers"))
+    offers = spark.read.parquet(str(tmp_path / "offers"))
+    seen = Observation()
+    counted = Observation()
+    priced = jobs.price_catalogue(offers.observe(counted, F.count(F.lit(1)).alias("read")), {term: recipes.MILK}, seen)
+    assert seen.get == {"n_offers": 6, "n_unparsed": 2, "n_without_price": 1, "n_dropped": 5}
+    # The pass that counted them is done: what is left reads the stored rows, not the offers.
+    plan = priced._jdf.queryExecution().optimizedPlan().toString()
+    assert "CollectMetrics" not in plan and counted.get == {"read": 6}
+    assert [r.description for r in priced.collect()] == ["a"]
+    assert [tuple(r) for r in jobs.losses_table(spark, seen).collect()] == [(6, 2, 1, 5)]
 
 
 def test_catalogue_equals_the_single_jobs(table):

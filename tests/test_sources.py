@@ -4,7 +4,9 @@ import json
 
 import pytest
 
-from shelfgauge.sources import pages, stores, tables
+from pyspark.sql import functions as F
+
+from shelfgauge.sources import offers, pages, stores, tables
 from shelfgauge.streaming import landing
 
 
@@ -95,6 +97,78 @@ def test_only_the_folders_of_the_terms_are_listed(spark, landed):
     assert pages.term_folders(["salt & pepper", "eggs"]) == ""
 
 
+def test_runs_are_ordered_by_a_stated_format(spark, tmp_path):
+    def newest(*names):
+        root = tmp_path / "-".join(names).replace("=", "")
+        for name in names:
+            (root / name).mkdir(parents=True)
+        return pages.latest_run(spark, str(root))
+
+    assert newest("run=9", "run=10") == "10"
+    assert newest("run=20260102T030405Z", "run=20260102T030406Z") == "20260102T030406Z"
+    assert newest("fulfillment=csp") is None
+    for names in (("run=a", "run=b"), ("run=9", "run=2026-01-02"), ("run=9", "fulfillment=csp")):
+        with pytest.raises(ValueError, match="state the run"):
+            newest(*names)
+
+
+def full(n, total, start=None):
+    meta = {"pagination": {"total": total} if start is None else {"total": total, "start": start}}
+    return {"data": [product(f"p{i}", item("1 lb", 2, 0)) for i in range(n)], "meta": meta}
+
+
+def gaps(spark, root):
+    return sorted((r.term, -1 if r.start is None else r.start, r.expected, r.received)
+                  for r in pages.page_gaps(pages.read_pages(spark, str(root))).collect())
+
+
+def test_page_gaps(spark, tmp_path):
+    error, cut = {"errors": {}}, "{\"data\": [{\"descr"
+    land(tmp_path, "whole", "01", full(50, 120, 0), full(50, 120, 50), full(20, 120, 100))
+    land(tmp_path, "hidden", "01", full(50, 120, 0), full(50, 120, 0), full(20, 120, 100))  # as many products as announced
+    land(tmp_path, "short", "01", full(50, 120, 0), full(50, 120, 50), full(19, 120, 100))
+    land(tmp_path, "first", "01", error, full(20, 70, 50))
+    land(tmp_path, "nothing", "01", error, cut)
+    land(tmp_path, "empty", "01", full(0, 0, 0))
+    land(tmp_path, "unplaced", "01", full(50, 120), full(50, 120))
+    land(tmp_path, "unplaced whole", "01", full(50, 60), full(10, 60))
+    for start in (0, 100):
+        land(tmp_path, "named", "01", full(50, 150), name=f"start={start}.json")
+    assert gaps(spark, tmp_path) == [
+        ("first", 0, 50, 0), ("hidden", 50, 50, 0), ("named", 50, 50, 0), ("nothing", 0, None, 0),
+        ("short", 100, 20, 19), ("unplaced", -1, 120, 100),
+    ]
+
+
+def test_page_kinds_and_quarantine(spark, landed):
+    found = pages.read_pages(spark, str(landed), ["fruit"], "01")
+    assert [tuple(r) for r in pages.page_kinds(found).collect()] == [("fruit", "01", 3, 1, 1)]
+    kept = {r.kind: r for r in pages.quarantine(found).collect()}
+    assert set(kept) == {"error page", "unreadable"}
+    assert kept["unreadable"].page_text == "{\"data\": [{\"descr" and kept["error page"].page_text is None
+    assert all(r.page_file.endswith("next.json") for r in kept.values())
+
+
+def test_storing_a_run_again_changes_nothing(spark, landed, tmp_path):
+    table = str(tmp_path / "offers")
+    found = pages.flatten_pages(pages.read_pages(spark, str(landed)))
+
+    def held(**chosen):
+        return sorted(map(str, offers.stored_offers(spark, table, **chosen).collect()))
+
+    offers.store_offers(found, table, "1")
+    first = held()
+    offers.store_offers(found, table, "2")
+    offers.store_offers(found, table, "1")
+    assert held(run="1") == first and len(held()) == 2 * len(first)
+    # A term that the run has landed anew is replaced; the others stay.
+    offers.store_offers(found.filter("category = 'meat'").withColumn("regular", F.lit(1.0)), table, "1")
+    assert [r.regular for r in offers.stored_offers(spark, table, "1", ["meat"]).collect()] == [1.0]
+    assert len(held(run="1")) == len(first) and len(held(run="2")) == len(first)
+    plan = offers.stored_offers(spark, table, "1", ["meat"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run" in plan and "category#" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
 def test_page_report(spark, landed):
     report = pages.page_report(pages.read_pages(spark, str(landed), ["fruit"], "01"))
     assert [r.asDict() for r in report.collect()] == [{
@@ -165,6 +239,19 @@ def test_written_tables_lie_in_the_shared_folder(spark, table):
     assert "FileScan" in kept._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tables_of_a_run_go_with_it(spark, table):
+    def held():
+        return {x for x in pages.folder_names(spark, f"{tables.shared_folder(spark)}/shelfgauge") if x.startswith("run-")}
+
+    tables.written(table("a int", [(1,)]), "kept")
+    before = held()
+    with pytest.raises(KeyError), tables.own_folder(spark):
+        inner = tables.written(table("a int", [(1,)]), "numbers")
+        assert inner.count() == 1 and len(held()) == len(before) + 1
+        raise KeyError
+    assert held() == before
+
+
 class Settings(dict):
     """The part of a session that names its master and folder."""
 
@@ -207,3 +294,11 @@ def test_stream_takes_each_page_once(spark, landed, tmp_path):
     assert first.filter("runtime_mst is null").count() == 0
     land(landed, "meat", "01", page(product("beef", item("1 lb", 9, 8))), name="later.json")
     assert run().count() == batch.count() + 1
+
+
+def test_stream_tells_runs_apart(spark, tmp_path):
+    for run, price in (("1", 1), ("2", 2)):
+        land(tmp_path / "landing" / f"run={run}", "fruit", "01", page(product("fig", item("1 lb", price, 0))))
+    out = str(tmp_path / "offers")
+    landing.append_offers(landing.stream_offers(spark, str(tmp_path / "landing")), out, str(tmp_path / "c")).awaitTermination()
+    assert {(r.run, r.regular) for r in spark.read.parquet(out).collect()} == {("1", 1.0), ("2", 2.0)}

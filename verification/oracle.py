@@ -373,6 +373,39 @@ def catalogue_steps() -> list[str]:
             "parsed as (" + "\nunion all\n".join(parsed) + ")"]
 
 
+# All recipes: the search terms in their order, a store's offers standing for those of a term.
+TERMS = (
+    "toilet_paper", "vegetables", "fruit", "meat", "coffee", "decaf_coffee", "laundry_detergent", "creamer", "milk",
+    "tea", "tea", "salad_dressing", "eggs", "peanut_butter",
+)
+PARSED_ONLY = {
+    "meat": ([by_product(fixed_repairs.MEAT_REPAIRS, "offers", "repaired")], "none", "none", "each"),
+    "laundry_detergent": ([keep("true", "offers", "repaired")], "weight", "none", "each"),
+}
+
+
+def all_recipes() -> str:
+    steps, parsed = [], []
+    for name in dict.fromkeys(TERMS):
+        prepare, oz, count, count_unit = (PARSED_ONLY.get(name) or PREPARED[name])[:4]
+        places = ", ".join(str(i) for i, term in enumerate(TERMS) if term == name)
+        steps.append(f"{name}_offers as (select * from offers where store_id % {len(TERMS)} in ({places}))")
+        for step in prepare:
+            for old in ("offers", "cut", "chosen", "dozens"):
+                step = step.replace(f"from {old}", f"from {name}_{old}")
+            steps.append(f"{name}_{step}")
+        sized = f"{name}_repaired"
+        if (oz, count) != ("none", "none"):
+            sized = f"{name}_sized"
+            steps.append(size_step(oz, count, f"{name}_repaired", sized, count_unit))
+        parsed.append(f"""select {text(name.replace('_', ' '))} as term, {FRAME}, description, brand, size, regular, promo,
+          {PACK_TOTAL if name == 'meat' else 'cast(null as double)'} as pack_total,
+          {'size_oz' if oz != 'none' else 'cast(null as double)'} as size_oz,
+          {f'size_{count_unit}' if count != 'none' else 'cast(null as double)'} as size_count,
+          '{count_unit}' as count_unit from {sized}""")
+    return over_offers("\nunion all\n".join(parsed), *steps)
+
+
 def merged_catalogue() -> str:
     first = """
 first as (
@@ -442,6 +475,16 @@ ORACLE_SQL: dict[str, str] = {
     "repair_literal": over_offers("select * from repaired", by_size(ALL_LITERAL, "offers", "repaired")),
     "repair_keyed": over_offers("select * from repaired",
                                 by_product(fixed_repairs.MEAT_REPAIRS, "offers", "repaired")),
+    "repair_by_table": over_offers("""
+        select f.category, store_id, f.description, brand, coalesce('about ' || s.size, f.size) as size, regular, promo
+        from first f left join shared s on s.category = f.category and s.size = f.size""", """
+own as (
+  select category, description, size, cast(max(p_partkey) as varchar) || ' oz' as new_size from products
+  where p_partkey % 3 = 0 and description is not null and size is not null group by 1, 2, 3),
+shared as (select distinct category, size from products where size like '% ct'),
+first as (
+  select o.category, store_id, o.description, brand, coalesce(w.new_size, o.size) as size, regular, promo
+  from offers o left join own w on w.category = o.category and w.description = o.description and w.size = o.size)"""),
     "repair_truncate_ct": over_offers("select * from repaired", rewrite(TRUNCATED, "offers", "repaired")),
     "repair_compound": over_offers("select * from repaired", rewrite(MULTIPLIED, "offers", "repaired")),
     "repair_brand_compound": over_offers(f"select *, {PACK_TOTAL} as pack_total from offers"),
@@ -488,6 +531,17 @@ ORACLE_SQL: dict[str, str] = {
     "price_histogram_sliced": "with " + ",\n".join(
         [OFFERS, *WEIGHTS[:3], best_step("oz", target="frames"),
          "best as (select * replace ('all' as category) from frames)", histogram()]),
+    "report_frequencies": over_offers("""
+        select category, report, value, count(*) as n from (
+          select category, 'sizes' as report, size as value from sized union all
+          select category, 'units', case when contains(size, ' ') then substr(size, strpos(size, ' ') + 1) end from sized union all
+          select category, 'compound sizes', size from sized where contains(size, '/') union all
+          select category, 'compound brands', brand from sized where contains(size, '/') union all
+          select category, 'unparsed sizes', coalesce(size, '') from sized where size_oz is null and size_each is null union all
+          select category, 'rows', 'rows' from sized) as r
+        where value is not null group by 1, 2, 3""", size_step("weight", "text")),
+    "price_reports": over_offers(f"""select {FRAME}, unit, per_size_rank, count(*) as n
+        from ({ranked('unit', FRAME + ', unit')}) as r group by all""", *catalogue_steps()),
     "frame_shape": over_offers("select count(*) as n_rows, cast(7 as bigint) as n_columns from offers"),
     "audit_unparsed": over_offers(f"select {PLACE} from sized where size_oz is null and size_each is null",
                                   size_step("weight", "text")),
@@ -523,6 +577,13 @@ ORACLE_SQL: dict[str, str] = {
     "job_all_categories": over_offers(ranked("unit", FRAME + ", unit"), *catalogue_steps()),
     "job_merge_priced": merged_catalogue(),
     "catalogue_parsed": over_offers("select * from parsed", *catalogue_steps()),
+    "catalogue_all_recipes": all_recipes(),
+    "job_losses": over_offers("""select count(*) as n_offers,
+          count(*) filter (where size_oz is null and size_count is null) as n_unparsed,
+          count(*) filter (where regular is null or promo is null) as n_without_price,
+          count(*) filter (where not coalesce(description is not null and promo is not null and regular <> 0
+            and coalesce(nullif(size_oz, 0), nullif(size_count, 0)) is not null, false)) as n_dropped
+        from parsed""", *catalogue_steps()),
     "catalogue_unparsed": over_offers("""select category, size, count(*) as n from parsed
         where size_oz is null and size_count is null and size is not null group by 1, 2""", *catalogue_steps()),
 }

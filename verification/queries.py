@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgauge.functions import sizes
@@ -229,6 +229,23 @@ def repair_keyed(spark, sf_dir):
     return repair.repair_sizes(offers(spark, sf_dir), table)
 
 
+@query
+def repair_by_table(spark, sf_dir):
+    """More rules than a fixed list holds: some products' own, some of a category's size, and many that match nothing."""
+    parts = surrogate.products(spark, sf_dir)
+    own = parts.filter("p_partkey % 3 = 0 and description is not null and size is not null").groupBy(
+        "category", "description", F.col("size").alias("old_size")).agg(
+        F.concat(F.max("p_partkey").cast("string"), F.lit(" oz")).alias("new_size"))
+    orders = spark.read.schema("o_orderkey bigint").parquet(f"{sf_dir}/orders.parquet")
+    idle = orders.selectExpr(
+        "'ECONOMY' as category", "concat('order ', o_orderkey) as description", "'each' as old_size", "'1 ct' as new_size")
+    shared = parts.filter("size like '% ct'").select(
+        "category", F.lit(None).cast("string").alias("description"), F.col("size").alias("old_size"),
+        F.concat(F.lit("about "), "size").alias("new_size")).distinct()
+    rules = tables.written(own.union(idle).union(shared), "rules")
+    return repair.repair_by_table(offers(spark, sf_dir), repair.checked_rules(rules))
+
+
 @query
 def repair_truncate_ct(spark, sf_dir):
     return repair.cut_tea_bag_sizes(offers(spark, sf_dir))
@@ -413,6 +430,19 @@ def sort_description(spark, sf_dir):
     return pricing.by_description(audits.compound_sizes(offers(spark, sf_dir)), descending=True)
 
 
+@query
+def report_frequencies(spark, sf_dir):
+    """All frequency reports of a parsed table, and its rows, in one scan."""
+    return audits.report_counts(sized(spark, sf_dir, sizing.PRODUCE_TEXT))
+
+
+@query
+def price_reports(spark, sf_dir):
+    """How many products hold each rank of each result table of the catalogue."""
+    catalogue = tables.written(jobs.price_catalogue(offers(spark, sf_dir), CATALOGUE), "catalogue")
+    return jobs.price_reports(catalogue)["rank frequency"]
+
+
 # Product filters
 
 @query
@@ -495,34 +525,40 @@ for _recipe in recipes.RECIPES:
         _register_category(_recipe, _unit)
 
 
-def _both(spark, sf_dir, first: recipes.Recipe, second: recipes.Recipe):
-    return [(offers(spark, sf_dir), first), (offers(spark, sf_dir), second)]
+def searched(spark: SparkSession, sf_dir: str, *members: recipes.Recipe) -> DataFrame:
+    """Every offer as found by the first search of each category; part types stay the frames."""
+    terms = F.array(*[F.lit(recipe.terms[0]) for recipe in members])
+    return offers(spark, sf_dir).withColumn("term", F.explode(terms))
+
+
+def merged(spark: SparkSession, sf_dir: str, unit: str, *members: recipes.Recipe) -> DataFrame:
+    return jobs.merged(searched(spark, sf_dir, *members), members, unit, "term")
 
 
 @query
 def job_produce_oz(spark, sf_dir):
-    return jobs.merged(_both(spark, sf_dir, recipes.VEGETABLES, recipes.FRUIT), "oz")
+    return merged(spark, sf_dir, "oz", recipes.VEGETABLES, recipes.FRUIT)
 
 
 @query
 def job_produce_each(spark, sf_dir):
-    return jobs.merged(_both(spark, sf_dir, recipes.VEGETABLES, recipes.FRUIT), "each")
+    return merged(spark, sf_dir, "each", recipes.VEGETABLES, recipes.FRUIT)
 
 
 @query
 def job_all_coffee(spark, sf_dir):
-    return jobs.merged(_both(spark, sf_dir, recipes.COFFEE, recipes.DECAF_COFFEE), "oz")
+    return merged(spark, sf_dir, "oz", recipes.COFFEE, recipes.DECAF_COFFEE)
 
 
 @query
 def job_all_coffee_ranks(spark, sf_dir):
-    coffee = jobs.merged(_both(spark, sf_dir, recipes.COFFEE, recipes.DECAF_COFFEE), "oz")
-    return ranking.rank_frequency(coffee)
+    return ranking.rank_frequency(merged(spark, sf_dir, "oz", recipes.COFFEE, recipes.DECAF_COFFEE))
 
 
 @query
 def job_creamer_and_milk(spark, sf_dir):
-    table = jobs.side_by_side(_both(spark, sf_dir, recipes.CREAMER, recipes.MILK), "oz")
+    members = (recipes.CREAMER, recipes.MILK)
+    table = jobs.side_by_side(searched(spark, sf_dir, *members), members, "oz", "term")
     return table.drop("runtime_mst")
 
 
@@ -553,6 +589,22 @@ def catalogue_parsed(spark, sf_dir):
     return jobs.parsed_catalogue(offers(spark, sf_dir), CATALOGUE)
 
 
+@query
+def job_losses(spark, sf_dir):
+    """What the pass over all categories read and lost, counted while it runs."""
+    losses = Observation()
+    jobs.price_catalogue(offers(spark, sf_dir), CATALOGUE, losses)
+    return jobs.losses_table(spark, losses)
+
+
+@query
+def catalogue_all_recipes(spark, sf_dir):
+    """All recipes in one pass: each store's offers stand for those of a search term."""
+    terms = F.array(*[F.lit(term) for term in recipes.recipes_by_term()])
+    found = offers(spark, sf_dir).withColumn("term", F.get(terms, (F.col("store_id") % F.array_size(terms)).cast("int")))
+    return jobs.parsed_catalogue(found, recipes.recipes_by_term(), "term")
+
+
 @query
 def catalogue_unparsed(spark, sf_dir):
     """How many offers of each category have no size that was understood."""
