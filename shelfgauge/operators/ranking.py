@@ -26,10 +26,8 @@ def sliced(df: DataFrame, value: str, name: str) -> DataFrame:
     table = written(df.observe(
         seen, F.count(value).alias("n"), F.percentile_approx(value, shares, 4 * MOST_SLICES).alias("limits")), name)
     n, every = seen.get["n"], seen.get["limits"] or []
-    n_slices = min(MOST_SLICES, -(-n // SLICE_ROWS)) or 1
-    limits = sorted({every[i * MOST_SLICES // n_slices - 1] for i in range(1, n_slices)}) if every else []
-    if not limits:
-        return table.withColumn("_slice", F.lit(0))
+    n_slices = min(MOST_SLICES, max(2, -(-n // SLICE_ROWS)))
+    limits = sorted({every[i * MOST_SLICES // n_slices - 1] for i in range(1, n_slices)}) if every else [0.0]
     below = F.filter(F.lit(limits), lambda limit: limit < F.col(value))
     return table.withColumn("_slice", F.array_size(below))
 
