@@ -110,6 +110,17 @@ def free_name(base: str, *frames: DataFrame) -> str:
     return base
 
 
+def with_row_key(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs``, stored with a number that tells its rows apart, and the name of that column."""
+    key = free_name("row_key", docs)
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
+def without_rows(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """Rows whose ``key`` is not among those of ``gone`` (same column), without the key."""
+    return rows.join(gone.select(key).distinct(), key, "left_anti").drop(key)
+
+
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is not among ``ids`` (doc_id); a NULL id is a value like any other."""
     name = free_name("dropped_id", docs)

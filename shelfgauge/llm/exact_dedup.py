@@ -171,8 +171,10 @@ def exact_dedup(history: DataFrame, batch: DataFrame) -> DataFrame:
     old = written(digests(history).withColumn("old", F.lit(True)), "digests")
     new = written(digests(batch).withColumn("old", F.lit(False)), "digests")
     seen = written(distinct_digests(old), "history")
-    bits = bucket_bits(seen.count())
-    classes = written(classes_after(build_index(seen, bits), distinct_digests(new), bits), "classes")
+    coming = written(distinct_digests(new), "batch")
+    # A bucket holds digests of both; either may be far the larger.
+    bits = bucket_bits(max(seen.count(), coming.count()))
+    classes = written(classes_after(build_index(seen, bits), coming, bits), "classes")
     # A plain join, in which adaptive execution splits the rows of a hot text.
     return old.union(new).join(classes, "digest").select(
         "doc_id", "keep_id", "group_size",

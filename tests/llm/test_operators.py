@@ -50,6 +50,19 @@ def test_exact_dedup(awkward, split):
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == want
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_buckets_of_a_batch_without_history(spark, make, tmp_path, turned):
+    docs = make([(i, f"text {i % 30_000}", "a") for i in range(40_000)])
+    nothing = docs.where("doc_id < 0")
+    got = exact_dedup.exact_dedup(docs, nothing) if turned else exact_dedup.exact_dedup(nothing, docs)
+    rows = got.groupBy("group_size", "kept").count().collect()
+    assert {(r.group_size, r.kept, r["count"]) for r in rows} == {(1, True, 20_000), (2, True, 10_000), (2, False, 10_000)}
+    digests = exact_dedup.distinct_digests(exact_dedup.digests(docs))
+    bits = exact_dedup.bucket_bits(30_000)
+    per_bucket = digests.groupBy(exact_dedup.bucket_of(F.col("digest"), bits)).count().agg(F.max("count")).first()[0]
+    assert bits == 3 and per_bucket < 1.2 * exact_dedup.BUCKET_DIGESTS
+
+
 # Mixing
 
 def test_mix_meets_targets(make):
@@ -213,7 +226,8 @@ def test_line_classes(make, awkward):
                 line[pick.randrange(len(line))] = pick.choice(vocabulary)
             text.append(" ".join(line))
         texts.append("\n".join(text))
-    got = {(r.doc_id, r.line): r for r in line_dedup.line_classes(make([(i, t, None) for i, t in enumerate(texts)])).collect()}
+    got = {(r.doc_id, r.line): r for r in line_dedup.line_classes(
+        make([(i, t, None) for i, t in enumerate(texts)]), least_words=5).collect()}
     every = [((i, n), frozenset(line.split())) for i, t in enumerate(texts) for n, line in enumerate(t.split("\n"))]
     every = [x for x in every if len(x[1]) >= 5]
     assert set(got) == {at for at, _ in every}
@@ -226,6 +240,22 @@ def test_line_classes(make, awkward):
     assert cleaned[2] == "" and cleaned[1] == "One two three four five six seven."
 
 
+def test_long_lines(make):
+    pick = random.Random(9)
+    first = [pick.sample([f"w{i}" for i in range(900)], pick.randint(40, 300)) for _ in range(12)]
+    lines = []
+    for _ in range(60):
+        line = list(pick.choice(first))
+        for at in pick.sample(range(len(line)), int(len(line) * pick.choice([0, 0.03, 0.09, 0.11, 0.13, 0.3]))):
+            line[at] = f"n{pick.randrange(10_000)}"
+        lines.append(frozenset(line))
+    got = line_dedup.line_classes(make([(i, " ".join(line), None) for i, line in enumerate(lines)])).collect()
+    for r in got:
+        near = {s for s in lines if 5 * len(s & lines[r.doc_id]) >= 4 * len(s | lines[r.doc_id])}
+        assert r.n_links == len(near) - 1
+        assert r.kept == (not any(s in near for s in lines[:r.doc_id]))
+
+
 def test_short_lines(make, spark, tmp_path):
     pick = random.Random(8)
     texts = ["\n".join(" ".join(pick.choices("abcdefg", k=pick.randint(0, 7))) for _ in range(5)) for _ in range(40)]
