@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgauge.llm import decontamination, mixing, simhash, token_ids, toxicity
-from shelfgauge.llm.common import read_table, without_ids, written
+from shelfgauge.llm.common import read_table, with_row_key, without_rows, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,14 +15,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id stays."""
-    groups = written(simhash.simhash_groups(docs).select("doc_id", "component_id"), "simhash-groups")
-    return without_ids(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each group of linked fingerprints the row with the smallest doc_id stays.
+
+    Groups are of rows: rows without an id, or with an id that another row has,
+    go or stay each by its own text.  A row without an id stays only in a group
+    of none but such rows, and of equal ids one row stays.
+    """
+    rows, key = with_row_key(docs, "simhash-rows")
+    groups = simhash.simhash_groups(rows.select(F.col(key).alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias(key), F.col("component_id").alias("_group"))
+    placed = written(groups.join(rows.select(key, F.col("doc_id").cast("bigint").alias("_id")), key), "simhash-groups")
+    order = F.struct(F.col("_id").isNull(), "_id", key)
+    first = placed.groupBy("_group").agg(F.min(order)[key].alias("_first"))
+    return without_rows(rows, key, placed.join(first, "_group").where(F.col(key) != F.col("_first")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontamination.clean_documents(docs, read_table(spark, sf_dir, "benchmark"))
+    """Rows whose text holds a benchmark item go, whatever their ids."""
+    rows, key = with_row_key(docs, "decontamination-rows")
+    found = decontamination.contaminated(rows.select(F.col(key).alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    return without_rows(rows, key, found.select(F.col("doc_id").alias(key)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
