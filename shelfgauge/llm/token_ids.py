@@ -28,7 +28,7 @@ END_ID = 2
 # Token ids of a group: as many blocks as are coded side by side.
 GROUP_IDS = range_coder.BLOCK * range_coder.LANES
 # Pieces whose ids a Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 FILE_SCHEMA = "part long, group long, n_ids long, doc_ids binary, lengths binary, blocks array<binary>"
 
 # A single space between two of these characters, none of which is white space,
