@@ -1,15 +1,21 @@
-"""A hidden Markov language model, trained by Baum-Welch over all training texts.
+"""A hidden Markov language model, trained by Baum-Welch over the training texts.
 
 A state emits words; every word of the training texts has its own probability in
-every state, and so has any unknown one.  Those of the FREQUENT most frequent
-words are broadcast, which bounds the broadcast; those of all others are a
-stored table, joined to the texts' words in each round, and the counts that a
-round expects of them are summed by word.  Rounds end when the likelihood does
-not grow by TOLERANCE any more.
+every state, and so has any unknown one.  Emissions of the FREQUENT most frequent
+words are broadcast, which bounds the broadcast.  All others first emit alike in
+every state, which needs no exchange, while the rounds learn moves, starts and
+the frequent words' emissions.  The last round counts them by state as well, over
+all training texts, in a table that is joined to the words of the texts scored.
+
+A word's probability in a state is its smoothed frequency times how much likelier
+the state is at the word than elsewhere, made to add up to 1.  That share of
+states is drawn towards the mean by a prior weight in tokens.  A part of the
+training texts is held back from the rounds: it ends them, and chooses the weight.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -23,14 +29,20 @@ from shelfgauge.llm.common import in_chunks, read_table, remainder, texts, writt
 
 FOLDS, HELD_OUT = 7, 2
 STATES = 8
-# Rounds end when log10 likelihood a token grows by less than this part of itself.
+# Rounds end when the log10 likelihood of the texts held back grows by less than this part of itself.
 TOLERANCE = 1e-3
+# One in so many training texts is held back from all rounds but the last.
+HELD_BACK = 16
 # Words whose counts and emissions are broadcast.
 FREQUENT = 100_000
 # How much the first states differ in their emissions, and how likely they last.
 TILT, STAY = 0.3, 0.95
-# Prior weight, in tokens, of the mean emission in each state's emission.
-PRIOR = 50.0
+# Prior weights, in tokens, of the mean share of states in a word's; the rounds take the first one.
+PRIORS = 4.0, 0.25, 1.0, 16.0
+# Expected counts of other words are whole numbers of this part of a token, so that sums don't depend on their order.
+PART = 2.0**-12
+# Logarithms of shares are kept in 16 bits: steps of 1/SHARE_STEPS from -SHARE_RANGE to SHARE_RANGE.
+SHARE_STEPS, SHARE_RANGE = 2_048, 16
 # The end of a text, which no word equals.
 END = ""
 # Steps in which counts are told apart when the most frequent words are chosen.
@@ -77,9 +89,13 @@ class Vocabulary(NamedTuple):
     all_words: int
     end_count: int
 
-    def mean(self) -> np.ndarray:
-        """Probability of the end and the frequent words; an unknown word counts as one of 0."""
-        return (np.concatenate([[self.end_count], self.counts]) + 1) / (self.all_tokens + self.all_words + 1)
+    def weights(self) -> np.ndarray:
+        """Counts of the end and the frequent words, each one more, as an unknown word counts 1."""
+        return np.concatenate([[self.end_count], self.counts]) + 1
+
+    def other_weight(self) -> float:
+        """The same for all other words and an unknown one together."""
+        return max(self.all_tokens + self.all_words + 1 - self.weights().sum(), 1.0)
 
 
 def frequent_from(counts: DataFrame) -> float:
@@ -105,46 +121,46 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
                       every["n"] or 0, every["v"], every["ends"] or 0)
 
 
+def packed_symbols(symbols: np.ndarray) -> bytes:
+    """Bytes of equal weight together, since the upper ones are mostly zero, compressed."""
+    return zlib.compress(symbols.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked_symbols(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def encoded(docs: DataFrame, known: Vocabulary) -> DataFrame:
     """One stored row per document: its symbols, the sum over frequent words, and its other words.
 
     ``base`` sums log10(c + 1) over frequent words and the end.  ``rare`` has the
-    different other words and ``times`` how often each one comes; their symbols
-    follow on those of the frequent words, in this order.
+    different other words; their symbols follow on those of the frequent words,
+    in this order.
     """
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = shared.value
         place = {word.encode(): number for number, word in enumerate(v.frequent, start=1)}
-        gain = np.log10(np.concatenate([[v.end_count], v.counts]) + 1)
+        gain = np.log10(v.weights())
         for frame in in_chunks(frames):
             rows = []
             for text in frame["text"]:
                 rare: dict[bytes, int] = {}
                 symbols = [place.get(word) or len(gain) + rare.setdefault(word, len(rare)) for word in words_of(text)]
                 symbols = np.array([*symbols, 0], np.uint32)
-                seen = symbols < len(gain)
-                rows.append((
-                    symbols.tobytes(), len(symbols), int(seen.sum()) - (v.end_count == 0),
-                    float(gain[symbols[seen]].sum()), [word.decode() for word in rare],
-                    np.bincount(symbols[~seen] - len(gain), minlength=len(rare))))
-            out = pd.DataFrame(rows, columns=["symbols", "n_tokens", "n_frequent", "base", "rare", "times"])
+                seen = symbols[symbols < len(gain)]
+                rows.append((packed_symbols(symbols), len(symbols), len(seen) - (v.end_count == 0),
+                             float(gain[seen].sum()), len(rare), [word.decode() for word in rare]))
+            out = pd.DataFrame(rows, columns=["symbols", "n_tokens", "n_frequent", "base", "n_rare", "rare"])
             yield out.assign(doc_id=frame["doc_id"].to_numpy(), train=frame["train"].to_numpy())
 
     rows = docs.mapInPandas(run, "symbols binary, n_tokens long, n_frequent long, base double, "
-                                 "rare array<string>, times array<long>, doc_id long, train boolean")
+                                 "n_rare long, rare array<string>, doc_id long, train boolean")
     return written(rows.withColumn("key", F.monotonically_increasing_id()), "encoded")
 
 
-def other_words(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Per key: how many of the other words are known, and their sum of log10(c + 1)."""
-    words = rows.select("key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
-        "key", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    return words.join(counts, "word").groupBy("key").agg(
-        F.sum("times").alias("n_other"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("other_base"))
-
-
 class Model(NamedTuple):
     start: np.ndarray  # per state
     move: np.ndarray  # from state, to state
@@ -152,26 +168,61 @@ class Model(NamedTuple):
 
 
 class Others(NamedTuple):
-    """Emissions of the other words: a stored table (word, e), and those of an unknown word."""
+    """Emissions of the other words.
 
-    table: DataFrame
-    unknown: np.ndarray
+    ``shares`` has a stored row per word: its count ``c`` and, packed, how much
+    likelier each state is at the word than elsewhere; None as long as all words
+    are alike.  A word's emission is (c + 1) * share / ``total``, and an unknown
+    word's is 1 / ``total``.
+    """
 
+    shares: DataFrame | None
+    total: np.ndarray
+
+    @property
+    def table(self) -> DataFrame:
+        """(word, e): the emission of each word in each state."""
+        return self.shares.select("word", F.array(*[
+            w / float(t) for w, t in zip(weighted_shares(), self.total)]).alias("e"))
+
+    @property
+    def unknown(self) -> np.ndarray:
+        return 1 / self.total
+
+
+def packed_shares(shares: list[Column]) -> list[Column]:
+    """Columns p0 and p1, each with the logarithms of four states' shares in 16 bits."""
+    steps = [F.round((F.log(x) + SHARE_RANGE) * SHARE_STEPS) for x in shares]
+    steps = [F.least(F.greatest(x, F.lit(0.0)), F.lit(65_535.0)).cast("bigint") for x in steps]
+    halves = []
+    for i in range(0, STATES, 4):
+        packed = steps[i]
+        for k in range(1, 4):
+            packed = packed.bitwiseOR(F.shiftleft(steps[i + k], 16 * k))
+        halves.append(packed.alias(f"p{i // 4}"))
+    return halves
+
+
+EQUAL_SHARES = sum(SHARE_RANGE * SHARE_STEPS << 16 * k for k in range(4)) - (1 << 64)
+
+
+def weighted_shares() -> list[Column]:
+    """(c + 1) * share for each state, from the columns of ``Others.shares``."""
+    steps = [F.shiftrightunsigned(f"p{s // 4}", 16 * (s % 4)).bitwiseAND(F.lit(65_535)) for s in range(STATES)]
+    return [(F.col("c") + 1) * F.exp(x / float(SHARE_STEPS) - SHARE_RANGE) for x in steps]
 
-def first_model(known: Vocabulary, counts: DataFrame) -> tuple[Model, Others]:
-    """Mean emissions, each tilted at random, and states that last, so that texts part by what they are about."""
-    random = np.random.default_rng(7)
-    mean = known.mean()
-    emit = mean[:, None] * np.exp(random.normal(0, TILT, (len(mean), STATES)))
-    rest = counts.where((F.col("word") != END) & (F.col("c") < known.limit))
-    # Even numbers from a hash, of the same deviation.
-    tilts = [F.xxhash64("word", F.lit(s)) / 2.0**63 * (TILT * 3**0.5) for s in range(STATES)]
-    unknown = np.full(STATES, 1 / (known.all_tokens + known.all_words + 1))
-    tilted = written(rest.select("word", F.array(*[(F.col("c") + 1) * float(unknown[0]) * F.exp(t) for t in tilts]).alias("e")),
-                     "emissions")
-    total = emit.sum(0) + sums(tilted, "e") + unknown
-    move = np.full((STATES, STATES), (1 - STAY) / (STATES - 1)) + (STAY - (1 - STAY) / (STATES - 1)) * np.eye(STATES)
-    return Model(np.full(STATES, 1 / STATES), move, emit / total), Others(divided(tilted, total), unknown / total)
+
+def unpacked_shares(p0: np.ndarray, p1: np.ndarray) -> np.ndarray:
+    """Shares by word and state, as ``weighted_shares`` takes them."""
+    steps = np.concatenate([p.astype("<i8").view("<u2").reshape(-1, 4) for p in (p0, p1)], 1)
+    return np.exp(steps / SHARE_STEPS - SHARE_RANGE)
+
+
+def stored_others(shares: DataFrame, frequent_total: np.ndarray) -> Others:
+    """``shares`` (word, c, p0, p1) stored, and the sum of all words' weighted shares in each state."""
+    shares = written(shares, "emissions")
+    row = shares.agg(*[F.sum(w).alias(f"s{s}") for s, w in enumerate(weighted_shares())]).first()
+    return Others(shares, frequent_total + np.array([x or 0.0 for x in row]) + 1)
 
 
 def sums(table: DataFrame, column: str) -> np.ndarray:
@@ -179,27 +230,55 @@ def sums(table: DataFrame, column: str) -> np.ndarray:
     return np.array([x or 0.0 for x in row])
 
 
-def divided(table: DataFrame, total: np.ndarray) -> DataFrame:
-    return table.select("word", F.array(*[F.col("e")[s] / float(total[s]) for s in range(STATES)]).alias("e"))
+def first_model(known: Vocabulary, counts: DataFrame, alike: bool = False) -> tuple[Model, Others]:
+    """Mean emissions, each tilted at random, and states that last, so that texts part by what they are about.
 
+    With ``alike`` those of the other words are not tilted and not stored.
+    """
+    random = np.random.default_rng(7)
+    mean = known.weights()
+    emit = mean[:, None] * np.exp(random.normal(0, TILT, (len(mean), STATES)))
+    if alike:
+        others = Others(None, emit.sum(0) + known.other_weight())
+    else:
+        rest = counts.where((F.col("word") != END) & (F.col("c") < known.limit))
+        # Even numbers from a hash, of the same deviation.
+        tilts = [F.exp(F.xxhash64("word", F.lit(s)) / 2.0**63 * (TILT * 3**0.5)) for s in range(STATES)]
+        others = stored_others(rest.select("word", "c", *packed_shares(tilts)), emit.sum(0))
+    move = np.full((STATES, STATES), (1 - STAY) / (STATES - 1)) + (STAY - (1 - STAY) / (STATES - 1)) * np.eye(STATES)
+    return Model(np.full(STATES, 1 / STATES), move, emit / others.total), others
 
-def with_emissions(rows: DataFrame, others: Others) -> DataFrame:
-    """``rows`` with ``emissions``: those of their other words, end to end, or NULL without such words."""
+
+def with_shares(rows: DataFrame, others: Others) -> DataFrame:
+    """``rows`` with the arrays c, p0 and p1 of their other words, in order; NULL without such words, or if all are alike."""
+    if others.shares is None:
+        return rows.select("*", *[F.lit(None).cast("array<bigint>").alias(x) for x in ("c", "p0", "p1")])
     words = rows.select("key", F.posexplode("rare").alias("place", "word"))
-    unknown = F.array(*[F.lit(float(x)) for x in others.unknown])
-    met = words.join(others.table, "word", "left").groupBy(F.col("key").alias("of")).agg(
-        F.array_sort(F.collect_list(F.struct("place", F.coalesce("e", unknown).alias("e")))).alias("x"))
-    met = met.select("of", F.flatten(F.col("x.e")).alias("emissions"))
+    found = [F.coalesce(x, F.lit(y).cast("bigint")).alias(x) for x, y in (("c", 0), ("p0", EQUAL_SHARES), ("p1", EQUAL_SHARES))]
+    met = words.join(others.shares, "word", "left").select("key", "place", *found).groupBy(F.col("key").alias("of")).agg(
+        F.array_sort(F.collect_list(F.struct("place", "c", "p0", "p1"))).alias("x"))
+    met = met.select("of", *[F.col(f"x.{x}").alias(x) for x in ("c", "p0", "p1")])
     return rows.join(met, rows["key"] == met["of"], "left").drop("of")
 
 
-def batch_model(frame: pd.DataFrame, model: Model) -> tuple[np.ndarray, Model]:
-    """Symbols of a batch, and the model with the other words of each of its texts in turn."""
-    own = [np.zeros(0) if x is None else np.asarray(x) for x in frame["emissions"]]
-    before = np.cumsum([0, *[len(x) // STATES for x in own]])[:-1]
-    symbols = np.frombuffer(b"".join(frame["symbols"]), np.uint32).astype(np.int64)
-    symbols += np.where(symbols >= len(model.emit), np.repeat(before, frame["n_tokens"].to_numpy()), 0)
-    return symbols, model._replace(emit=np.concatenate([model.emit, np.concatenate(own).reshape(-1, STATES)]))
+def joined(arrays: pd.Series) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in arrays if x is not None]])
+
+
+def batch_model(frame: pd.DataFrame, model: Model, others: np.ndarray, alike: bool) -> tuple[np.ndarray, Model, np.ndarray]:
+    """Symbols of a batch, the model with the other words of each of its texts in turn, and these words' counts.
+
+    ``others`` is the total of ``Others``.  Of words that are ``alike`` the weight is
+    left out: it is the same in all states.
+    """
+    symbols = np.concatenate([unpacked_symbols(x) for x in frame["symbols"]])
+    sizes = frame["n_rare"].to_numpy()
+    before = np.repeat(np.cumsum(sizes) - sizes, frame["n_tokens"].to_numpy())
+    symbols += np.where(symbols >= len(model.emit), before, 0)
+    c = np.zeros(int(sizes.sum()), np.int64) if alike else joined(frame["c"])
+    shares = np.ones((len(c), STATES)) if alike else unpacked_shares(joined(frame["p0"]), joined(frame["p1"]))
+    emit = np.concatenate([model.emit, (c[:, None] + 1) * shares / others])
+    return symbols, model._replace(emit=emit), c
 
 
 class Lanes(NamedTuple):
@@ -273,69 +352,145 @@ def in_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def improved(rows: DataFrame, model: Model, others: Others, known: Vocabulary) -> tuple[Model, Others, float]:
-    """One round of Baum-Welch, and the log10 likelihood before it.
+def improved(rows: DataFrame, model: Model, others: Others, known: Vocabulary, prior: float = PRIORS[0],
+             all_words: bool = True) -> tuple[Model, Others, float]:
+    """One round of Baum-Welch over ``rows``, and their log10 likelihood before it.
 
     Expected counts of frequent words reach the driver, a table of bounded size;
-    those of the others stay in Spark, summed by word.
+    those of the others stay in Spark, summed by word.  Without ``all_words`` the
+    others stay alike, and are not counted.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    counted, mean, shares, before = counted_round(rows, model, others, all_words)
+    if not all_words:
+        return *with_prior(counted, mean, known, prior), before
+    frequent = weighted(counted.emit, mean, known, prior)
+    others = stored_others(shares_of(shares, mean, prior), frequent.sum(0))
+    return counted._replace(emit=frequent / others.total), others, before
+
+
+def counted_round(rows: DataFrame, model: Model, others: Others,
+                  all_words: bool) -> tuple[Model, np.ndarray, DataFrame | None, float]:
+    """Starts and moves, expected emissions of frequent words, the mean share of states, those of other words, the likelihood."""
+    alike = others.shares is None
+    shared = rows.sparkSession.sparkContext.broadcast((model, others.total))
     states = [f"s{s}" for s in range(STATES)]
-    fixed = 2 + STATES
+    fixed = 3 + STATES
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = len(shared.value.emit)
+        model, others_total = shared.value
+        n = len(model.emit)
         total = np.zeros((fixed + n, STATES))
         for frame in in_batches(frames):
-            symbols, own = batch_model(frame, shared.value)
+            symbols, own, _ = batch_model(frame, model, others_total, alike)
             start, moved, emitted, likelihood = expected_counts(symbols, frame["n_tokens"].to_numpy(), own)
             total[0, 0] += likelihood
-            total[1:] += np.concatenate([start[None], moved, emitted[:n]])
-            words = [word for rare in frame["rare"] for word in rare]
-            yield pd.DataFrame(emitted[n:], columns=states).assign(word=pd.Series(words, dtype=object), place=-1)
+            total[1:] += np.concatenate([start[None], moved, emitted.sum(0)[None], emitted[:n]])
+            if all_words:
+                words = pd.Series([word for rare in frame["rare"] for word in rare], dtype=object)
+                parts = pd.DataFrame(np.rint(emitted[n:] / PART).astype(np.int64), columns=states)
+                times = np.bincount(symbols, minlength=len(own.emit))[n:]
+                yield parts.assign(c=times, word=words).groupby("word", as_index=False, sort=False).sum().assign(place=-1)
         used = np.flatnonzero(total.any(1))
-        yield pd.DataFrame(total[used], columns=states).assign(word=pd.Series([""] * len(used), dtype=object), place=used)
-
-    numbers = with_emissions(rows.select("key", "symbols", "n_tokens", "rare"), others)
-    counted = numbers.select("symbols", "n_tokens", "rare", "emissions").mapInPandas(
-        run, ", ".join(f"{s} double" for s in states) + ", word string, place long")
-    summed = written(counted.groupBy("place", "word").agg(F.array(*[F.sum(s) for s in states]).alias("e")), "expected")
+        counted = pd.DataFrame(np.rint(total[used] / PART).astype(np.int64), columns=states)
+        yield counted.assign(c=0, word=pd.Series([""] * len(used), dtype=object), place=used)
+
+    numbers = with_shares(rows.select("key", "symbols", "n_tokens", "n_rare", "rare"), others)
+    if not all_words:
+        numbers = numbers.drop("rare")
+    counted = numbers.drop("key").mapInPandas(
+        run, ", ".join(f"{s} long" for s in states) + ", c long, word string, place long")
+    summed = counted.groupBy("place", "word").agg(*[F.sum(x).alias(x) for x in (*states, "c")])
+    if all_words:
+        summed = written(summed, "expected")
     total = np.zeros((fixed + len(model.emit), STATES))
-    bounded = summed.where("place >= 0").select("place", *[F.col("e")[s].alias(f"s{s}") for s in range(STATES)]).toArrow()
-    total[bounded["place"].to_numpy()] = np.stack([bounded[s].to_numpy() for s in states], 1)
-    likelihood, start, move, emit = total[0, 0], total[1] + 1, total[2:fixed] + 1, total[fixed:]
-    # The states' counts of a word add up to its count, which makes its mean emission.
-    whole = float(known.all_tokens + known.all_words + 1)
-    rest = summed.where("place < 0").withColumn("c", F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).select(
-        "word", F.transform("e", lambda x: x + PRIOR / whole * (F.col("c") + 1)).alias("e"))
-    emit, unknown = emit + PRIOR * known.mean()[:, None], np.full(STATES, PRIOR / whole)
-    all_counts = emit.sum(0) + sums(rest, "e") + unknown
-    return (Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / all_counts),
-            Others(divided(rest, all_counts), unknown / all_counts), float(likelihood))
+    bounded = summed.where("place >= 0").select("place", *states).toArrow()
+    total[bounded["place"].to_numpy()] = np.stack([bounded[s].to_numpy() for s in states], 1) * PART
+    before, start, move, used, emit = total[0, 0], total[1] + 1, total[2:fixed - 1] + 1, total[fixed - 1] + 1, total[fixed:]
+    return (Model(start / start.sum(), move / move.sum(1, keepdims=True), emit), used / used.sum(),
+            summed.where("place < 0") if all_words else None, float(before))
+
+
+def shares_of(counted: DataFrame, mean: np.ndarray, prior: float) -> DataFrame:
+    """(word, c, p0, p1) from the expected counts of other words."""
+    states = [F.col(f"s{s}") * PART for s in range(STATES)]
+    weight = sum(states[1:], states[0]) + prior
+    return counted.select("word", "c", *packed_shares([(x + float(prior * m)) / weight / float(m) for x, m in zip(states, mean)]))
+
+
+def weighted(emitted: np.ndarray, mean: np.ndarray, known: Vocabulary, prior: float) -> np.ndarray:
+    """A frequent word's count, one more, times how much likelier each state is at it than elsewhere."""
+    shares = (emitted + prior * mean) / (emitted.sum(1, keepdims=True) + prior)
+    return known.weights()[:, None] * shares / mean
+
+
+def with_prior(counted: Model, mean: np.ndarray, known: Vocabulary, prior: float) -> tuple[Model, Others]:
+    """The model from expected emissions, the other words being alike."""
+    frequent = weighted(counted.emit, mean, known, prior)
+    others = Others(None, frequent.sum(0) + known.other_weight())
+    return counted._replace(emit=frequent / others.total), others
+
+
+def likelihood(rows: DataFrame, model: Model, others: Others) -> float:
+    """log10 probability of all rows."""
+    return forward_scores(rows, model, others).agg(F.sum("chain")).first()[0] or 0.0
+
+
+def trained(table: DataFrame, known: Vocabulary, counts: DataFrame) -> tuple[Model, Others]:
+    """Rounds with the other words alike, to TOLERANCE on texts held back; then one over all words and training texts."""
+    held_back = F.pmod(F.xxhash64("key"), F.lit(HELD_BACK)) == 0
+    rows = table.where("train")
+    learned, held = rows.where(~held_back), rows.where(held_back)
+    model, others = first_model(known, counts, alike=True)
+    best = likelihood(held, model, others)
+    while True:
+        counted, mean, _, _ = counted_round(learned, model, others, all_words=False)
+        new = with_prior(counted, mean, known, PRIORS[0])
+        now = likelihood(held, *new)
+        if now <= best:
+            break
+        ended = now - best < TOLERANCE * abs(best)
+        (model, others), best = new, now
+        if ended:
+            break
+    tried = {prior: likelihood(held, *with_prior(counted, mean, known, prior)) for prior in PRIORS}
+    return improved(rows, model, others, known, max(tried, key=tried.get))[:2]
 
 
 def forward_scores(rows: DataFrame, model: Model, others: Others) -> DataFrame:
-    """Adds ``chain``, the log10 probability of each row's words, to the columns that scoring needs."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    """Per row: key, doc_id, n_tokens, how many are known, the sum of their log10(c + 1), and ``chain``.
+
+    ``chain`` is the log10 probability of the row's words; while the other words are
+    alike, their weights are missing in it, and in the sum and the number.
+    """
+    alike = others.shares is None
+    shared = rows.sparkSession.sparkContext.broadcast((model, others.total))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, others_total = shared.value
+        n = len(model.emit)
         for frame in in_batches(frames):
-            symbols, own = batch_model(frame, shared.value)
-            lanes = in_lanes(frame["n_tokens"].to_numpy())
+            symbols, own, c = batch_model(frame, model, others_total, alike)
+            lengths = frame["n_tokens"].to_numpy()
+            lanes = in_lanes(lengths)
             chain = np.empty(len(frame))
             chain[lanes.order] = forward(symbols, lanes, own)
-            yield frame.drop(columns=["symbols", "emissions"]).assign(chain=chain)
+            gain = np.concatenate([np.zeros(n), np.log10(c + 1)])[symbols]
+            met = np.concatenate([np.zeros(n, np.int64), c > 0])[symbols]
+            first = np.cumsum(lengths) - lengths
+            yield frame[["key", "doc_id", "n_tokens"]].assign(
+                n_known=frame["n_frequent"] + np.add.reduceat(met, first),
+                base=frame["base"] + np.add.reduceat(gain, first), chain=chain)
 
-    numbers = with_emissions(rows.select("symbols", "key", "doc_id", "n_tokens", "n_frequent", "base", "rare"), others)
-    return numbers.drop("rare").mapInPandas(run, "key long, doc_id long, n_tokens long, n_frequent long, "
-                                                 "base double, chain double")
+    columns = ["key", "doc_id", "symbols", "n_tokens", "n_frequent", "base", "n_rare", "rare"]
+    return with_shares(rows.select(*columns), others).drop("rare").mapInPandas(
+        run, "key long, doc_id long, n_tokens long, n_known long, base double, chain double")
 
 
 def score(docs: DataFrame, train: Column, rounds: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
-    Learns from the rows where ``train`` holds, in so many rounds, or to
-    TOLERANCE where that is None, and scores all.  NULL texts are
+    Learns from the rows where ``train`` holds as ``trained`` does, or in so many
+    rounds over all words where ``rounds`` is given, and scores all.  NULL texts are
     empty and have one token, the end.  Without training rows no token is known,
     the base score is 0 and the chain has the untrained model's probability.
     Rows that repeat a doc_id are scored each.  An empty table gives no rows;
@@ -345,23 +500,16 @@ def score(docs: DataFrame, train: Column, rounds: int | None = None) -> DataFram
     counts = count_words(rows.where("train").select("doc_id", "text"))
     known = vocabulary(counts)
     table = encoded(rows, known)
-    model, others = first_model(known, counts)
-    last, done = -float("inf"), 0
-    while rounds is None or done < rounds:
-        model, others, likelihood = improved(table.where("train"), model, others, known)
-        done += 1
-        if rounds is None and likelihood - last < TOLERANCE * abs(likelihood) or not likelihood:
-            break
-        last = likelihood
-    met = other_words(table, counts)
+    if rounds is None:
+        model, others = trained(table, known, counts)
+    else:
+        model, others = first_model(known, counts)
+        for _ in range(rounds):
+            model, others, _ = improved(table.where("train"), model, others, known)
     spread = float(np.log10(known.all_tokens + known.all_words + 1))
-    other_base = F.coalesce("other_base", F.lit(0.0))
-    return forward_scores(table, model, others).join(met, "key", "left").select(
-        "doc_id", "n_tokens",
-        (F.col("n_frequent") + F.coalesce("n_other", F.lit(0))).alias("n_known"),
-        F.lit(known.all_tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + other_base - F.col("n_tokens") * spread).alias("base_score"),
-        F.col("chain").alias("score"))
+    return forward_scores(table, model, others).select(
+        "doc_id", "n_tokens", "n_known", F.lit(known.all_tokens).cast("bigint").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * spread).alias("base_score"), F.col("chain").alias("score"))
 
 
 def op8_language_model(spark, sf_dir: str) -> DataFrame:
