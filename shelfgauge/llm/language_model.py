@@ -16,12 +16,13 @@ training texts is held back from the rounds: it ends them, and chooses the weigh
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,33 +48,26 @@ SHARE_STEPS, SHARE_RANGE = 2_048, 16
 END = ""
 # Steps in which counts are told apart when the most frequent words are chosen.
 STEPS_PER_DOUBLE = 8
-# Words a task counts before it hands them on, and tokens a task works on at once.
-COUNTED, TOKENS = 500_000, 2_000_000
+# Tokens a task works on at once.
+TOKENS = 2_000_000
 
 
-def words_of(text: str) -> list[bytes]:
-    """Runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lower-cased, without the end."""
-    return text.encode("utf-8", "replace").lower().split()
+def words_of(column: pd.Series) -> tuple[pa.Array, np.ndarray]:
+    """All texts' runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lower-cased, end to end, and how many each text has."""
+    pieces = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(column, pa.large_string())))
+    flat, owner = pc.list_flatten(pieces), pc.list_parent_indices(pieces).to_numpy()
+    full = pc.not_equal(flat, "")
+    return flat.filter(full), np.bincount(owner[full.to_numpy(zero_copy_only=False)], minlength=len(column))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c), stored: how often each word, and the end, comes in ``docs`` (doc_id, text)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counted: Counter = Counter()
-
-        def handed() -> pd.DataFrame:
-            return pd.DataFrame({"word": [word.decode() for word in counted], "n": list(counted.values())})
-
         for frame in in_chunks(frames):
-            counted[END.encode()] += len(frame)
-            for text in frame["text"]:
-                counted.update(words_of(text))
-                if len(counted) > COUNTED:
-                    yield handed()
-                    counted.clear()
-        if counted:
-            yield handed()
+            counted = pc.value_counts(words_of(frame["text"])[0])
+            yield pd.DataFrame({"word": [END, *counted.field(0).to_pylist()],
+                                "n": np.concatenate([[len(frame)], counted.field(1).to_numpy()])})
 
     counted = docs.mapInPandas(run, "word string, n long")
     return written(counted.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
@@ -142,17 +136,27 @@ def encoded(docs: DataFrame, known: Vocabulary) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = shared.value
-        place = {word.encode(): number for number, word in enumerate(v.frequent, start=1)}
-        gain = np.log10(v.weights())
+        frequent, gain = pa.array(v.frequent, pa.large_string()), np.log10(v.weights())
         for frame in in_chunks(frames):
-            rows = []
-            for text in frame["text"]:
-                rare: dict[bytes, int] = {}
-                symbols = [place.get(word) or len(gain) + rare.setdefault(word, len(rare)) for word in words_of(text)]
-                symbols = np.array([*symbols, 0], np.uint32)
-                seen = symbols[symbols < len(gain)]
-                rows.append((packed_symbols(symbols), len(symbols), len(seen) - (v.end_count == 0),
-                             float(gain[seen].sum()), len(rare), [word.decode() for word in rare]))
+            flat, sizes = words_of(frame["text"])
+            coded = flat.dictionary_encode()
+            codes, found = coded.indices.to_numpy(), pc.fill_null(pc.index_in(coded.dictionary, frequent), -1).to_numpy()
+            symbols = found[codes].astype(np.int64) + 1
+            # The different other words of each text, in order of text and code, number its other symbols.
+            other = np.flatnonzero(symbols == 0)
+            pairs = np.repeat(np.arange(len(sizes)), sizes)[other] * np.int64(len(found)) + codes[other]
+            pairs, which = np.unique(pairs, return_inverse=True)
+            text, code = np.divmod(pairs, max(len(found), 1))
+            first = np.searchsorted(text, np.arange(len(sizes) + 1))
+            symbols[other] = len(gain) + which - first[text[which]]
+            names = coded.dictionary.take(pa.array(code)).to_pylist()
+            rows, at = [], 0
+            for i, size in enumerate(sizes):
+                own = np.append(symbols[at:at + size], 0)
+                at += size
+                seen = own[own < len(gain)]
+                rows.append((packed_symbols(own), len(own), len(seen) - (v.end_count == 0), float(gain[seen].sum()),
+                             first[i + 1] - first[i], names[first[i]:first[i + 1]]))
             out = pd.DataFrame(rows, columns=["symbols", "n_tokens", "n_frequent", "base", "n_rare", "rare"])
             yield out.assign(doc_id=frame["doc_id"].to_numpy(), train=frame["train"].to_numpy())
 
@@ -250,9 +254,9 @@ def first_model(known: Vocabulary, counts: DataFrame, alike: bool = False) -> tu
 
 
 def with_shares(rows: DataFrame, others: Others) -> DataFrame:
-    """``rows`` with the arrays c, p0 and p1 of their other words, in order; NULL without such words, or if all are alike."""
+    """``rows`` with the arrays c, p0 and p1 of their other words, in order; NULL without such words, missing if all are alike."""
     if others.shares is None:
-        return rows.select("*", *[F.lit(None).cast("array<bigint>").alias(x) for x in ("c", "p0", "p1")])
+        return rows
     words = rows.select("key", F.posexplode("rare").alias("place", "word"))
     found = [F.coalesce(x, F.lit(y).cast("bigint")).alias(x) for x, y in (("c", 0), ("p0", EQUAL_SHARES), ("p1", EQUAL_SHARES))]
     met = words.join(others.shares, "word", "left").select("key", "place", *found).groupBy(F.col("key").alias("of")).agg(
@@ -268,15 +272,19 @@ def joined(arrays: pd.Series) -> np.ndarray:
 def batch_model(frame: pd.DataFrame, model: Model, others: np.ndarray, alike: bool) -> tuple[np.ndarray, Model, np.ndarray]:
     """Symbols of a batch, the model with the other words of each of its texts in turn, and these words' counts.
 
-    ``others`` is the total of ``Others``.  Of words that are ``alike`` the weight is
-    left out: it is the same in all states.
+    ``others`` is the total of ``Others``.  Words that are ``alike`` are one symbol, and
+    their weight is left out: it is the same in all states.
     """
     symbols = np.concatenate([unpacked_symbols(x) for x in frame["symbols"]])
+    if alike:
+        return np.minimum(symbols, len(model.emit)), model._replace(emit=np.concatenate([model.emit, 1 / others[None]])), None
     sizes = frame["n_rare"].to_numpy()
     before = np.repeat(np.cumsum(sizes) - sizes, frame["n_tokens"].to_numpy())
     symbols += np.where(symbols >= len(model.emit), before, 0)
-    c = np.zeros(int(sizes.sum()), np.int64) if alike else joined(frame["c"])
-    shares = np.ones((len(c), STATES)) if alike else unpacked_shares(joined(frame["p0"]), joined(frame["p1"]))
+    if "c" in frame:
+        c, shares = joined(frame["c"]), unpacked_shares(joined(frame["p0"]), joined(frame["p1"]))
+    else:
+        c, shares = np.zeros(int(sizes.sum()), np.int64), 1.0
     emit = np.concatenate([model.emit, (c[:, None] + 1) * shares / others])
     return symbols, model._replace(emit=emit), c
 
@@ -296,43 +304,48 @@ def in_lanes(lengths: np.ndarray) -> Lanes:
     return Lanes(order, starts, np.searchsorted(-lengths[order], -steps, side="left"))
 
 
-def forward(symbols: np.ndarray, lanes: Lanes, model: Model, kept: np.ndarray | None = None,
-            scales: np.ndarray | None = None) -> np.ndarray:
+def forward(symbols: np.ndarray, lanes: Lanes, model: Model) -> np.ndarray:
     """log10 probability of each sequence in the lanes' order, by the scaled forward recursion."""
     total = np.zeros(len(lanes.starts))
     alpha = np.broadcast_to(model.start, (len(lanes.starts), STATES))
     for t, k in enumerate(lanes.active):
-        at = lanes.starts[:k] + t
-        alpha = (alpha[:k] if t == 0 else alpha[:k] @ model.move) * model.emit[symbols[at]]
+        alpha = (alpha[:k] if t == 0 else alpha[:k] @ model.move) * model.emit[symbols[lanes.starts[:k] + t]]
         scale = alpha.sum(1)
         alpha /= scale[:, None]
         total[:k] += np.log10(scale)
-        if kept is not None:
-            kept[at], scales[at] = alpha, scale
     return total
 
 
 def expected_counts(symbols: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions, and the sum of log10 probabilities, by forward-backward."""
+    """Expected starts, moves and emissions, and the sum of log10 probabilities, by forward-backward.
+
+    In single precision, which scaling allows.  The symbols of one step of all
+    sequences lie side by side, so that a step reads and writes one slice.
+    """
     lanes = in_lanes(lengths)
-    posterior, scales = np.empty((len(symbols), STATES), np.float32), np.empty(len(symbols))
-    likelihood = forward(symbols, lanes, model, posterior, scales).sum()
+    ends = np.cumsum(lanes.active)
+    slices = [slice(end - k, end) for k, end in zip(lanes.active, ends)]
+    steps = np.repeat(np.arange(len(slices)), lanes.active)
+    symbols = symbols[lanes.starts[np.arange(len(symbols)) - (ends - lanes.active)[steps]] + steps]
+    start, move, emit = (x.astype(np.float32) for x in model)
+    posterior, scales = np.empty((STATES, len(symbols)), np.float32), np.empty(len(symbols), np.float32)
+    alpha = start[:, None]
+    for t, at in enumerate(slices):
+        alpha = (alpha if t == 0 else move.T @ alpha[:, :lanes.active[t]]) * emit.take(symbols[at], axis=0).T
+        scales[at] = alpha.sum(0)
+        alpha /= scales[at]
+        posterior[:, at] = alpha
     moved = np.zeros((STATES, STATES))
-    beta = np.ones((len(lengths), STATES))
-    steps = len(lanes.active)
-    for t in reversed(range(steps)):
-        k = lanes.active[t]
-        at = lanes.starts[:k] + t
-        if t + 1 < steps:
-            k_next = lanes.active[t + 1]
-            after = at[:k_next] + 1
-            step = model.emit[symbols[after]] * beta[:k_next] / scales[after][:, None]
-            moved += posterior[at[:k_next]].T @ step
-            beta[:k_next] = step @ model.move.T
-        posterior[at] *= beta[:k]
-    emitted = np.stack([
-        np.bincount(symbols, weights=posterior[:, s], minlength=len(model.emit)) for s in range(STATES)], 1)
-    return posterior[lanes.starts].sum(0, dtype=np.float64), moved * model.move, emitted, float(likelihood)
+    beta = np.ones((STATES, len(lengths)), np.float32)
+    for t in reversed(range(len(slices))):
+        if t + 1 < len(slices):
+            after, k = slices[t + 1], lanes.active[t + 1]
+            step = emit.take(symbols[after], axis=0).T * beta[:, :k] / scales[after]
+            moved += posterior[:, slices[t]][:, :k] @ step.T
+            beta[:, :k] = move @ step
+        posterior[:, slices[t]] *= beta[:, :lanes.active[t]]
+    emitted = np.stack([np.bincount(symbols, weights=x, minlength=len(emit)) for x in posterior], 1)
+    return posterior[:, slices[0]].sum(1, dtype=np.float64), moved * model.move, emitted, float(np.log10(scales).sum(dtype=np.float64))
 
 
 def in_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -371,7 +384,6 @@ def improved(rows: DataFrame, model: Model, others: Others, known: Vocabulary, p
 def counted_round(rows: DataFrame, model: Model, others: Others,
                   all_words: bool) -> tuple[Model, np.ndarray, DataFrame | None, float]:
     """Starts and moves, expected emissions of frequent words, the mean share of states, those of other words, the likelihood."""
-    alike = others.shares is None
     shared = rows.sparkSession.sparkContext.broadcast((model, others.total))
     states = [f"s{s}" for s in range(STATES)]
     fixed = 3 + STATES
@@ -381,15 +393,14 @@ def counted_round(rows: DataFrame, model: Model, others: Others,
         n = len(model.emit)
         total = np.zeros((fixed + n, STATES))
         for frame in in_batches(frames):
-            symbols, own, _ = batch_model(frame, model, others_total, alike)
+            symbols, own, _ = batch_model(frame, model, others_total, not all_words)
             start, moved, emitted, likelihood = expected_counts(symbols, frame["n_tokens"].to_numpy(), own)
             total[0, 0] += likelihood
             total[1:] += np.concatenate([start[None], moved, emitted.sum(0)[None], emitted[:n]])
             if all_words:
-                words = pd.Series([word for rare in frame["rare"] for word in rare], dtype=object)
-                parts = pd.DataFrame(np.rint(emitted[n:] / PART).astype(np.int64), columns=states)
-                times = np.bincount(symbols, minlength=len(own.emit))[n:]
-                yield parts.assign(c=times, word=words).groupby("word", as_index=False, sort=False).sum().assign(place=-1)
+                yield pd.DataFrame(np.rint(emitted[n:] / PART).astype(np.int64), columns=states).assign(
+                    c=np.bincount(symbols, minlength=len(own.emit))[n:],
+                    word=pd.Series([word for rare in frame["rare"] for word in rare], dtype=object), place=-1)
         used = np.flatnonzero(total.any(1))
         counted = pd.DataFrame(np.rint(total[used] / PART).astype(np.int64), columns=states)
         yield counted.assign(c=0, word=pd.Series([""] * len(used), dtype=object), place=used)
@@ -474,6 +485,8 @@ def forward_scores(rows: DataFrame, model: Model, others: Others) -> DataFrame:
             lanes = in_lanes(lengths)
             chain = np.empty(len(frame))
             chain[lanes.order] = forward(symbols, lanes, own)
+            if alike:
+                c = np.zeros(1, np.int64)
             gain = np.concatenate([np.zeros(n), np.log10(c + 1)])[symbols]
             met = np.concatenate([np.zeros(n, np.int64), c > 0])[symbols]
             first = np.cumsum(lengths) - lengths

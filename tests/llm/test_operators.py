@@ -384,6 +384,58 @@ def test_every_word_has_emissions_of_its_own(make, monkeypatch):
         assert model.emit.sum(0) + language_model.sums(others.table, "e") + others.unknown == pytest.approx(np.ones(8))
         last = likelihood
 
+def test_expected_counts_equal_enumeration():
+    pick = np.random.default_rng(3)
+    states = language_model.STATES
+    model = language_model.Model(pick.dirichlet(np.ones(states)), pick.dirichlet(np.ones(states), states),
+                                 pick.dirichlet(np.ones(6), states).T)
+    texts = [[4], [0, 3, 1, 3], [2, 0]]
+    lengths = np.array([len(x) for x in texts])
+    start, moved, emitted, total = language_model.expected_counts(np.concatenate(texts), lengths, model)
+    want = [np.zeros(states), np.zeros((states, states)), np.zeros((6, states)), 0.0]
+    for text in texts:
+        paths = {}
+        for path in np.ndindex(*[states] * len(text)):
+            p = model.start[path[0]]
+            for t, symbol in enumerate(text):
+                p *= model.emit[symbol, path[t]] * (model.move[path[t - 1], path[t]] if t else 1)
+            paths[path] = p
+        whole = sum(paths.values())
+        want[3] += math.log10(whole)
+        for path, p in paths.items():
+            want[0][path[0]] += p / whole
+            for t, symbol in enumerate(text):
+                want[2][symbol, path[t]] += p / whole
+                if t:
+                    want[1][path[t - 1], path[t]] += p / whole
+    for got, right in zip((start, moved, emitted, total), want):
+        assert got == pytest.approx(right, rel=1e-4, abs=1e-5)
+
+
+def test_shares_and_symbols_are_unpacked_as_packed(spark):
+    states = language_model.STATES
+    shares = np.exp(np.random.default_rng(4).normal(0, 3, (20, states)))
+    rows = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(shares)],
+                                 ["c", *[f"s{s}" for s in range(states)]])
+    packed = rows.select("c", *language_model.packed_shares([F.col(f"s{s}") for s in range(states)]))
+    stored = packed.select("c", "p0", "p1", *language_model.weighted_shares()).orderBy("c").toPandas()
+    read = language_model.unpacked_shares(stored["p0"].to_numpy(), stored["p1"].to_numpy())
+    assert read == pytest.approx(shares, rel=1e-3)
+    assert stored.iloc[:, 3:].to_numpy() == pytest.approx((np.arange(20)[:, None] + 1) * read)
+    equal = np.array([language_model.EQUAL_SHARES])
+    assert (language_model.unpacked_shares(equal, equal) == 1).all()
+    symbols = np.array([0, 1, 255, 256, 70_000, 2**31], np.uint32)
+    assert list(language_model.unpacked_symbols(language_model.packed_symbols(symbols))) == list(symbols)
+
+
+def test_language_model_beats_the_word_frequencies_on_held_out_texts(make, monkeypatch):
+    monkeypatch.setattr(language_model, "FREQUENT", 20)
+    pick = random.Random(5)
+    topics = [[f"{name}{i}" for i in range(40)] for name in "pq"]
+    docs = make([(i, " ".join(pick.choices(topics[i % 2], k=60)), None) for i in range(200)])
+    got = [r for r in language_model.score(docs, F.col("doc_id") < 160).collect() if r.doc_id >= 160]
+    assert len(got) == 40 and sum(r.score for r in got) > sum(r.base_score for r in got) + 2 * len(got)
+
 
 # Decontamination
 
