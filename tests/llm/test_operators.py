@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 from hashlib import sha256
+from itertools import combinations
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -440,7 +442,6 @@ def test_language_model_beats_the_word_frequencies_on_held_out_texts(make, monke
 # Decontamination
 
 def test_contaminated(make, spark, awkward):
-    pick = random.Random(9)
     item = [f"k{i}" for i in range(30)]
     changed = list(item)
     for k in (4, 9, 14, 19, 24):
@@ -456,7 +457,49 @@ def test_contaminated(make, spark, awkward):
     assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == {2, 3}
     assert decontamination.contaminated(awkward, benchmark).collect() == []
     assert decontamination.clean_documents(awkward, benchmark).count() == 11
-    del pick
+
+
+def may_differ(width):
+    return width - next(m for m in range(width + 1) if m >= width * decontamination.SIMILARITY)
+
+
+def test_masks_leave_a_seed_wherever_words_are_replaced():
+    for length in range(1, decontamination.WINDOW + 1):
+        placed = [{at + k for k, mark in enumerate(mask) if mark == "1"}
+                  for mask in decontamination.masks_of(length) for at in range(length - len(mask) + 1)]
+        for n in range(may_differ(length) + 1):
+            for replaced in combinations(range(length), n):
+                assert any(not marked & set(replaced) for marked in placed), (length, replaced)
+
+
+@pytest.mark.parametrize("broadcast", [decontamination.BROADCAST_SEEDS, 0])
+def test_contaminated_equals_brute_force(make, spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", broadcast)
+    pick = random.Random(broadcast)
+    names = [f"w{i}" for i in range(12)]
+    items = {n: pick.choices(names, k=n) for n in [*range(1, 18), 23]}
+    docs = {i: pick.choices(names, k=pick.randrange(60)) for i in range(60)}
+    for i in range(60, 160):
+        # An item, or a part of it, with some words replaced, at the start, the end or inside of a text.
+        part = list(items[list(items)[i % len(items)]])
+        for k in pick.sample(range(len(part)), min(len(part), pick.randrange(5))):
+            part[k] = "other"
+        docs[i] = pick.choices(names, k=pick.choice((0, 3))) + part + pick.choices(names, k=pick.choice((0, 3)))
+    want = {}
+    for i, words_of in docs.items():
+        for n, item in items.items():
+            width = min(n, decontamination.WINDOW)
+            fits = [(sum(map(eq, item[at:at + width], words_of[b:b + width])), at - b)
+                    for at in range(n - width + 1) for b in range(len(words_of) - width + 1)]
+            if fits and max(fits)[0] >= width * decontamination.SIMILARITY:
+                want[i, n] = (width, max(fits)[0], -max(fits)[1])
+    benchmark = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    table = make([(i, ", ".join(words_of), None) for i, words_of in docs.items()])
+    got = decontamination.contaminated(table, benchmark).collect()
+    assert {(r.doc_id, r.item_id): (r.width, r.matched, r.shift) for r in got} == want and len(got) == len(want)
+    assert {n for _, n in want} == set(items)
+    kept = {r.doc_id for r in decontamination.clean_documents(table, benchmark).collect()}
+    assert kept == set(docs) - {i for i, n in want if n >= decontamination.TELLING}
 
 
 # Pseudonyms
