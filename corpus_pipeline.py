@@ -31,9 +31,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text holds a benchmark item go, whatever their ids."""
+    """Rows whose text holds a benchmark item go, whatever their ids; items of under five words stand in clean texts, too."""
     rows, key = with_row_key(docs, "decontamination-rows")
-    found = decontamination.contaminated(rows.select(F.col(key).alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    found = decontamination.contaminated(
+        rows.select(F.col(key).alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"),
+        least_words=decontamination.TELLING)
     return without_rows(rows, key, found.select(F.col("doc_id").alias(key)))
 
 
