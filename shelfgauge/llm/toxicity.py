@@ -51,10 +51,14 @@ def scaled(hashes: np.ndarray) -> np.ndarray:
 
 
 def feature_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per chunk of texts: arrays of their places, labels and numbers of features, and all features in a row."""
     for frame in in_chunks(frames):
+        found = [np.unique(features(text)) for text in frame["text"]]
         yield pd.DataFrame({
-            "place": frame["place"], "label": frame["label"],
-            "features": [np.unique(features(text)).tobytes() for text in frame["text"]]})
+            "places": [frame["place"].to_numpy(np.int64).tobytes()],
+            "labels": [frame["label"].to_numpy(np.int64).tobytes()],
+            "lengths": [np.array([len(at) for at in found], np.int64).tobytes()],
+            "features": [np.concatenate(found).tobytes()]})
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
@@ -78,16 +82,28 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return weights(np.arange(1 << BITS))
 
 
-def fit_group(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["place", "label"], kind="stable")
-    rows = [np.frombuffer(data, np.int32) for data in group["features"]]
-    common = np.zeros(1 << BITS, np.int64)
-    for at in rows:
-        common[at] += 1
-    rows = [at[(common[at] >= LEAST_TEXTS) | (at == BIAS)] for at in rows]
-    weights = ftrl(rows, group["label"].to_numpy(np.float64))
+def fit_group(chunks: pa.Table) -> pa.Table:
+    """Weights from all chunks, whose texts are learned from in the order of place and label; arrays are not copied."""
+
+    def arrays(name: str, kind: type) -> list[np.ndarray]:
+        return [np.frombuffer(data.as_buffer(), kind) for data in chunks[name]]
+
+    packed = arrays("features", np.int32)
+    frequent = np.zeros(1 << BITS, np.int32)
+    for some in packed:
+        np.add.at(frequent, some, 1)
+    frequent = frequent >= LEAST_TEXTS
+    frequent[BIAS] = True
+    rows = []
+    for some, lengths in zip(packed, arrays("lengths", np.int64)):
+        keep = frequent[some]
+        left = np.cumsum(keep, dtype=np.int32)[np.cumsum(lengths) - 1]  # a text has the bias at least
+        rows += np.split(some[keep], left[:-1])
+    places, labels = (np.concatenate(arrays(name, np.int64)) for name in ("places", "labels"))
+    order = np.lexsort((labels, places))
+    weights = ftrl([rows[i] for i in order], labels[order].astype(np.float64))
     kept = np.flatnonzero(weights)
-    return pd.DataFrame({"features": [kept.astype(np.int32).tobytes()], "weights": [weights[kept].tobytes()]})
+    return pa.table({"features": [kept.astype(np.int32).tobytes()], "weights": [weights[kept].tobytes()]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = SAMPLE) -> tuple[bytes, bytes]:
@@ -97,8 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = S
     rows of hashes.  Without labelled rows the model is empty.
     """
     rows = training_rows(docs, labels, label, bound).mapInPandas(
-        feature_rows, "place long, label int, features binary")
-    model = rows.groupBy(F.lit(0).alias("all")).applyInPandas(fit_group, "features binary, weights binary").collect()
+        feature_rows, "places binary, labels binary, lengths binary, features binary")
+    model = rows.groupBy(F.lit(0).alias("all")).applyInArrow(fit_group, "features binary, weights binary").collect()
     return (bytes(model[0][0]), bytes(model[0][1])) if model else (b"", b"")
 
 
