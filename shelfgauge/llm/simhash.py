@@ -16,11 +16,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfgauge.llm.common import components, in_chunks, read_table, smallest_labels, texts, written
+from shelfgauge.llm.common import components, read_table, smallest_labels, texts, written
 
 SHINGLE = 3
 RADIUS = 2
@@ -52,12 +53,13 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fingerprints as signed 64-bit integers."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in in_chunks(frames):
-            fps = np.array([fingerprint(text, shingle) for text in frame["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": fps.view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # One text at a time leaves Arrow's memory.
+            fps = np.array([fingerprint(text.as_py(), shingle) for text in batch["text"]], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return texts(docs).mapInPandas(run, "doc_id long, fp long")
+    return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
 def band_masks(radius: int) -> list[int]:
