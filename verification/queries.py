@@ -105,7 +105,9 @@ def ingest_latest_run(spark, sf_dir):
     texts = surrogate.landed_page_texts(spark, sf_dir)
     runs = F.explode(F.array(F.lit("2026-01-01"), F.lit("2026-01-02"))).alias("run")
     landed = texts.select(runs, F.lit(pages.FULFILLMENT).alias("fulfillment"), "term", "value")
-    landed.hint("rebalance", "run", "term").write.partitionBy("run", "fulfillment", "term").text(landing)
+    files = landed.hint("rebalance", "run", "term").write.partitionBy("run", "fulfillment", "term")
+    # Pages are much alike, and Spark reads compressed files as it does others.
+    files.option("compression", "gzip").text(landing)
     return pages.flatten_pages(pages.read_pages(spark, landing))
 
 
