@@ -34,3 +34,17 @@ def test_landed_runs_are_compressed_files(spark, tables_of_offers, tmp_path):
             "term=ECONOMY", "term=LARGE"}
     text = 2 * sum(len(row.value) + 1 for row in queries.surrogate.landed_page_texts(spark, tables_of_offers).collect())
     assert sum(Path(file).stat().st_size for file in files) < text / 5
+
+
+def test_offers_are_made_from_pages_once(spark, tables_of_offers, monkeypatch):
+    stored = []
+    store = queries.stored.store_offers
+
+    def noted(offers, table, run):
+        stored.append((run, offers._jdf.queryExecution().optimizedPlan().toString()))
+        store(offers, table, run)
+
+    monkeypatch.setattr(queries.stored, "store_offers", noted)
+    assert queries.ingest_stored_offers(spark, tables_of_offers).count() == 200
+    assert [run for run, _ in stored] == ["2026-01-01", "2026-01-02", "2026-01-01"]
+    assert not any("from_json" in plan or "Join" in plan for _, plan in stored)

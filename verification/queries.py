@@ -150,7 +150,7 @@ def ingest_quarantine(spark, sf_dir):
 def ingest_stored_offers(spark, sf_dir):
     """Store one run twice and another once, then read two terms of the first."""
     table = f"{tables.shared_folder(spark)}/shelfgauge/offers-{tables.unique()}"
-    found = pages.flatten_pages(page_table(spark, sf_dir))
+    found = tables.written(pages.flatten_pages(page_table(spark, sf_dir)), "found")
     for run in ("2026-01-01", "2026-01-02", "2026-01-01"):
         stored.store_offers(found if run == "2026-01-01" else found.filter("regular > 0"), table, run)
     return stored.stored_offers(spark, table, "2026-01-01", SEARCHED_TERMS)
