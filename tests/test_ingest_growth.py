@@ -19,13 +19,9 @@ def tables_of_offers(spark, tmp_path):
     return folder
 
 
-def test_landed_runs_are_compressed_files(spark, tables_of_offers, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
-    try:
-        found = queries.ingest_latest_run(spark, tables_of_offers).collect()
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+def test_landed_runs_are_compressed_files(spark, tables_of_offers, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries.tables, "shared_folder", lambda spark: str(tmp_path / "shared"))
+    found = queries.ingest_latest_run(spark, tables_of_offers).collect()
     assert len(found) == 400
     files = list((tmp_path / "shared").rglob("part-*"))
     assert {file.suffix for file in files} == {".gz"}
