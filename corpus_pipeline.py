@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfgauge.llm import decontamination, mixing, simhash, token_ids, toxicity
-from shelfgauge.llm.common import read_table, with_row_key, without_rows, written
+from shelfgauge.llm.common import read_table, small_batches, with_row_key, without_rows, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,6 +64,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's result stored and read back by the next."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+    with small_batches(spark):
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), name)
     return docs

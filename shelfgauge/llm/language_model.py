@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfgauge.llm.common import in_chunks, read_table, remainder, texts, written
+from shelfgauge.llm.common import in_chunks, read_table, remainder, small_batches, texts, tidied, written
 
 FOLDS, HELD_OUT = 7, 2
 STATES = 8
@@ -48,8 +48,10 @@ SHARE_STEPS, SHARE_RANGE = 2_048, 16
 END = ""
 # Steps in which counts are told apart when the most frequent words are chosen.
 STEPS_PER_DOUBLE = 8
-# Tokens a task works on at once.
-TOKENS = 2_000_000
+# Tokens a task works on at once, and tokens, packed, among whose texts it puts those of like length together.
+TOKENS, HELD = 1_000_000, 4_000_000
+# Rows of expected counts that a task gives to Spark at once.
+ROWS = 50_000
 
 
 def words_of(column: pd.Series) -> tuple[pa.Array, np.ndarray]:
@@ -69,7 +71,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"word": [END, *counted.field(0).to_pylist()],
                                 "n": np.concatenate([[len(frame)], counted.field(1).to_numpy()])})
 
-    counted = docs.mapInPandas(run, "word string, n long")
+    counted = docs.mapInPandas(tidied(run), "word string, n long")
     return written(counted.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
 
 
@@ -160,7 +162,7 @@ def encoded(docs: DataFrame, known: Vocabulary) -> DataFrame:
             out = pd.DataFrame(rows, columns=["symbols", "n_tokens", "n_frequent", "base", "n_rare", "rare"])
             yield out.assign(doc_id=frame["doc_id"].to_numpy(), train=frame["train"].to_numpy())
 
-    rows = docs.mapInPandas(run, "symbols binary, n_tokens long, n_frequent long, base double, "
+    rows = docs.mapInPandas(tidied(run), "symbols binary, n_tokens long, n_frequent long, base double, "
                                  "n_rare long, rare array<string>, doc_id long, train boolean")
     return written(rows.withColumn("key", F.monotonically_increasing_id()), "encoded")
 
@@ -349,20 +351,36 @@ def expected_counts(symbols: np.ndarray, lengths: np.ndarray, model: Model) -> t
 
 
 def in_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of about TOKENS tokens, or one row, at a time."""
+    """Rows of about TOKENS tokens, or one row, at a time; if there are more, texts of like length come together.
+
+    A batch takes as many steps as its longest text has tokens, so long texts share theirs.
+    """
     held, size = [], 0
     for frame in frames:
-        ends = np.flatnonzero(np.diff(np.cumsum(frame["n_tokens"].to_numpy()) // TOKENS)) + 1
-        for start, end in zip([0, *ends], [*ends, len(frame)]):
-            piece = frame.iloc[start:end]
-            if held and size + int(piece["n_tokens"].sum()) > TOKENS:
-                yield pd.concat(held, ignore_index=True)
+        for piece in pieces(frame):
+            if held and size + int(piece["n_tokens"].sum()) > HELD:
+                yield from by_length(held)
                 held, size = [], 0
-            if len(piece):
-                held.append(piece)
-                size += int(piece["n_tokens"].sum())
+            held.append(piece)
+            size += int(piece["n_tokens"].sum())
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield from by_length(held)
+
+
+def pieces(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    ends = np.flatnonzero(np.diff(np.cumsum(frame["n_tokens"].to_numpy()) // TOKENS)) + 1
+    for start, end in zip([0, *ends], [*ends, len(frame)]):
+        if end > start:
+            yield frame.iloc[start:end]
+
+
+def by_length(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    frame = pd.concat(held, ignore_index=True)
+    if frame["n_tokens"].sum() <= TOKENS:
+        yield frame
+        return
+    for piece in pieces(frame.sort_values("n_tokens", kind="stable")):
+        yield piece.reset_index(drop=True)
 
 
 def improved(rows: DataFrame, model: Model, others: Others, known: Vocabulary, prior: float = PRIORS[0],
@@ -398,9 +416,13 @@ def counted_round(rows: DataFrame, model: Model, others: Others,
             total[0, 0] += likelihood
             total[1:] += np.concatenate([start[None], moved, emitted.sum(0)[None], emitted[:n]])
             if all_words:
-                yield pd.DataFrame(np.rint(emitted[n:] / PART).astype(np.int64), columns=states).assign(
-                    c=np.bincount(symbols, minlength=len(own.emit))[n:],
-                    word=pd.Series([word for rare in frame["rare"] for word in rare], dtype=object), place=-1)
+                c = np.bincount(symbols, minlength=len(own.emit))[n:]
+                words = [word for rare in frame["rare"] for word in rare]
+                for at in range(0, len(words), ROWS):
+                    part = slice(at, at + ROWS)
+                    yield pd.DataFrame(np.rint(emitted[n:][part] / PART).astype(np.int64), columns=states).assign(
+                        c=c[part], word=pd.Series(words[part], dtype=object), place=-1)
+            del symbols, own, emitted
         used = np.flatnonzero(total.any(1))
         counted = pd.DataFrame(np.rint(total[used] / PART).astype(np.int64), columns=states)
         yield counted.assign(c=0, word=pd.Series([""] * len(used), dtype=object), place=used)
@@ -409,7 +431,7 @@ def counted_round(rows: DataFrame, model: Model, others: Others,
     if not all_words:
         numbers = numbers.drop("rare")
     counted = numbers.drop("key").mapInPandas(
-        run, ", ".join(f"{s} long" for s in states) + ", c long, word string, place long")
+        tidied(run), ", ".join(f"{s} long" for s in states) + ", c long, word string, place long")
     summed = counted.groupBy("place", "word").agg(*[F.sum(x).alias(x) for x in (*states, "c")])
     if all_words:
         summed = written(summed, "expected")
@@ -496,7 +518,7 @@ def forward_scores(rows: DataFrame, model: Model, others: Others) -> DataFrame:
 
     columns = ["key", "doc_id", "symbols", "n_tokens", "n_frequent", "base", "n_rare", "rare"]
     return with_shares(rows.select(*columns), others).drop("rare").mapInPandas(
-        run, "key long, doc_id long, n_tokens long, n_known long, base double, chain double")
+        tidied(run), "key long, doc_id long, n_tokens long, n_known long, base double, chain double")
 
 
 def score(docs: DataFrame, train: Column, rounds: int | None = None) -> DataFrame:
@@ -509,6 +531,11 @@ def score(docs: DataFrame, train: Column, rounds: int | None = None) -> DataFram
     Rows that repeat a doc_id are scored each.  An empty table gives no rows;
     columns other than doc_id and text are not read.
     """
+    with small_batches(docs.sparkSession):
+        return written(scores(docs, train, rounds), "scores")
+
+
+def scores(docs: DataFrame, train: Column, rounds: int | None) -> DataFrame:
     rows = texts(docs).withColumn("train", F.coalesce(train, F.lit(True)))
     counts = count_words(rows.where("train").select("doc_id", "text"))
     known = vocabulary(counts)
