@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfgauge.llm.common import components, read_table, smallest_labels, texts, written
+from shelfgauge.llm.common import components, read_table, smallest_labels, texts, tidied, written
 
 SHINGLE = 3
 RADIUS = 2
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(text.as_py(), shingle) for text in batch["text"]], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def band_masks(radius: int) -> list[int]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfgauge.llm import range_coder
-from shelfgauge.llm.common import in_chunks, read_table, texts, written
+from shelfgauge.llm.common import in_chunks, read_table, texts, tidied, written
 
 END_ID = 2
 # Token ids of a group: as many blocks as are coded side by side.
@@ -179,7 +179,7 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
 
     # NULL ids come first; rows that repeat a doc_id are ordered by their texts.
     ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return written(ordered.mapInPandas(run, FILE_SCHEMA), "token-files")
+    return written(ordered.mapInPandas(tidied(run), FILE_SCHEMA), "token-files")
 
 
 def read_ids(files: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def read_ids(files: DataFrame) -> DataFrame:
                     "ids_crc32": [crc32(stream[a:b].tobytes()) for a, b in zip(ends - lengths, ends)]})
 
     decoded = files.mapInPandas(
-        run, "part long, group long, doc_id long, inside long, n_tokens long, ids_crc32 long")
+        tidied(run), "part long, group long, doc_id long, inside long, n_tokens long, ids_crc32 long")
     # One row per part, of which there are no more than shuffle partitions; then one per group of a part.
     earlier = (Window.unboundedPreceding, -1)
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select(

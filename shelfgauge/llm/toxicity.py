@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfgauge.llm.common import in_chunks, read_table, texts
+from shelfgauge.llm.common import in_chunks, read_table, release_memory, texts, tidied
 from shelfgauge.llm.training import held_out, training_rows
 
 THRESHOLD = 0.7
@@ -106,6 +106,12 @@ def fit_group(chunks: pa.Table) -> pa.Table:
     return pa.table({"features": [kept.astype(np.int32).tobytes()], "weights": [weights[kept].tobytes()]})
 
 
+def fit_and_release(chunks: pa.Table) -> pa.Table:
+    weights = fit_group(chunks)
+    release_memory()
+    return weights
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = SAMPLE) -> tuple[bytes, bytes]:
     """The model: features with a weight, and the weights; at most 2**BITS of them.
 
@@ -113,8 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = S
     rows of hashes.  Without labelled rows the model is empty.
     """
     rows = training_rows(docs, labels, label, bound).mapInPandas(
-        feature_rows, "places binary, labels binary, lengths binary, features binary")
-    model = rows.groupBy(F.lit(0).alias("all")).applyInArrow(fit_group, "features binary, weights binary").collect()
+        tidied(feature_rows), "places binary, labels binary, lengths binary, features binary")
+    model = rows.groupBy(F.lit(0).alias("all")).applyInArrow(fit_and_release, "features binary, weights binary").collect()
     return (bytes(model[0][0]), bytes(model[0][1])) if model else (b"", b"")
 
 
@@ -149,7 +155,7 @@ def score(docs: DataFrame, model: tuple[bytes, bytes], threshold: float = THRESH
             yield pd.DataFrame({
                 "doc_id": frame["doc_id"], "score": [probability(text, dense) for text in frame["text"]]})
 
-    scored = texts(docs).mapInPandas(run, "doc_id long, score double")
+    scored = texts(docs).mapInPandas(tidied(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -170,7 +176,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
             yield batch.filter(pa.array([
                 probability(text.as_py() or "", dense) < threshold for text in texts_], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
