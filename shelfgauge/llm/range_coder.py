@@ -20,7 +20,7 @@ from zlib import crc32
 import numpy as np
 
 BLOCK = 2_048
-LANES = 2_048
+LANES = 1_024
 STEP = 128
 # Order 0 counts anew when the block has grown by this part.
 GROWN = 4

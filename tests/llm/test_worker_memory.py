@@ -1,7 +1,7 @@
 """What Python workers hold at once, and what they keep after a task."""
 
 import ctypes
-import ctypes.util
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfgauge.llm import common, language_model
+from shelfgauge.llm import common, language_model, range_coder
 
 
 def batch_rows(spark):
@@ -74,3 +74,14 @@ def test_batches_of_the_language_model_hold_like_lengths(monkeypatch):
     assert sum(batch["n_tokens"].max() for batch in batches) < 0.8 * sum(min(300, batch["n_tokens"].sum()) for batch in batches) + 5_000
     few = list(language_model.in_batches(iter([frames[0].head(3)])))
     assert len(few) == 1 and few[0]["key"].tolist() == [0, 1, 2]
+
+
+def test_a_group_of_token_ids_is_coded_in_bounded_memory():
+    size = range_coder.BLOCK * range_coder.LANES
+    ids = np.minimum(np.random.default_rng(1).zipf(1.2, size), 49_999).astype("<u4")
+    tracemalloc.start()
+    blocks = range_coder.encode(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+    assert (range_coder.decode(blocks) == ids).all()
