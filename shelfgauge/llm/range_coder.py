@@ -22,6 +22,8 @@ import numpy as np
 BLOCK = 2_048
 LANES = 1_024
 STEP = 128
+# Blocks whose ids are sorted at once when order 0 is counted.
+COUNTED_LANES = 64
 # Order 0 counts anew when the block has grown by this part.
 GROWN = 4
 ID_BITS = 16
@@ -110,13 +112,14 @@ def block_codes(ids: np.ndarray) -> tuple[np.ndarray, int]:
     """Each row's ids as numbers that rise with the id, from 0 without gaps; the most numbers of a row."""
     n, steps = ids.shape
     place_bits = max(1, (steps - 1).bit_length())
-    keyed = np.sort(ids.astype(np.uint32) << place_bits | np.arange(steps, dtype=np.uint32), axis=1)
+    places = np.arange(steps, dtype=np.uint32)
     codes = np.empty((n, steps), np.int32)
     width = 0
-    for row, out in zip(keyed, codes):
-        sorted_ids = row >> place_bits
+    for row, out in zip(ids, codes):
+        keyed = np.sort(row.astype(np.uint32) << place_bits | places)
+        sorted_ids = keyed >> place_bits
         number = np.cumsum(sorted_ids[1:] != sorted_ids[:-1], dtype=np.int32)
-        out[row & ((1 << place_bits) - 1)] = np.concatenate([[0], number])
+        out[keyed & ((1 << place_bits) - 1)] = np.concatenate([[0], number])
         width = max(width, int(number[-1]) + 1 if steps > 1 else 1)
     return codes, width
 
@@ -127,7 +130,8 @@ def encode_lanes(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")
     model = Predictions(n)
     codes, width = block_codes(ids)
-    codes = np.ascontiguousarray((codes + (np.arange(n, dtype=np.int32) * width)[:, None]).T)  # (step, lane), into the counts
+    codes += (np.arange(n, dtype=np.int32) * width)[:, None]
+    codes = np.ascontiguousarray(codes.T)  # (step, lane), into the counts
     columns = np.zeros((steps + 2, n), np.int32)
     columns[2:] = ids.T
     counts, before = np.zeros(n * width, np.int32), np.zeros(n * width, np.int32)
@@ -193,15 +197,18 @@ def encode_lanes(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
 def count_entries(seen: np.ndarray) -> np.ndarray:
     """For every place among each row's sorted ids: the id, its first place and its count, 16 bits each."""
     n, width = seen.shape
-    flat = np.sort(seen, axis=1, kind="stable").reshape(-1)
-    new = np.empty(len(flat), bool)
-    new[1:] = flat[1:] != flat[:-1]
-    new[::width] = True
-    first = np.flatnonzero(new)
-    count = np.diff(first, append=len(flat))
-    runs = flat[first].astype(np.uint64) | (first % width).astype(np.uint64) << np.uint64(16) | (
-        count.astype(np.uint64) << np.uint64(32))
-    return np.repeat(runs, count)
+    out = np.empty((n, width), np.uint64)
+    for at in range(0, n, COUNTED_LANES):
+        flat = np.sort(seen[at:at + COUNTED_LANES], axis=1, kind="stable").reshape(-1)
+        new = np.empty(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
+        new[::width] = True
+        first = np.flatnonzero(new)
+        count = np.diff(first, append=len(flat))
+        runs = flat[first].astype(np.uint64) | (first % width).astype(np.uint64) << np.uint64(16) | (
+            count.astype(np.uint64) << np.uint64(32))
+        out[at:at + COUNTED_LANES] = np.repeat(runs, count).reshape(-1, width)
+    return out.reshape(-1)
 
 
 def decode_lanes(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:

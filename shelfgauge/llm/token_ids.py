@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain, islice
 from zlib import crc32
 
 import numpy as np
@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfgauge.llm import range_coder
-from shelfgauge.llm.common import in_chunks, read_table, texts, tidied, written
+from shelfgauge.llm.common import in_chunks, read_table, small_batches, texts, tidied, written
 
 END_ID = 2
 # Token ids of a group: as many blocks as are coded side by side.
 GROUP_IDS = range_coder.BLOCK * range_coder.LANES
-# Pieces whose ids a Python worker remembers.
-REMEMBERED = 300_000
+# Pieces whose ids a Python worker remembers: those met since as many were, and those met before them.
+REMEMBERED = 75_000
+# Text bytes whose pieces are in memory at once.
+CUT_BYTES = 500_000
 FILE_SCHEMA = "part long, group long, n_ids long, doc_ids binary, lengths binary, blocks array<binary>"
 
 # A single space between two of these characters, none of which is white space,
@@ -40,6 +42,8 @@ UNUSUAL = bytes([*range(10), *range(11, 32), 127, 0xC2, 0xE1, 0xE2, 0xE3, *range
 UNUSUAL_RUNS = ("  ", " \n", "\n ", "\n\n\n")
 # A single one of these after a letter or digit is always a token's last or only character.
 SINGLE = ".,;:"
+# Letters up to here are letters in every version of Unicode.
+OLD_LETTERS = "\u024f"
 
 
 def default_tokenizer() -> str:
@@ -56,6 +60,13 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def byte_letters() -> list[str]:
+    """The characters that byte-level vocabularies write for the bytes: visible ones for themselves, others from U+0100 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(byte if byte in visible else next(hidden)) for byte in range(256)]
+
+
 def pieces_of(text: str, special: list[str]) -> list[str]:
     """A text cut where tokens always begin.
 
@@ -71,6 +82,17 @@ def pieces_of(text: str, special: list[str]) -> list[str]:
     return text.replace("\n", " \n").split(" ")
 
 
+class Known(dict):
+    """Ids of pieces that were met; those of others are made when asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.make(piece)
+        return ids
+
+
 class Encoder:
     """Ids of whole texts, from the tokenizer's ids of their pieces, which repeat.
 
@@ -81,63 +103,49 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        # Byte-level vocabularies write byte 0 as the letter A with a macron.
-        alone = not any("\u0100" in token and token != "\u0100" for token in vocabulary)
-        self.between = vocabulary.get("\u0100") if alone else None
+        self.known, self.older = Known(self.new_ids), {}
+        self.letters = dict(enumerate(byte_letters()))
         self.single = dict(zip(SINGLE, self.ids(list(SINGLE))))
+        # Such words hold no special token.
+        self.one_word = self.keeps_words() and not any(token.replace(" ", "").isalpha() for token in self.special)
 
     def ids(self, some: list[str]) -> list[bytes]:
         return [np.array(c.ids, "<u4").tobytes()
                 for c in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
-    def ids_of_pieces(self, some: list[str]) -> list[bytes]:
-        """Of pieces that begin with a space or a line feed: in one text with NULs between, where that is safe.
-
-        A NUL is no part of a longer token, so it ends the token before it, and the white space after it begins one.
-        """
-        if self.between is None:
-            return self.ids(some)
-        joined = [p for p in some if "\0" not in p and not p[-1].isspace()]
-        apart = [p for p in some if "\0" in p or p[-1].isspace()]
-        out = dict(zip(apart, self.ids(apart)))
-        if joined:
-            coded = self.tokenizer.encode_batch_fast(["\0".join(joined)], add_special_tokens=False)[0].ids
-            coded = np.array(coded, "<u4")
-            ends = np.append(np.flatnonzero(coded == self.between), len(coded)).tolist()
-            data, start = coded.tobytes(), 0
-            for piece, end in zip(joined, ends, strict=True):
-                out[piece] = data[4 * start:4 * end]
-                start = end + 1
-        return [out[p] for p in some]
-
-    def add(self, pieces: set[str]) -> None:
-        """Remember the ids of pieces that begin with a space, left out, or a line feed."""
-        known = self.known
+    def as_bytes(self, word: str) -> str:
+        """A space and the word's letters, as the vocabulary writes their bytes."""
+        if word.isascii():
+            return self.letters[32] + word
+        return (" " + word).encode().decode("latin-1").translate(self.letters)
+
+    def keeps_words(self) -> bool:
+        """Whether the tokenizer hands its model a space and the letters after it as one word, byte by byte."""
+        words, splits = ["az", "AZ", "\xe9\u024f"], self.tokenizer.pre_tokenizer
+        return self.tokenizer.normalizer is None and splits is not None and (
+            [word for word, _ in splits.pre_tokenize_str("".join(" " + word for word in words))] == list(map(self.as_bytes, words)))
+
+    def new_ids(self, piece: str) -> bytes:
+        """Of a piece that begins with a space, left out, or a line feed."""
+        ids = self.older.get(piece)
+        if ids is not None:
+            return ids
+        if self.one_word and piece.isalpha() and max(piece) <= OLD_LETTERS:
+            ids = [token.id for token in self.tokenizer.model.tokenize(self.as_bytes(piece))]
+            return struct.pack(f"<{len(ids)}I", *ids)
         # "word," is "word" and ",": only the word is looked for.
-        ended = [p for p in pieces if p[-1:] in self.single and p[-2:-1].isalnum()]
-        new = list({p for p in (pieces.difference(ended) | {p[:-1] for p in ended}) if p not in known})
-        for start in range(0, len(new), 1_000):
-            some = new[start:start + 1_000]
-            known.update(zip(some, self.ids_of_pieces([p if p[:1] == "\n" else " " + p for p in some])))
-        for piece in ended:
-            known[piece] = known[piece[:-1]] + self.single[piece[-1]]
+        if piece[-1:] in self.single and piece[-2:-1].isalnum():
+            return self.known[piece[:-1]] + self.single[piece[-1]]
+        return self.ids([piece if piece[:1] == "\n" else " " + piece])[0]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.older, self.known = self.known, Known(self.new_ids)
         cut = [pieces_of(text, self.special) for text in batch]
         firsts = self.ids([pieces[0] for pieces in cut])
-        rest = list(chain.from_iterable(pieces[1:] for pieces in cut))
-        found = list(map(self.known.get, rest))
-        missing = {piece for piece, ids in zip(rest, found) if ids is None}
-        if missing:
-            self.add(missing)
-            found = list(map(self.known.__getitem__, rest))
-        found = iter(found)
-        return [first + b"".join(islice(found, len(pieces) - 1)) for first, pieces in zip(firsts, cut)]
+        known = self.known.__getitem__
+        return [first + b"".join(map(known, pieces[1:])) for first, pieces in zip(firsts, cut)]
 
 
 @cache
@@ -146,8 +154,10 @@ def encoder(path: str) -> Encoder:
 
 
 def file_row(group: int, doc_ids: list, ids: list[bytes]) -> dict:
+    """The row of a group; ``ids`` are taken out of their list, for their memory."""
     lengths = np.array([len(part) // 4 for part in ids], np.int64)
     stream = np.frombuffer(b"".join(ids), "<u4")
+    ids.clear()
     nulls = np.iinfo(np.int64).min
     return {
         "part": TaskContext.get().partitionId(), "group": group, "n_ids": len(stream),
@@ -166,7 +176,7 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held_ids, held, size, group = [], [], 0, 0
-        for frame in in_chunks(frames):
+        for frame in in_chunks(frames, size=CUT_BYTES):
             for doc_id, ids in zip(frame["doc_id"], encoder(path).encode(list(frame["text"]))):
                 held_ids.append(doc_id)
                 held.append(ids + end)
@@ -179,7 +189,8 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
 
     # NULL ids come first; rows that repeat a doc_id are ordered by their texts.
     ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return written(ordered.mapInPandas(tidied(run), FILE_SCHEMA), "token-files")
+    with small_batches(docs.sparkSession):
+        return written(ordered.mapInPandas(tidied(run), FILE_SCHEMA), "token-files")
 
 
 def read_ids(files: DataFrame) -> DataFrame:
