@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from shelfgauge.llm import line_dedup
@@ -36,3 +39,44 @@ def test_a_group_of_near_copies_gives_no_row_per_pair(make, monkeypatch, tile):
     assert got[0].n_links >= 59
     tiles = -(-len(set(words)) // tile)
     assert seen["line-links"].count() <= len(set(words)) * tiles and seen["line-candidates"].count() <= len(set(words))
+
+
+def test_words_of_a_chunk_are_hashed_once_each(monkeypatch):
+    pick = random.Random(3)
+    texts = ["".join(pick.choices(list(" \t\n\x0b\r\x1c\x85AbB\xe9\xc9\U0001f600"), k=pick.randint(0, 40))) for _ in range(300)] + ["", "\n"]
+    lines = [line for text in texts for line in text.split("\n")]
+    sets = [set(line.encode().lower().split()) for line in lines]
+    want = [sorted(line_dedup.word_hashes(line).tolist()) for line in lines]
+    hashed, digest = [], line_dedup.xxhash.xxh3_64_intdigest
+
+    def counted(word):
+        hashed.append(word)
+        return digest(word)
+
+    monkeypatch.setattr(line_dedup.xxhash, "xxh3_64_intdigest", counted)
+    found = line_dedup.LineWords(pa.array(texts))
+    line, word = found.sets(np.argsort(found.hashes))
+    assert found.lines.tolist() == [text.count("\n") + 1 for text in texts]
+    assert sorted(hashed) == sorted(set().union(*sets))
+    hashes = np.sort(found.hashes)
+    assert [hashes[word[line == n]].tolist() for n in range(len(lines))] == want
+
+
+def test_postings_meet_in_every_tile_and_are_packed(monkeypatch):
+    monkeypatch.setattr(line_dedup, "POSTINGS", 50)
+    n, tile = 40, 4
+    prefix = np.full(n, 7, "<u4")
+    counts = np.zeros(1 << line_dedup.COUNT_BITS, np.int64)
+    counts[7 >> 32 - line_dedup.COUNT_BITS] = n
+    batch = pa.RecordBatch.from_pydict({
+        "id": np.arange(n), "size": np.full(n, 5, np.int32), "parity1": np.zeros(n, np.int64), "parity2": np.zeros(n, np.int64),
+        "prefix": [x.tobytes() for x in prefix]})
+    held = list(line_dedup.postings(batch, counts, tile))
+    assert sum(map(len, held)) == n * (n // tile) and max(map(len, held)) < 2 * 50
+    packed = line_dedup.dealt(held, 3).to_pandas()
+    assert len(packed) <= 3
+    together = set()
+    for rows in packed["rows"]:
+        for _, cell in line_dedup.met_postings(pd.Series([rows])).groupby("cell"):
+            together |= {(a, b) for a in cell["id"] for b in cell["id"] if a < b}
+    assert len(together) == n * (n - 1) // 2
