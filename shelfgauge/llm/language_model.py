@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfgauge.llm.common import in_chunks, read_table, remainder, small_batches, texts, tidied, written
+from shelfgauge.llm.common import column_chunks, read_table, remainder, small_batches, texts, tidied, written
 
 FOLDS, HELD_OUT = 7, 2
 STATES = 8
@@ -50,13 +50,15 @@ END = ""
 STEPS_PER_DOUBLE = 8
 # Tokens a task works on at once, and tokens, packed, among whose texts it puts those of like length together.
 TOKENS, HELD = 1_000_000, 4_000_000
+# Rows of words' counts that a task adds up before it gives them to Spark.
+COUNTED = 1_000_000
 # Rows of expected counts that a task gives to Spark at once.
 ROWS = 50_000
 
 
-def words_of(column: pd.Series) -> tuple[pa.Array, np.ndarray]:
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All texts' runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lower-cased, end to end, and how many each text has."""
-    pieces = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(column, pa.large_string())))
+    pieces = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.large_string())))
     flat, owner = pc.list_flatten(pieces), pc.list_parent_indices(pieces).to_numpy()
     full = pc.not_equal(flat, "")
     return flat.filter(full), np.bincount(owner[full.to_numpy(zero_copy_only=False)], minlength=len(column))
@@ -65,13 +67,25 @@ def words_of(column: pd.Series) -> tuple[pa.Array, np.ndarray]:
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c), stored: how often each word, and the end, comes in ``docs`` (doc_id, text)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in in_chunks(frames):
-            counted = pc.value_counts(words_of(frame["text"])[0])
-            yield pd.DataFrame({"word": [END, *counted.field(0).to_pylist()],
-                                "n": np.concatenate([[len(frame)], counted.field(1).to_numpy()])})
-
-    counted = docs.mapInPandas(tidied(run), "word string, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for piece in column_chunks(batch):
+                counted = pc.value_counts(words_of(piece["text"])[0])
+                held += [pa.record_batch([pa.array([END]), pa.array([piece.num_rows], pa.int64())], ["word", "n"]),
+                         pa.record_batch([counted.field(0).cast(pa.string()), counted.field(1)], ["word", "n"])]
+                size += len(counted)
+                if size >= COUNTED:
+                    yield from added(held)
+                    held, size = [], 0
+        if held:
+            yield from added(held)
+
+    def added(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        summed = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return pa.table({"word": summed["word"], "n": summed["n_sum"]}).to_batches(max_chunksize=ROWS)
+
+    counted = docs.mapInArrow(tidied(run), "word string, n long")
     return written(counted.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
 
 
@@ -136,11 +150,11 @@ def encoded(docs: DataFrame, known: Vocabulary) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         frequent, gain = pa.array(v.frequent, pa.large_string()), np.log10(v.weights())
-        for frame in in_chunks(frames):
-            flat, sizes = words_of(frame["text"])
+        for piece in (piece for batch in batches for piece in column_chunks(batch)):
+            flat, sizes = words_of(piece["text"])
             coded = flat.dictionary_encode()
             codes, found = coded.indices.to_numpy(), pc.fill_null(pc.index_in(coded.dictionary, frequent), -1).to_numpy()
             symbols = found[codes].astype(np.int64) + 1
@@ -151,19 +165,20 @@ def encoded(docs: DataFrame, known: Vocabulary) -> DataFrame:
             text, code = np.divmod(pairs, max(len(found), 1))
             first = np.searchsorted(text, np.arange(len(sizes) + 1))
             symbols[other] = len(gain) + which - first[text[which]]
-            names = coded.dictionary.take(pa.array(code)).to_pylist()
+            names = coded.dictionary.take(pa.array(code)).cast(pa.string())
             rows, at = [], 0
-            for i, size in enumerate(sizes):
+            for size in sizes:
                 own = np.append(symbols[at:at + size], 0)
                 at += size
                 seen = own[own < len(gain)]
-                rows.append((packed_symbols(own), len(own), len(seen) - (v.end_count == 0), float(gain[seen].sum()),
-                             first[i + 1] - first[i], names[first[i]:first[i + 1]]))
-            out = pd.DataFrame(rows, columns=["symbols", "n_tokens", "n_frequent", "base", "n_rare", "rare"])
-            yield out.assign(doc_id=frame["doc_id"].to_numpy(), train=frame["train"].to_numpy())
-
-    rows = docs.mapInPandas(tidied(run), "symbols binary, n_tokens long, n_frequent long, base double, "
-                                 "n_rare long, rare array<string>, doc_id long, train boolean")
+                rows.append((packed_symbols(own), len(own), len(seen) - (v.end_count == 0), float(gain[seen].sum())))
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.float64()))),
+                 pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(first, pa.int32()), names), piece["doc_id"], piece["train"]],
+                ["symbols", "n_tokens", "n_frequent", "base", "n_rare", "rare", "doc_id", "train"])
+
+    rows = docs.mapInArrow(tidied(run), "symbols binary, n_tokens long, n_frequent long, base double, "
+                                        "n_rare long, rare array<string>, doc_id long, train boolean")
     return written(rows.withColumn("key", F.monotonically_increasing_id()), "encoded")
 
 

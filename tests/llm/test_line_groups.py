@@ -1,13 +1,14 @@
 """Groups of near copies in line dedup: whole counts, but no row per pair."""
 
 import random
+import string
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 
-from shelfgauge.llm import line_dedup
+from shelfgauge.llm import common, language_model, line_dedup
 
 
 @pytest.mark.parametrize("tile", [4_096, 7])
@@ -80,3 +81,16 @@ def test_postings_meet_in_every_tile_and_are_packed(monkeypatch):
         for _, cell in line_dedup.met_postings(pd.Series([rows])).groupby("cell"):
             together |= {(a, b) for a in cell["id"] for b in cell["id"] if a < b}
     assert len(together) == n * (n - 1) // 2
+
+
+def test_pieces_of_a_batch_keep_their_words(monkeypatch):
+    monkeypatch.setattr(common, "CHUNK_BYTES", 60)
+    texts = [f"Wörd{i} ÀB{i}\nsame é{i}" for i in range(40)] + [""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(41)), "text": texts}).slice(3)
+    pieces = list(common.column_chunks(batch))
+    assert len(pieces) > 5 and [i for piece in pieces for i in piece["doc_id"].to_pylist()] == list(range(3, 41))
+    lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    found = [word for piece in pieces for word in language_model.words_of(piece["text"])[0].to_pylist()]
+    assert found == [word for text in texts[3:] for word in text.translate(lower).split()]
+    want = {int(h) for text in texts[3:] for line in text.split("\n") for h in line_dedup.word_hashes(line)}
+    assert {int(h) for piece in pieces for h in line_dedup.LineWords(piece["text"]).hashes} == want
