@@ -1,5 +1,7 @@
 """Groups of near copies in line dedup: whole counts, but no row per pair."""
 
+import itertools
+import math
 import random
 import string
 
@@ -94,3 +96,26 @@ def test_pieces_of_a_batch_keep_their_words(monkeypatch):
     assert found == [word for text in texts[3:] for word in text.translate(lower).split()]
     want = {int(h) for text in texts[3:] for line in text.split("\n") for h in line_dedup.word_hashes(line)}
     assert {int(h) for piece in pieces for h in line_dedup.LineWords(piece["text"]).hashes} == want
+
+
+@pytest.mark.parametrize("with_place", [True, False])
+def test_pairs_pass_the_filters_as_one_by_one(with_place):
+    random_ = np.random.default_rng(2)
+    frame = pd.DataFrame({"cell": random_.integers(0, 5, 150), "id": random_.integers(0, 80, 150), "size": random_.integers(4, 16, 150)})
+    frame["parity1"], frame["parity2"] = (random_.integers(-1, 1, 150) ^ (np.int64(1) << random_.integers(0, 64, 150)) for _ in range(2))
+    if with_place:
+        frame["place"] = random_.integers(0, 4, 150)
+    frame = frame.sort_values(["cell", "size"]).reset_index(drop=True)
+    want = set()
+    for a, b in itertools.combinations(frame.assign(row=range(150)).to_dict("records"), 2):
+        total = a["size"] + b["size"]
+        overlap = math.ceil(0.8 / 1.8 * total - 1e-9)
+        apart = sum(((a[x] ^ b[x]) & (1 << 64) - 1).bit_count() for x in ("parity1", "parity2"))
+        places = a.get("place", 0), b.get("place", 0)
+        rest = min(a["size"] - places[0], b["size"] - places[1])
+        if (a["cell"] == b["cell"] and a["id"] != b["id"] and a["size"] >= 0.8 * b["size"] - 1e-9
+                and apart <= total - 2 * overlap and min(places) + rest >= overlap):
+            want.add((a["row"], b["row"]))
+    got = [pair for low, high in line_dedup.near_pairs(frame, 0.8) for pair in zip(low.tolist(), high.tolist())]
+    assert want and len(got) == len(set(got)) and set(got) == want
+    assert list(line_dedup.near_pairs(frame.iloc[:0], 0.8)) == []
